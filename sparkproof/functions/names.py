@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-AUDIENCE = "^(?i)(ALL|F|M)$"
+AUDIENCE = "^(?iu)(ALL|F|M)$"
 MARKET = "^[A-Z]{2,3}$"
 
 # Titles a finding may carry, and the one each category falls back to.

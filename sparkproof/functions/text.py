@@ -179,7 +179,7 @@ def personalization_pattern(raw: Column) -> Column:
     parts = F.filter(F.transform(lines, line_pattern), lambda p: p != "")
     return F.when(
         has_slot(raw) & (F.size(parts) > 0),
-        F.concat(F.lit("(?i)"), F.array_join(parts, WS + "*")),
+        F.concat(F.lit("(?iu)"), F.array_join(parts, WS + "*")),
     )
 
 

@@ -12,34 +12,34 @@ from sparkproof.functions.text import let
 
 # Hosts of click-tracking services.
 TRACKED_HOST = (
-    r"(?i)(^|\.)(click|cta|t|links?|email|mc|trk|track(ing)?)\.[^/]+"
+    r"(?iu)(^|\.)(click|cta|t|links?|email|mc|trk|track(ing)?)\.[^/]+"
     r"|exacttarget\.com|exct\.net|salesforce-email|sfmc"
 )
 # Words of an unsubscribe link, one list per use.
 UNSUB_FACTS = (
-    r"(?i)d[ée]sinscri|d[ée]sabonn|unsubscribe|se d[ée]sinscrire|opt[- ]?out|abmelden|darse de baja"
+    r"(?iu)d[ée]sinscri|d[ée]sabonn|unsubscribe|se d[ée]sinscrire|opt[- ]?out|abmelden|darse de baja"
     r"|cancelar (la )?suscripci|annulla l'iscrizione|cancellarsi|退订|配信停止|配信解除|購読解除"
     r"|수신거부|구독\s*취소"
 )
 UNSUB_PROBE = (
-    r"(?i)unsubscribe|d[ée]sinscri|d[ée]sabonn|opt.?out|se d[ée]sinscrire|preference center"
+    r"(?iu)unsubscribe|d[ée]sinscri|d[ée]sabonn|opt.?out|se d[ée]sinscrire|preference center"
     r"|g[ée]rer mes pr[ée]f[ée]rences|abmelden|darse de baja|cancelar (la )?suscripci"
     r"|annulla l'iscrizione|退订|配信停止|配信解除|購読解除|수신거부"
 )
 UNSUB_KEY = (
-    r"(?i)unsubscribe|d[ée]sinscri|d[ée]sabonn|opt.?out|se d[ée]sinscrire|preference center"
+    r"(?iu)unsubscribe|d[ée]sinscri|d[ée]sabonn|opt.?out|se d[ée]sinscrire|preference center"
     r"|g[ée]rer mes pr[ée]f[ée]rences"
 )
-UNSUB_SHORT = r"(?i)d[ée]sinscri|d[ée]sabonn|unsubscribe|opt[- ]?out"
+UNSUB_SHORT = r"(?iu)d[ée]sinscri|d[ée]sabonn|unsubscribe|opt[- ]?out"
 SAFELINK_SUFFIX = ".safelinks.protection.outlook.com"
-SOFT_404 = r"(?i)page (introuvable|non trouv[ée]e)|not found|introuvable|n'existe (pas|plus)|404"
+SOFT_404 = r"(?iu)page (introuvable|non trouv[ée]e)|not found|introuvable|n'existe (pas|plus)|404"
 
-_HTTP = r"(?i)^https?://([^/?#]*)"
+_HTTP = r"(?iu)^https?://([^/?#]*)"
 
 
 
 def is_http(c: Column) -> Column:
-    return c.rlike(r"(?i)^https?://[^/?#\s]+")
+    return c.rlike(r"(?iu)^https?://[^/?#\s]+")
 
 
 def authority(c: Column) -> Column:
@@ -60,7 +60,7 @@ def parses(c: Column, host: Column | None = None) -> Column:
     """The text is an absolute URL."""
     host = host_of(c) if host is None else host
     return F.coalesce(
-        host.isNotNull() | c.rlike(r"(?i)^(?!https?:)[a-z][a-z0-9+.-]*:"), F.lit(False)
+        host.isNotNull() | c.rlike(r"(?iu)^(?!https?:)[a-z][a-z0-9+.-]*:"), F.lit(False)
     )
 
 
@@ -167,7 +167,7 @@ def _encode_path(path: Column) -> Column:
 
 
 def url_path(url: Column) -> Column:
-    return let(F.regexp_extract(url, r"(?i)^https?://[^/?#]*([^?#]*)", 1), _encode_path)
+    return let(F.regexp_extract(url, r"(?iu)^https?://[^/?#]*([^?#]*)", 1), _encode_path)
 
 
 def _kept_query(params: Column) -> Column:
@@ -203,7 +203,7 @@ def link_key(kind: Column, href: Column, text: Column) -> Column:
     def target(h: Column) -> Column:
         no_fragment = F.regexp_replace(h, r"(?s)#.*$", "")
         canonical = F.concat(
-            F.lower(F.regexp_extract(h, r"(?i)^(https?://[^/?#]*)", 1)),
+            F.lower(F.regexp_extract(h, r"(?iu)^(https?://[^/?#]*)", 1)),
             let(url_path(h), lambda p: F.when(p == "", F.lit("/")).otherwise(p)),
             F.regexp_extract(no_fragment, r"(?s)^[^?]*(\?.*)$", 1),
         )

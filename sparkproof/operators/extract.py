@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from sparkproof.functions import urls
 from sparkproof.functions.mail_parser import raw_facts
 from sparkproof.functions.names import subject_fallback
+from sparkproof.operators.skew import spread
 
-MSO_BLOCK = r"(?is)<!--\[if[^\]]*mso[^\]]*\]>(.*?)<!\[endif\]-->"
+MSO_BLOCK = r"(?ius)<!--\[if[^\]]*mso[^\]]*\]>(.*?)<!\[endif\]-->"
 TOKEN = r"%%[a-zA-Z_][a-zA-Z0-9_]*%%"
 SNIPPET = r"(?s)%%[=\[].*?[=\]]%%|%%[a-zA-Z_][a-zA-Z0-9_]*%%"
-ONE_PIXEL = r"""(?i)(?:^|[;\s"'])width\s*[:=]\s*["']?1(?:px)?\s*(?:;|!|"|'|$)"""
+ONE_PIXEL = r"""(?iu)(?:^|[;\s"'])width\s*[:=]\s*["']?1(?:px)?\s*(?:;|!|"|'|$)"""
 
 
 def _matches(c: Column, pattern: str, group: int = 0) -> Column:
@@ -114,7 +115,7 @@ def has_unsubscribe(links: Column, context: Column) -> Column:
 
 def with_facts(mails: DataFrame) -> DataFrame:
     """Add `facts` to rows with `html` and, if present, `name`."""
-    parsed = mails.withColumn("_raw", raw_facts(F.col("html")))
+    parsed = spread(mails).withColumn("_raw", raw_facts(F.col("html")))
     raw = F.col("_raw")
     name = F.col("name") if "name" in mails.columns else F.lit(None).cast("string")
     linked = parsed.withColumn("_links", described_links(raw["links"]))

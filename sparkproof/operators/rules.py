@@ -22,13 +22,13 @@ from sparkproof.operators.findings import (
 # Patterns whose hits decide results.
 PLACEHOLDER = r"lorem ipsum|\bTBD\b|\bTODO\b|xxx+|placeholder|à compléter|a completer"
 STAGING = r"staging\.|preprod\.|\.test\b|localhost|127\.0\.0\.1|dev\."
-UNTRACKED_HREF = r"(?i)unsub|preference|privacy|datenschutz|legal|mentions|view\.news\.|vawp|mirror"
+UNTRACKED_HREF = r"(?iu)unsub|preference|privacy|datenschutz|legal|mentions|view\.news\.|vawp|mirror"
 UNTRACKED_TEXT = (
-    r"(?i)d[ée]sinscri|unsubscribe|mentions|voir en ligne|miroir|view (this )?(email|online)"
+    r"(?iu)d[ée]sinscri|unsubscribe|mentions|voir en ligne|miroir|view (this )?(email|online)"
     r"|online version"
 )
 KNOWN_TOKENS = (
-    r"(?i)^%%(firstname|lastname|first_name|last_name|prenom|nom|email(addr)?|view_email_url"
+    r"(?iu)^%%(firstname|lastname|first_name|last_name|prenom|nom|email(addr)?|view_email_url"
     r"|profile_center_url|unsub|subscriberid|jobid|member_)"
 )
 MARKET_CODE = r"^[A-Z]{2,3}$"
@@ -68,9 +68,13 @@ def escape_regex(term: str) -> str:
     return "".join("\\" + ch if ch in ".*+?^${}()|[]\\" else ch for ch in term)
 
 
+# The word edge of the reference knows ASCII letters only; Java's \b does not.
+WORD_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
 def with_terms(base: str, terms: list[str]) -> str:
     extra = [escape_regex(t.strip()) for t in terms if t.strip()]
-    return "(?i)" + "|".join([base, *extra])
+    return "(?iu)" + "|".join([base.replace(r"\b", WORD_EDGE), *extra])
 
 
 OPTIONAL = {
@@ -321,7 +325,7 @@ def empty_anchor(m: Mail):
     return each(
         m.links,
         lambda x: (x["kind"] == "anchor") & (x["text"] != "")
-        & ~x["text"].rlike("(?i)d[ée]sinscri|unsubscribe"),
+        & ~x["text"].rlike("(?iu)d[ée]sinscri|unsubscribe"),
         lambda x: finding(
             "empty-anchor-cta", "liens", "MAJEUR", text('CTA without destination: "', x["text"], '"'),
             text('href="', F.when(x["href"] == "", F.lit("#")).otherwise(x["href"]), '"'),
@@ -334,8 +338,8 @@ def empty_anchor(m: Mail):
 def ampscript_redirect(m: Mail):
     return each(
         m.links,
-        lambda x: (x["kind"] == "ampscript") & x["href"].rlike(r"(?i)%%=?\s*v\(")
-        & ~x["href"].rlike("(?i)RedirectTo"),
+        lambda x: (x["kind"] == "ampscript") & x["href"].rlike(r"(?iu)%%=?\s*v\(")
+        & ~x["href"].rlike("(?iu)RedirectTo"),
         lambda x: finding(
             "ampscript-redirect", "liens", "CRITIQUE",
             "Dynamic link without RedirectTo: it will lead nowhere", left(x["href"], 200),
@@ -484,7 +488,7 @@ def placeholders(m: Mail):
 @rule("copyright-year")
 def copyright_year(m: Mail):
     years = "|".join(str(m.run_year - i) for i in (3, 2, 1))
-    pattern = rf"(?i)(©|&copy;|copyright)\s*({years})"
+    pattern = rf"(?iu)(©|&copy;|copyright)\s*({years})"
     footer = F.coalesce(F.col("facts.footer"), F.lit(""))
     return only_if(
         footer.rlike(pattern),
@@ -552,7 +556,9 @@ def _rule_severity(r: Column) -> Column:
 
 def _term_pattern(term: Column) -> Column:
     return F.concat(
-        F.lit(r"(?i)\b"), F.regexp_replace(term, r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(r"\b")
+        F.lit("(?iu)" + WORD_EDGE),
+        F.regexp_replace(term, r"([.*+?^${}()|\[\]\\])", r"\\$1"),
+        F.lit(WORD_EDGE),
     )
 
 
@@ -824,7 +830,7 @@ def _utm_rule(rule_id: str, message: str, bad_value) -> None:
 _utm_rule("utm-empty", "UTM parameter without a value", lambda v: v == "")
 _utm_rule(
     "utm-placeholder", "Placeholder inside a UTM value",
-    lambda v: v.rlike(r"(?i)\b(TBD|TODO|xxx+)\b|placeholder|lorem|\{\{|\[\["),
+    lambda v: v.rlike(rf"(?iu){WORD_EDGE}(TBD|TODO|xxx+){WORD_EDGE}|placeholder|lorem|\{{\{{|\[\["),
 )
 # Values are decoded once at extraction, so %25xx shows as %xx.
 _utm_rule("utm-double-encoded", "UTM value is encoded twice", lambda v: v.rlike("%[0-9A-Fa-f]{2}"))

@@ -10,6 +10,15 @@ SALTS = 64
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions for an input that arrives in fewer than there are cores (one small file).
+
+    At scale the scan already has many splits and the data stay where they are."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(want) if have < want else df
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's upper estimate of the size of a plan's output."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()

@@ -1 +1,13 @@
+"""Query catalogue. Importing a module registers its queries."""
 
+from __future__ import annotations
+
+import importlib
+
+MODULES = ["mail_queries"]
+
+
+def load_all():
+    for m in MODULES:
+        importlib.import_module(f"sparkproof.plans.{m}")
+    return importlib.import_module("sparkproof.plans.registry")

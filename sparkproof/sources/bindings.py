@@ -76,7 +76,7 @@ def relation(name: str):
 
 
 def tables_in(sql: str) -> list[str]:
-    return sorted(set(re.findall(r"\{(\w+)\}", sql)))
+    return sorted(set(re.findall(r"\{([a-z]\w*)\}", sql)))
 
 
 def resolve(sql: str) -> str:
