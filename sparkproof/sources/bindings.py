@@ -105,3 +105,71 @@ def oracle_text(sql: str) -> str:
     for t in tables_in(text):
         text = text.replace("{" + t + "}", t)
     return text
+
+
+# Campaigns: orders with their customer as brand.
+RELATIONS["campaigns"] = """
+SELECT o_orderkey AS campaign_id, o_custkey AS brand_id, concat(c_name, ' ', o_orderpriority) AS name,
+  CASE o_orderkey % 8 WHEN 0 THEN 'BRIEF_RECU' WHEN 1 THEN 'EMAIL_ATTENDU' WHEN 2 THEN 'EN_ANALYSE' WHEN 3 THEN 'GO'
+    WHEN 4 THEN 'GO_AVEC_RESERVES' WHEN 5 THEN 'NO_GO' WHEN 6 THEN 'CORRECTIONS' ELSE 'ENVOYE' END AS status,
+  substring(concat(o_orderdate), 1, 7) AS period,
+  CASE o_orderkey % 13 WHEN 0 THEN 'GO' WHEN 1 THEN 'NO_GO' END AS human_decision,
+  o_orderdate AS updated_at,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN concat('tpl-', o_orderkey % 40) ELSE concat('tpl-', o_orderkey % 4000) END AS template_id
+FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey
+"""
+# Reports: one per line item; the language spelling varies as it does in real versions.
+RELATIONS["reports"] = """
+SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(round(l_extendedprice * 100) AS BIGINT)) AS report_id,
+  l_orderkey AS campaign_id, concat(l_orderkey, '-v', l_linenumber) AS version_id, l_linenumber AS version_no,
+  CASE l_returnflag WHEN 'A' THEN 'NO_GO' WHEN 'N' THEN 'GO_AVEC_RESERVES' ELSE 'GO' END AS verdict,
+  CASE l_returnflag WHEN 'A' THEN 1 + l_partkey % 3 ELSE 0 END AS critiques,
+  CASE l_returnflag WHEN 'R' THEN 0 ELSE l_suppkey % 4 END AS majeurs,
+  CASE l_returnflag WHEN 'R' THEN 0 WHEN 'N' THEN 1 + l_partkey % 2 ELSE l_partkey % 2 END AS mineurs,
+  l_partkey % 10 AS n_passed, l_shipdate AS created_at
+FROM {lineitem}
+"""
+RELATIONS["versions"] = """
+SELECT version_id, campaign_id, version_no, received_at,
+  CASE WHEN version_no % 3 = 0 THEN any_report END AS pinned_report_id,
+  CASE (campaign_id + version_no) % 8 WHEN 0 THEN 'FR' WHEN 1 THEN 'en' WHEN 2 THEN 'fr-FR' WHEN 3 THEN 'ZHS' WHEN 4 THEN 'ES - MX'
+    WHEN 5 THEN 'German' WHEN 6 THEN 'pt_BR' END AS language,
+  concat('[', 100000 + campaign_id, ' - Campaign ', campaign_id, ' - ', CASE version_no % 4 WHEN 0 THEN 'FR' WHEN 1 THEN 'MX' WHEN 2 THEN 'WW' ELSE 'bad market' END,
+    ' - ', CASE version_no % 2 WHEN 0 THEN 'F' ELSE 'ALL' END, '] Subject ', version_no) AS name
+FROM (SELECT concat(l_orderkey, '-v', l_linenumber) AS version_id, l_orderkey AS campaign_id, l_linenumber AS version_no, min(l_shipdate) AS received_at,
+  min(concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(round(l_extendedprice * 100) AS BIGINT))) AS any_report
+  FROM {lineitem} GROUP BY l_orderkey, l_linenumber) v
+"""
+RELATIONS["report_findings"] = """
+SELECT report_id, campaign_id, version_id, seq, category, severity, source, agent, message,
+  CASE WHEN (k + seq) % 9 = 0 THEN 'faux_positif' WHEN (k + seq) % 9 = 1 THEN 'accepte' WHEN (k + seq) % 9 = 2 THEN 'corrige' END AS review,
+  CASE WHEN k % 3 = 0 THEN 'Problem in a link' WHEN k % 3 = 1 THEN 'no such title' END AS title,
+  CASE WHEN k % 4 = 0 THEN concat('want ', k % 50) END AS expected, CASE WHEN k % 4 = 0 THEN concat('got ', k % 60) END AS received,
+  concat('evidence ', k % 100) AS evidence, concat('lien#', k % 5) AS locator
+FROM (
+  SELECT report_id, campaign_id, version_id, s AS seq, k,
+    CASE (k + s) % 9 WHEN 0 THEN 'assets' WHEN 1 THEN 'liens' WHEN 2 THEN 'tracking' WHEN 3 THEN 'brief' WHEN 4 THEN 'guidelines'
+      WHEN 5 THEN 'contenu' WHEN 6 THEN 'rendu' WHEN 7 THEN 'delivrabilite' ELSE 'technique' END AS category,
+    CASE WHEN (k + s) % 5 = 0 THEN 'CRITIQUE' WHEN (k + s) % 5 < 3 THEN 'MAJEUR' ELSE 'MINEUR' END AS severity,
+    CASE WHEN (k + s) % 3 = 0 THEN 'agent' ELSE 'regle' END AS source,
+    CASE WHEN (k + s) % 3 = 0 THEN concat('Agent ', k % 4) ELSE 'rules' END AS agent,
+    concat(repeat('long text ', 1 + CAST(k % 30 AS INTEGER)), k % 20) AS message
+  FROM (SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(round(l_extendedprice * 100) AS BIGINT)) AS report_id,
+      l_orderkey AS campaign_id, concat(l_orderkey, '-v', l_linenumber) AS version_id, l_partkey + l_suppkey AS k, l_quantity AS qty FROM {lineitem}) r
+    CROSS JOIN (SELECT 1 AS s UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) n
+  WHERE s <= k % 7
+) f
+"""
+# Findings before de-duplication: events as rule and agent findings of a report per user.
+RELATIONS["raw_findings"] = """
+SELECT user_id AS report_id, event_id AS seq,
+  CASE event_type WHEN 'view' THEN 'liens' WHEN 'click' THEN 'tracking' WHEN 'error' THEN 'contenu' WHEN 'signup' THEN 'brief' ELSE 'rendu' END AS category,
+  CASE event_id % 7 WHEN 0 THEN 'CRITIQUE' WHEN 1 THEN 'MAJEUR' WHEN 2 THEN 'MAJEUR' WHEN 3 THEN 'OK' ELSE 'MINEUR' END AS severity,
+  CASE WHEN event_id % 3 = 0 THEN concat('Title ', event_id % 4) END AS title,
+  concat('Link "', event_id % 2, '"  IS: broken!') AS message,
+  concat('lien#', event_id % 2) AS locator, concat('evidence ', event_id) AS evidence,
+  CASE WHEN event_id % 5 = 0 THEN props END AS expected, CASE WHEN event_id % 4 = 1 THEN concat('r', event_id % 11) END AS received,
+  CASE WHEN user_id % 3 = 0 THEN 'rules' WHEN event_id % 4 = 0 THEN 'rules' WHEN event_id % 4 = 1 THEN 'Links' ELSE 'Language' END AS agent,
+  CASE WHEN event_id % 9 = 0 THEN 'faux_positif' WHEN event_id % 9 = 1 THEN 'accepte' END AS review
+FROM {events}
+"""
