@@ -82,7 +82,8 @@ def rank_in_group(
 
     The order column is cut into value ranges. A row's rank is the number of rows of its group in
     earlier ranges (a pre-aggregated count) plus its rank inside its own range."""
-    numeric = F.col(order).cast("double")
+    is_time = df.schema[order].dataType.typeName().startswith("timestamp")
+    numeric = (F.col(order).cast("timestamp") if is_time else F.col(order)).cast("double")
     cuts = df.agg(
         F.percentile_approx(numeric, [i / buckets for i in range(1, buckets)], 10000).alias("c")
     ).first()["c"]

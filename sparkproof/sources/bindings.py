@@ -75,8 +75,14 @@ def relation(name: str):
     return RELATIONS[name]
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 def tables_in(sql: str) -> list[str]:
-    return sorted(set(re.findall(r"\{([a-z]\w*)\}", sql)))
+    """Names in braces that are tables or relations; braces of patterns are left alone."""
+    found = set(re.findall(r"\{([a-z]\w*)\}", sql))
+    return sorted(n for n in found if n in TABLES or n in RELATIONS)
 
 
 def resolve(sql: str) -> str:
@@ -173,3 +179,26 @@ SELECT user_id AS report_id, event_id AS seq,
   CASE WHEN event_id % 9 = 0 THEN 'faux_positif' WHEN event_id % 9 = 1 THEN 'accepte' END AS review
 FROM {events}
 """
+
+
+# Brief grid: twelve pages form a campaign and each page's title is one block. By page number the
+# own-language text is exact, changed, swapped with another language, or split by audience.
+RELATIONS["grid_blocks"] = """
+SELECT campaign_id, block_ord, block, lang_key, page_id,
+  CASE WHEN lang_key = own THEN
+    CASE WHEN variant = 1 THEN concat('Pour homme ', page_id) WHEN mode = 2 THEN concat('Unrelated copy number ', page_id)
+         WHEN mode = 1 THEN concat(replace(t, ' the ', ' a '), ' now') ELSE t END
+  WHEN mode = 2 THEN t ELSE concat('Copy ', lang_key, ' of page ', page_id) END AS value
+FROM (
+  SELECT CAST(floor(page_id / 12) AS BIGINT) AS campaign_id, page_id % 4 AS mode, variant, page_id, page_id % 12 * 2 + variant AS block_ord,
+    concat('Title ', page_id % 12, CASE WHEN page_id % 4 <> 3 THEN '' WHEN variant = 0 THEN ' (female)' ELSE ' (male & others)' END) AS block,
+    CASE regexp_extract(html, 'html lang="([a-z]+)"', 1) WHEN 'en' THEN 'EN' WHEN 'es' THEN 'ES' ELSE 'FR|DE' END AS own,
+    replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '%', '') AS t
+  FROM {pages} CROSS JOIN (SELECT 0 AS variant UNION ALL SELECT 1) v
+  WHERE variant = 0 OR page_id % 4 = 3
+) b CROSS JOIN (SELECT 'EN' AS lang_key UNION ALL SELECT 'FR|DE' UNION ALL SELECT 'ES') l
+"""
+RELATIONS["grid_languages"] = """
+SELECT campaign_id, ord, lang_key FROM (SELECT DISTINCT CAST(floor(page_id / 12) AS BIGINT) AS campaign_id FROM {pages}) c
+CROSS JOIN (SELECT 1 AS ord, 'EN' AS lang_key UNION ALL SELECT 2, 'FR|DE' UNION ALL SELECT 3, 'ES') l
+"""
