@@ -13,7 +13,7 @@ from sparkproof.functions.text import (
     bigrams, dice_of_numbered, let, norm_detect, norm_text, numbered, personalization_pattern,
 )
 from sparkproof.functions.urls import normalize_url
-from sparkproof.operators.findings import NO_FINDINGS, each, finding, nonempty, text
+from sparkproof.operators.findings import finding, nonempty, text
 from sparkproof.operators.skew import skew_join
 
 LANG_LIKE = r"^[A-Za-z]{2,3}([-_ ]+[A-Za-z]{2,3})?$"
@@ -326,86 +326,61 @@ def block_findings(outcomes: DataFrame, mails: DataFrame) -> DataFrame:
     ).select("version_id", "f.*")
 
 
-def expected_link_findings(rows: DataFrame) -> DataFrame:
-    """JOIN-7 / RUL-32: CTAs whose label the brief names must lead where it says.
+def expected_link_plans(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Plans of JOIN-7: long links (campaign_id, link_ord, block, market, url) with the label of the
+    block by language (campaign_id, link_ord, lang_key, label). Both groups are one brief line."""
+    by_market = links.where(nonempty(F.col("url"))).groupBy("campaign_id", "link_ord").agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(F.upper(F.trim("market")).alias("market"), "url", normalize_url(F.col("url")).alias("norm"))
+            )
+        ).alias("urls")
+    )
+    named = labels.select(
+        "campaign_id", "link_ord", "lang_key", "label", norm_text(F.col("label")).alias("norm_label")
+    ).where(F.length("norm_label") >= 2)
+    return by_market.join(named, ["campaign_id", "link_ord"])
 
-    `grid.links` holds (block, by_market map, label_by_lang map)."""
-    key, market = F.col("grid_key"), F.col("effective_market")
 
-    def block_label(block: Column) -> Column:
-        wanted = norm_text(block)
-        hit = F.get(
-            F.filter(
-                "grid.blocks",
-                lambda b: let(
-                    norm_text(b["name"]),
-                    lambda n: (n == wanted) | F.contains(n, wanted) | F.contains(wanted, n),
-                ),
-            ), 0,
-        )
-        return hit["vals"][key]
-
-    def plan(el: Column) -> Column:
-        urls_ = F.map_entries(F.map_filter(el["by_market"], lambda k, v: nonempty(v)))
-        norm = F.transform(
-            urls_,
-            lambda e: F.struct(
-                F.upper(F.trim(e["key"])).alias("market"), e["value"].alias("url"),
-                normalize_url(e["value"]).alias("norm"),
-            ),
-        )
+def expected_link_findings(prepared: DataFrame, plans: DataFrame) -> DataFrame:
+    """JOIN-7 / RUL-32: CTAs whose label the brief names must lead where it says.
 
-        def build(us: Column) -> Column:
-            pick = lambda m: F.get(F.filter(us, lambda u: u["market"] == m), 0)
-            chosen = F.coalesce(pick(market), pick(F.lit("WW")), F.get(us, 0))
-            label = F.coalesce(el["label_by_lang"][key], block_label(el["block"]))
-            return F.struct(
-                label.alias("label"), norm_text(label).alias("norm_label"), chosen.alias("want"),
-                F.filter(
-                    us, lambda u: (u["market"] != market) & u["norm"].isNotNull() & (u["norm"] != chosen["norm"])
-                ).alias("others"),
-            )
+    Equi-join on campaign, language key and label; the markets of a plan are a short array."""
+    cta = F.struct(
+        F.col("x.pos").alias("pos"), norm_text(F.col("x.text")).alias("norm_label"),
+        normalize_url(F.col("x.href")).alias("n1"), normalize_url(F.col("x.final_url")).alias("n2"),
+        F.coalesce("x.final_url", "x.href").alias("received"),
+    )
+    ctas = prepared.select(
+        "version_id", "campaign_id", F.col("grid_key").alias("lang_key"), "effective_market",
+        "explicit_market", F.explode("testable").alias("x"),
+    ).withColumn("c", cta).select(
+        "version_id", "campaign_id", "lang_key", "effective_market", "explicit_market", "c.*"
+    ).where(F.col("n1").isNotNull() | F.col("n2").isNotNull())
+    rows = skew_join(ctas, plans, ["campaign_id", "lang_key", "norm_label"], "inner")
+    market = F.col("effective_market")
 
-        return let(norm, build)
+    def of(m: Column) -> Column:
+        return F.get(F.filter("urls", lambda u: u["market"] == m), 0)
 
-    plans = F.filter(
-        F.transform("grid.links", plan),
-        lambda p: (F.length(p["norm_label"]) >= 2) & p["want"]["norm"].isNotNull(),
-    )
-    ctas = F.transform(
-        "testable",
-        lambda x: F.struct(
-            x["pos"].alias("pos"), norm_text(x["text"]).alias("label"),
-            F.array_compact(F.array(normalize_url(x["href"]), normalize_url(x["final_url"]))).alias("norms"),
-            F.coalesce(x["final_url"], x["href"]).alias("url"),
-        ),
-    )
-    rows = rows.withColumn("_ctas", ctas).withColumn("_plans", plans)
-    note = F.when(F.col("explicit_market").isNull(), " (inferred market)").otherwise("")
+    rows = rows.withColumn("want", F.coalesce(of(market), of(F.lit("WW")), F.get("urls", F.lit(0))))
 
-    def verdict(p: Column, c: Column) -> Column:
-        wrong = F.get(F.filter(p["others"], lambda o: F.array_contains(c["norms"], o["norm"])), 0)
-        message = F.when(
-            wrong.isNotNull(),
-            text('CTA "', p["label"], '" points to the ', wrong["market"], " link in a ", market, " mail", note),
-        ).otherwise(text('CTA "', p["label"], '" does not point to the URL planned for ', market))
-        return finding(
-            "expected-links-market", "liens", "MAJEUR", message,
-            text("Expected (", market, ")"), text("lien#", c["pos"]), None, p["want"]["url"], c["url"],
-        )
+    def hits(norm: Column) -> Column:
+        return F.coalesce(norm == F.col("n1"), F.lit(False)) | F.coalesce(norm == F.col("n2"), F.lit(False))
 
-    per_plan = F.transform(
-        "_plans",
-        lambda p: F.transform(
-            F.filter(
-                "_ctas",
-                lambda c: (c["label"] == p["norm_label"]) & (F.size(c["norms"]) > 0)
-                & ~F.array_contains(c["norms"], p["want"]["norm"]),
-            ),
-            lambda c: verdict(p, c),
-        ),
+    wrong = F.get(
+        F.filter("urls", lambda u: (u["market"] != market) & (u["norm"] != F.col("want.norm")) & hits(u["norm"])), 0
     )
-    out = F.when(key.isNotNull(), F.flatten(per_plan)).otherwise(F.array().cast(NO_FINDINGS))
-    return rows.withColumn(
-        "expected_link_findings", F.coalesce(out, F.array().cast(NO_FINDINGS))
-    ).drop("_ctas", "_plans")
+    rows = rows.where(F.col("want.norm").isNotNull() & ~hits(F.col("want.norm"))).withColumn("wrong", wrong)
+    note = F.when(F.col("explicit_market").isNull(), " (inferred market)").otherwise("")
+    message = F.when(
+        F.col("wrong").isNotNull(),
+        text('CTA "', F.col("label"), '" points to the ', F.col("wrong.market"), " link in a ", market, " mail", note),
+    ).otherwise(text('CTA "', F.col("label"), '" does not point to the URL planned for ', market))
+    return rows.select(
+        "version_id", "pos",
+        finding(
+            "expected-links-market", "liens", "MAJEUR", message, text("Expected (", market, ")"),
+            text("lien#", F.col("pos")), None, F.col("want.url"), F.col("received"),
+        ).alias("f"),
+    ).select("version_id", "pos", "f.*")

@@ -318,26 +318,19 @@ def expected_links(spark, sf):
         )
     )
     prepared = prepared.withColumn("_label", label).where("_label IS NOT NULL").where("effective_market <> 'CN'")
+    prepared = prepared.withColumn("campaign_id", F.col("version_id")).withColumn("grid_key", F.lit("EN"))
     host, lab = F.col("host"), F.col("_label")
     url = F.concat(F.lit("https://"), host, F.lit("/t"), F.substring(lab, 2, 200))
     cn = F.concat(F.lit("https://shop."), host, F.lit(".cn/"), lab)
-    link = F.struct(
-        F.lit("Hero").alias("block"), F.create_map(F.lit("ww"), url, F.lit("CN"), cn).alias("by_market"),
-        F.create_map(F.lit("EN"), F.lower(lab), F.lit("FR|DE"), F.lower(lab), F.lit("ES"), F.lower(lab)).alias("label_by_lang"),
+    links = prepared.select(
+        "campaign_id", F.lit(0).alias("link_ord"), F.lit("Hero").alias("block"),
+        F.explode(F.create_map(F.lit("ww"), url, F.lit("CN"), cn)).alias("market", "url"),
     )
-    no_blocks = F.array().cast("array<struct<name:string,vals:map<string,string>>>")
-    grid = F.struct(
-        F.array(F.lit("EN"), F.lit("FR|DE"), F.lit("ES")).alias("languages"), no_blocks.alias("blocks"),
-        F.array(link).alias("links"),
-    )
-    keyed = prepared.withColumn("grid", grid).withColumn(
-        "grid_key", grid_key_for(F.col("grid.languages"), F.col("detected_lang"), F.col("test_name.market"))
-    )
-    out = content.expected_link_findings(keyed).select("version_id", F.inline("expected_link_findings"))
-    return out.select(
-        "version_id", F.regexp_extract("locator", r"#(\d+)", 1).cast("int").alias("pos"), "severity",
-        "message", "expected", "received",
+    labels = prepared.select(
+        "campaign_id", F.lit(0).alias("link_ord"), F.lit("EN").alias("lang_key"), F.lower(lab).alias("label")
     )
+    out = content.expected_link_findings(prepared, content.expected_link_plans(links, labels))
+    return out.select("version_id", "pos", "severity", "message", "expected", "received")
 
 
 # ---- language functions -----------------------------------------------------------------------
