@@ -353,8 +353,8 @@ def expected_link_findings(prepared: DataFrame, plans: DataFrame) -> DataFrame:
     )
     ctas = prepared.select(
         "version_id", "campaign_id", F.col("grid_key").alias("lang_key"), "effective_market",
-        "explicit_market", F.explode("testable").alias("x"),
-    ).withColumn("c", cta).select(
+        "explicit_market", F.explode_outer("testable").alias("x"),
+    ).where("x IS NOT NULL").withColumn("c", cta).select(
         "version_id", "campaign_id", "lang_key", "effective_market", "explicit_market", "c.*"
     ).where(F.col("n1").isNotNull() | F.col("n2").isNotNull())
     rows = skew_join(ctas, plans, ["campaign_id", "lang_key", "norm_label"], "inner")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkproof.functions import urls
 from sparkproof.functions.mail_parser import raw_facts
 from sparkproof.functions.names import subject_fallback
+from sparkproof.operators.findings import array_rows
 from sparkproof.operators.skew import spread
 
 MSO_BLOCK = r"(?ius)<!--\[if[^\]]*mso[^\]]*\]>(.*?)<!\[endif\]-->"
@@ -139,14 +140,15 @@ def with_facts(mails: DataFrame) -> DataFrame:
 
 def links_of(with_facts_df: DataFrame, *keep: str) -> DataFrame:
     """EXT-1 as a table."""
-    return with_facts_df.select(*keep, F.inline("facts.links"))
+    return array_rows(with_facts_df, "facts.links", "pos", *keep)
 
 
 def images_of(with_facts_df: DataFrame, *keep: str) -> DataFrame:
     """EXT-3 as a table."""
-    return with_facts_df.select(*keep, F.inline("facts.images"))
+    return array_rows(with_facts_df, "facts.images", "pos", *keep)
 
 
 def texts_of(with_facts_df: DataFrame, *keep: str) -> DataFrame:
     """EXT-4 as a table."""
-    return with_facts_df.select(*keep, F.posexplode("facts.texts").alias("pos", "text"))
+    rows = with_facts_df.select(*keep, F.posexplode_outer("facts.texts").alias("pos", "text"))
+    return rows.where("pos IS NOT NULL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkproof.functions.names import TITLE_BY_CATEGORY
@@ -72,3 +72,11 @@ def left(c: Column, n: int) -> Column:
 
 def nonempty(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
+
+
+def array_rows(df: DataFrame, column: str, key: str, *keep: str) -> DataFrame:
+    """Array of structs to rows.
+
+    The outer form with a filter behind it: for the plain form the optimiser infers a filter on the
+    array, pushes it below and so evaluates the whole array expression once more."""
+    return df.select(*keep, F.inline_outer(column)).where(F.col(key).isNotNull())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkproof.operators import auth
+from sparkproof.operators.findings import array_rows
 from sparkproof.plans.registry import query
 from sparkproof.sources.bindings import RELATIONS, bind, load
 
@@ -85,7 +86,7 @@ ON = "present AND NOT nomethod AND (spf IS NOT NULL OR dmarc IS NOT NULL OR dkim
 
 
 def rule_rows(spark, sf, *ids):
-    rows = auth.auth_findings(facts(spark, sf)).select("version_id", F.inline("findings"))
+    rows = array_rows(auth.auth_findings(facts(spark, sf)), "findings", "rule_id", "version_id")
     return rows.where(F.col("rule_id").isin(*ids)).select("version_id", "severity", "title", "message")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkproof.functions import names as N
 from sparkproof.functions import urls
 from sparkproof.operators import extract, links, rules
-from sparkproof.operators.findings import REVIEW
+from sparkproof.operators.findings import REVIEW, array_rows
 from sparkproof.plans.mail_sql import KEY_CTES, host_sql, mail_sql, params_sql, q
 from sparkproof.plans.registry import query
 from sparkproof.sources.bindings import load
@@ -221,7 +221,7 @@ def join_results(spark, sf):
 )
 def effective_utm(spark, sf):
     m = rules.prepare(checked_mails(spark, sf))
-    rows = m.select("version_id", F.inline("links"))
+    rows = array_rows(m, "links", "pos", "version_id")
     return rows.where(F.size("utm") > 0).select(
         "version_id", "pos", F.col("utm.utm_campaign").alias("utm_campaign"),
         F.size("utm").alias("n_utm"),
@@ -246,7 +246,7 @@ F_COLS = ["version_id", "severity", "title", "message", "evidence", "locator"]
 
 def rule_rows(df: DataFrame, rule_ids: list[str], mail: rules.Mail | None = None) -> DataFrame:
     out = rules.evaluate(df, mail, rule_ids)
-    return out.select("version_id", F.inline("findings")).select(*F_COLS)
+    return array_rows(out, "findings", "rule_id", "version_id").select(*F_COLS)
 
 
 def rule_query(name, rule_id, sql, *, source=None, mail=None, extra=None):
