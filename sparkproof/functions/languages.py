@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkproof.functions.text import fold_space
+from sparkproof.functions.text import fold_space, let
 
 # Names under which a language is met, by canonical code.
 ALIASES = {
@@ -50,24 +50,31 @@ def norm_code(c: Column) -> Column:
 
 def canon_lang(c: Column) -> Column:
     """SCL-13: canonical language of a code or name; '' for blank, the prefix when unknown."""
-    norm = norm_code(c)
-    before = F.trim(F.substring_index(norm, "(", 1))
-    prefix = F.trim(F.regexp_extract(before, "^([^-_/]*)", 1))
-    return F.when(norm == "", F.lit("")).otherwise(
-        F.coalesce(
-            _lookup(ALIAS_TO_CODE, norm),
-            _lookup(ALIAS_TO_CODE, before),
-            _lookup(ALIAS_TO_CODE, prefix),
-            F.nullif(prefix, F.lit("")),
-            norm,
+
+    def lookup(x: Column) -> Column:
+        return F.coalesce(
+            _lookup(ALIAS_TO_CODE, x["norm"]),
+            _lookup(ALIAS_TO_CODE, x["before"]),
+            _lookup(ALIAS_TO_CODE, x["prefix"]),
+            F.nullif(x["prefix"], F.lit("")),
+            x["norm"],
         )
-    )
+
+    def parts(norm: Column) -> Column:
+        before = F.trim(F.substring_index(norm, "(", 1))
+        prefix = F.trim(F.regexp_extract(before, "^([^-_/]*)", 1))
+        return F.struct(norm.alias("norm"), before.alias("before"), prefix.alias("prefix"))
+
+    return let(let(norm_code(c), parts), lookup)
 
 
 def canon_column(c: Column) -> Column:
     """SCL-14: key of a language column, NULL when the platform does not know it."""
-    norm, canon = norm_code(c), canon_lang(c)
-    return F.when(norm.isin(*MARKET_BASE), norm).when(canon.isin(*LABELS), canon)
+    pair = F.struct(norm_code(c).alias("n"), canon_lang(c).alias("c"))
+    return let(
+        pair,
+        lambda x: F.when(x["n"].isin(*MARKET_BASE), x["n"]).when(x["c"].isin(*LABELS), x["c"]),
+    )
 
 
 def base_lang(c: Column) -> Column:
@@ -79,8 +86,10 @@ def same_lang(a: Column, b: Column) -> Column:
 
 
 def display_lang(c: Column) -> Column:
-    canon = canon_lang(c)
-    return F.coalesce(_lookup(MARKET_LABELS, norm_code(c)), _lookup(LABELS, canon), canon)
+    return let(
+        canon_lang(c),
+        lambda x: F.coalesce(_lookup(MARKET_LABELS, norm_code(c)), _lookup(LABELS, x), x),
+    )
 
 
 def grid_key_for(keys: Column, lang: Column, market: Column) -> Column:

@@ -45,7 +45,7 @@ def canon_header(raw: Column) -> Column:
     """Language key of a header cell, also with a parenthesis or blanks around its hyphen."""
     t = F.trim(raw)
     cleaned = F.trim(F.regexp_replace(F.regexp_replace(t, r"\(.*?\)", ""), r"\s*-\s*", "-"))
-    return F.coalesce(canon_column(t), F.when((cleaned != "") & (cleaned != t), canon_column(cleaned)))
+    return F.coalesce(canon_column(t), canon_column(cleaned))
 
 
 def is_placeholder_text(c: Column) -> Column:
