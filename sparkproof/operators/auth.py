@@ -60,7 +60,7 @@ def strip_comments(c: Column) -> Column:
 def parse_auth(raw: Column) -> Column:
     """EXT-13: struct<authserv, results: array<struct<method, result, props>>, raw>."""
     clean = F.trim(F.regexp_replace(strip_comments(raw), r"\s+", " "))
-    segments = F.filter(F.transform(F.split(clean, ";"), F.trim), lambda s: s != "")
+    segments = F.filter(F.transform(F.split(clean, ";"), lambda s: F.trim(s)), lambda s: s != "")
 
     def build(segs: Column) -> Column:
         has_id = F.coalesce(~F.contains(F.get(segs, 0), F.lit("=")), F.lit(False))
