@@ -115,13 +115,16 @@ def bigrams(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit("(?s)(?=(..))"), 1)
 
 
+COPY_MARK = "\x01"
+
+
 def numbered(grams: Column) -> Column:
     """Multiset as a set: the n-th copy of a gram is tagged n, so set intersection counts copies."""
     return let(
         F.array_sort(grams),
         lambda ordered: F.transform(
             ordered,
-            lambda g, i: F.concat(g, (i + 1 - F.array_position(ordered, g)).cast("string")),
+            lambda g, i: F.concat(g, F.lit(COPY_MARK), (i + 1 - F.array_position(ordered, g)).cast("string")),
         ),
     )
 
@@ -206,7 +209,7 @@ def changed_tokens(a: Column, b: Column) -> Column:
     """SCL-17: pieces of `a` beyond the copies that `b` has (multiset difference, sorted)."""
     return F.transform(
         F.array_except(numbered(diff_tokens(a)), numbered(diff_tokens(b))),
-        lambda t: F.regexp_replace(t, r"(?s)^(.*?)\d+$", "$1"),
+        lambda t: F.regexp_replace(t, COPY_MARK + r"\d+$", ""),
     )
 
 
