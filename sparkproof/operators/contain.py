@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkproof.operators.skew import skew_join
+from sparkproof.operators.skew import skew_join, spread
 
 RUN = 3
 
@@ -42,6 +42,7 @@ def blocks_in_texts(blocks: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs where `text` of texts (text_id, text) contains `block` of blocks (block_id, block).
 
     Both are normalised; blocks below three characters match nothing (as in the reference)."""
+    texts, blocks = spread(texts), spread(blocks)
     words = F.split("block", " ")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     usable = blocks.where(F.length("block") >= RUN)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,9 @@ def checked_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def checked_mails(spark: SparkSession, sf: str) -> DataFrame:
-    mails = facts(spark, sf)
+    """Mails with facts and link results. The facts feed three branches, so they are kept (without
+    the HTML, on disk when memory is short; a lost executor's part is parsed again)."""
+    mails = facts(spark, sf).drop("html").persist(StorageLevel.MEMORY_AND_DISK)
     keyed = links.with_link_key(extract.links_of(mails, "version_id", "campaign_id"))
     results = links.link_results(keyed, links.classify_probes(probe_log(keyed)))
     return links.attach_results(mails, results)
