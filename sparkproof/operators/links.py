@@ -144,7 +144,10 @@ def attach_results(mails: DataFrame, results: DataFrame) -> DataFrame:
             ),
         ).alias("link_results"),
     )
-    return mails.join(aligned, "version_id", "left")
+    # An explicit number keeps all tasks for the rules that follow: they are heavy on small rows, and
+    # adaptive execution would merge the partitions by their size.
+    n = int(mails.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mails.repartition(n, "version_id").join(aligned, "version_id", "left")
 
 
 def status_counts(results: DataFrame, *by: str) -> DataFrame:
