@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkproof.llm import packing, token_counts
+from sparkproof.llm import packing, sharding, token_counts, warc
 from sparkproof.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,22 @@ def packed_documents(spark, sf_dir):
 @query("op5_token_counts")
 def counted_tokens(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir))
+
+
+@query("op7_sharding")
+def sharded_documents(spark, sf_dir):
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
+@query(
+    "op8_warc",
+    """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+      d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest,
+        max(page_id) OVER (PARTITION BY payload) AS last FROM p)
+      SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+        CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM d""",
+)
+def archived_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    return warc.record_digests(warc.write_archive(pages))
