@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkproof.llm import packing, sharding, token_counts, warc
+from sparkproof.llm import decontamination, packing, sharding, token_counts, warc
 from sparkproof.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,29 @@ def packed_documents(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
 
+@query(
+    "op3_decontamination",
+    r"""WITH word AS (SELECT '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS p),
+      d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p) AS w FROM documents, word),
+      b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p) AS w FROM benchmark, word),
+      bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS k
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+      ns AS (SELECT DISTINCT n FROM bw),
+      dw AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS k
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)),
+      hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, k)),
+      words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+      items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY 1)
+      SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+      FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+)
+def contaminated_documents(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return decontamination.contaminated(documents(spark, sf_dir), benchmark)
+
+
 @query("op5_token_counts")
 def counted_tokens(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir))
