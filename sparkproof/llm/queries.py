@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkproof.llm import decontamination, packing, sharding, token_counts, warc
+from sparkproof.llm import decontamination, licenses, packing, sharding, token_counts, warc
 from sparkproof.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_license_scan")
+def scanned_licenses(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
 @query("op2_packing")
 def packed_documents(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
