@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkproof.llm import decontamination, licenses, packing, sharding, token_counts, warc
+from sparkproof.llm import decontamination, licenses, ngram_join, packing, sharding, token_counts, warc
 from sparkproof.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,22 @@ def sharded_documents(spark, sf_dir):
 def archived_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
     return warc.record_digests(warc.write_archive(pages))
+
+
+@query(
+    "op9_ngram_jaccard_join",
+    r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+      s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i : i + 4], ' ')) END) AS g FROM d),
+      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+      p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+      l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+      e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+      reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, e.y FROM reach JOIN e ON reach.r = e.x),
+      c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
+      SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+      FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+)
+def joined_documents(spark, sf_dir):
+    return ngram_join.join_documents(documents(spark, sf_dir))
