@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkproof.llm import decontamination, licenses, ngram_join, packing, sharding, token_counts, warc
+from sparkproof.llm import context_trees, decontamination, licenses, ngram_join, packing, sharding, token_counts, warc
 from sparkproof.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def archived_pages(spark, sf_dir):
 )
 def joined_documents(spark, sf_dir):
     return ngram_join.join_documents(documents(spark, sf_dir))
+
+
+@query("op10_context_tree_scores")
+def scored_documents(spark, sf_dir):
+    return context_trees.score_documents(documents(spark, sf_dir))
