@@ -35,6 +35,11 @@ PARTS = 64
 MOST_BITS = 1 << 27
 
 
+def mark() -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64("text")
+
+
 class WordHashes(ChunkCache):
     def compute(self, chunk: bytes) -> int:
         return xxhash.xxh64_intdigest(chunk)
@@ -71,10 +76,10 @@ def required(n: int, percent: int) -> int:
 
 
 FACTS = pa.schema([
-    ("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("parts", pa.binary()),
+    ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("parts", pa.binary()),
     ("counter", pa.int32()), ("load", pa.int64()),
 ])
-FACTS_DDL = "doc_id long, n long, id long, parts binary, counter int, load long"
+FACTS_DDL = "doc_id long, mark long, n long, id long, parts binary, counter int, load long"
 
 
 def set_facts(size: int) -> Callable:
@@ -95,12 +100,12 @@ def set_facts(size: int) -> Callable:
             load += np.bincount(counted, minlength=COUNTERS)
             m = len(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())],
+                [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())],
                 schema=FACTS,
             )
         used = np.flatnonzero(load)
         if len(used):
-            nulls = [pa.nulls(len(used), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            nulls = [pa.nulls(len(used), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*nulls, pa.array(used, pa.int32()), pa.array(load[used])], schema=FACTS)
 
     return facts
@@ -230,9 +235,9 @@ class Join:
         self.size, self.percent = size, percent
         self.context = docs.sparkSession.sparkContext
         self.texts = docs.select(text_bytes().alias("text"))
-        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark().alias("mark"), text_bytes().alias("text"))
         facts = keep(ids.mapInArrow(set_facts(size), FACTS_DDL), "sets")
-        self.docs = facts.where("counter IS NULL").select("doc_id", "n", "id")
+        self.docs = facts.where("counter IS NULL").select("doc_id", "mark", "n", "id")
         counts = facts.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("load").alias("load")).toArrow()
         load = np.zeros(COUNTERS, np.int64)
         load[counts["counter"].to_numpy()] = counts["load"].to_numpy()
@@ -350,6 +355,15 @@ class Join:
         return labels
 
 
+def grouped_documents(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, mark, n and label: the group of a document, null if it has no words."""
+    found = Join(docs, size, percent)
+    labels = found.components()
+    # Tables that are joined on an often repeated class are kept before, so that the joins can be split.
+    grouped = found.docs.join(labels, "id", "left")
+    return keep(grouped.select("doc_id", "mark", "n", F.coalesce("label", "id").alias("label")), "groups")
+
+
 def join_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Set size and group of every document.
 
@@ -358,15 +372,24 @@ def join_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     linked; repeated rows give repeated rows, an empty table none. Rows with a null id take part: their
     group is named by its smallest id, null if there is none. Classes and shingles are told apart by 64-bit
     hashes. Output: doc_id, n_shingles, component_id."""
-    found = Join(docs, size, percent)
-    labels = found.components()
-    # The tables that are joined on an often repeated class are kept before, so that the joins can be split.
-    grouped = found.docs.join(labels, "id", "left").select(
-        "doc_id", "n", F.coalesce("label", "id").alias("label")
-    )
-    grouped = keep(grouped, "groups")
+    grouped = grouped_documents(docs, size, percent)
     first = keep(grouped.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first")), "firsts")
     return grouped.join(first, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"),
     )
+
+
+def one_of_each_group(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Rows of docs without those whose group has a document of smaller id (then smaller hash of its text).
+
+    Documents without words stay. Rows that agree in id and text are one document; null ids come last."""
+    grouped = grouped_documents(docs, size, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    first = grouped.where("label IS NOT NULL").groupBy("label").agg(F.min(place).alias("first")).select("first.doc_id", "first.mark")
+    stay = first.union(grouped.where("label IS NULL").select("doc_id", "mark")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), mark().alias("mark"))
+    once = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("mark"))
+    stay = stay.select(F.col("doc_id").alias("stay_id"), F.col("mark").alias("stay_mark"))
+    held = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("mark") == F.col("stay_mark")), "left_semi")
+    return held.withColumn("once", once).where("once = 1").select("row.*")

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkproof.llm import context_trees, decontamination, licenses, ngram_join, packing, sharding, token_counts, warc
+from sparkproof.llm import (
+    context_trees,
+    decontamination,
+    fingerprints,
+    languages,
+    licenses,
+    ngram_join,
+    packing,
+    sharding,
+    token_counts,
+    warc,
+)
 from sparkproof.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +113,13 @@ def joined_documents(spark, sf_dir):
 @query("op10_context_tree_scores")
 def scored_documents(spark, sf_dir):
     return context_trees.score_documents(documents(spark, sf_dir))
+
+
+@query("op4_fingerprints")
+def fingerprinted_documents(spark, sf_dir):
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
+@query("op6_language_id")
+def identified_languages(spark, sf_dir):
+    return languages.identify(documents(spark, sf_dir))
