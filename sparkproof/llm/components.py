@@ -8,22 +8,29 @@ from pyspark.sql import functions as F
 from sparkproof.llm.common import keep
 
 
+def follow(steps: DataFrame, by: DataFrame) -> DataFrame:
+    """steps (id, label) with each label replaced by the label that `by` has for it."""
+    nxt = by.select(F.col("id").alias("label"), F.col("label").alias("next"))
+    return steps.join(nxt, "label", "left").select("id", F.coalesce("next", "label").alias("label"))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """Smallest reachable id of every id in links (a, b): columns id, label.
 
-    Labels fall to the least of their neighbours', then to their label's own label, so the rounds grow
-    with the logarithm of a chain's length. Every round is kept; a hub's links are pre-aggregated."""
-    both = keep(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("label")), "labels")
+    Each round moves every node to its least neighbour's, twice over, and draws the links between the
+    nodes that are left. Only nodes that are less than all their neighbours stay, at most half of them, so
+    rounds grow with the logarithm of the nodes and get smaller. Their tables are kept; a hub's links are
+    pre-aggregated."""
+    both = links.select("a", "b").union(links.select("b", "a")).distinct()
+    edges = keep(both, "links")
+    labels = None
     while True:
-        near = (
-            both.join(labels.select(F.col("id").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        )
-        lower = labels.withColumnRenamed("label", "old").join(near, "id").withColumn("label", F.least("old", "near"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = lower.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
-        new = keep(new, "labels")
-        labels = new.select("id", "label")
-        if new.where("old <> label").isEmpty():
-            return labels
+        least = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b"))
+        step = keep(least.select("id", F.least("id", "b").alias("label")), "labels")
+        step = keep(follow(follow(step, step), step), "labels")
+        labels = step if labels is None else follow(labels, step)
+        ends = [step.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")) for c in ("a", "b")]
+        moved = edges.join(ends[0], "a").join(ends[1], "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+        edges = keep(moved.where("a <> b").distinct(), "links")
+        if edges.isEmpty():
+            return keep(labels, "labels")
