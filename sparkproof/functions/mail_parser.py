@@ -149,7 +149,7 @@ def read_facts(html: str | None, is_unsub) -> dict:
     for reader, in_mso in ((main, False), (mso, True)):
         for n in reader.nodes if reader else ():
             if n.tag == "a" and "href" in n.attrs:
-                key = (n.attrs["href"].strip(), reader.raw_text(n)[:120])
+                key = (n.attrs["href"].strip(), reader.raw_text(n))
                 if key not in seen:
                     seen.add(key)
                     links.append({"href": key[0], "text": key[1], "in_mso": in_mso})
@@ -168,7 +168,7 @@ def read_facts(html: str | None, is_unsub) -> dict:
         if style and HIDDEN.search(style.lower()):
             t = main.shown_text(n)
             if len(t) > 5:
-                preheader = t[:200]
+                preheader = t
                 break
 
     def context_says_unsub():
@@ -179,7 +179,7 @@ def read_facts(html: str | None, is_unsub) -> dict:
             around = n.parent
             while around is not None and around.tag not in ("td", "p", "div"):
                 around = around.parent
-            if around is not None and is_unsub(main.raw_text(around)[:300]):
+            if around is not None and is_unsub(main.raw_text(around)):
                 return True
         return False
 

@@ -134,17 +134,20 @@ def criterion(category: Column) -> Column:
 
 
 def content_hash(*parts: Column, length: int = 24) -> Column:
-    """SCL-23: prefix of the SHA-256 of the concatenated parts."""
-    return F.left(F.sha2(F.concat(*[F.coalesce(p, F.lit("")) for p in parts]), 256), F.lit(length))
+    """SCL-23: prefix of the SHA-256 of the parts, each behind its length, so that no two lists agree."""
+    told = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.left(F.sha2(F.concat(*told), 256), F.lit(length))
 
 
 def cell_ref(row: Column, col: Column) -> Column:
-    """SCL-27: zero-based row and column to an A1 reference (up to two letters)."""
-    hi = F.floor(col / 26).cast("int") - 1
-    letters = F.concat(
-        F.when(hi >= 0, F.char(hi + 65)).otherwise(F.lit("")), F.char(col % 26 + 65)
-    )
-    return F.concat(letters, (row + 1).cast("string"))
+    """SCL-27: zero-based row and column to an A1 reference (up to three letters, the most a sheet has)."""
+
+    def letter(place: int, first: int) -> Column:
+        # `first` is the first column whose reference has a letter at this place.
+        at = F.floor((col - first) / 26**place).cast("int") % 26
+        return F.when(col >= first, F.char(at + 65)).otherwise(F.lit(""))
+
+    return F.concat(letter(2, 26 + 26**2), letter(1, 26), letter(0, 0), (row + 1).cast("string"))
 
 
 def column_index(letters: Column) -> Column:

@@ -85,7 +85,7 @@ def token_overlap(a: Column, b: Column) -> Column:
 def norm_message(c: Column) -> Column:
     """SCL-11: message text that identifies a repeated finding."""
     kept = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N} ]", "")
-    return F.substring(F.trim(F.regexp_replace(kept, " +", " ")), 1, 80)
+    return F.trim(F.regexp_replace(kept, " +", " "))
 
 
 def norm_quote(c: Column) -> Column:

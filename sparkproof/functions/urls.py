@@ -143,13 +143,18 @@ def parse_other_params(url: Column) -> Column:
     return other_map(query_params(url))
 
 
+def _decode_again(c: Column) -> Column:
+    """Percent signs decoded, `+` left alone; NULL for a stray percent sign."""
+    return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def unwrap_safe_link(href: Column) -> Column:
     """SCL-4: target of a mail-gateway wrapper, else the link itself."""
     target = F.get(F.filter(query_params(href), lambda p: p["k"] == "url"), 0)["v"]
     wrapped = F.coalesce(F.endswith(host_of(href), F.lit(SAFELINK_SUFFIX)), F.lit(False))
     return F.when(
         F.contains(href, F.lit(SAFELINK_SUFFIX)) & wrapped,
-        let(target, lambda t: F.when(t != "", decode_component(t)).otherwise(href)),
+        let(target, lambda t: F.when(t != "", F.coalesce(_decode_again(t), href)).otherwise(href)),
     ).otherwise(href)
 
 

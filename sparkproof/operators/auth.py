@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkproof.functions.text import let
-from sparkproof.operators.findings import NO_FINDINGS, REVIEW, finding, left, only_if, text
+from sparkproof.operators.findings import NO_FINDINGS, REVIEW, finding, only_if, text
 
 # Methods of an Authentication-Results header.
 METHODS = ["spf", "dkim", "dmarc", "arc", "compauth", "dkim-adsp", "iprev", "auth", "bimi"]
 ESP_DOMAIN = r"(?iu)(exacttarget\.com|salesforce\.com)$"
-HEAD_CHARS = 64 * 1024
 T_PROBLEM = "Problem in the email authentication"
 T_UNVERIFIED = "Email authentication could not be verified"
 
@@ -20,7 +19,7 @@ def header_rows(raw: Column) -> Column:
     """EXT-11: array of (name, value) of the header block, continuation lines unfolded.
 
     The block ends at the first blank line or line that is no header."""
-    head = F.regexp_replace(F.left(raw, F.lit(HEAD_CHARS)), r"\r\n", "\n")
+    head = F.regexp_replace(raw, r"\r\n", "\n")
     unfolded = F.regexp_replace(head, r"\n[ \t]+(?=\S)", " ")
     lines = F.split(unfolded, "\n")
     name = r"^([\x21-\x39\x3b-\x7e]+):\s*"
@@ -84,7 +83,7 @@ def parse_auth(raw: Column) -> Column:
                     st,
                     lambda i, n: F.struct(
                         F.get(ps, i)["k"].alias("method"),
-                        F.left(F.lower(F.get(ps, i)["v"]), F.lit(40)).alias("result"),
+                        F.lower(F.get(ps, i)["v"]).alias("result"),
                         F.slice(
                             ps, i + 2, F.coalesce(F.get(st, n + 1), F.size(ps)) - i - 1
                         ).alias("props"),
@@ -113,7 +112,7 @@ def loose_aligned(a: Column, b: Column) -> Column:
 
 def _prop(result: Column, name: str) -> Column:
     hits = F.filter(result["props"], lambda p: p["k"] == name)
-    return F.left(F.get(hits, F.size(hits) - 1)["v"], F.lit(200))
+    return F.get(hits, F.size(hits) - 1)["v"]
 
 
 def select_auth(headers: Column, source: Column) -> Column:
@@ -140,7 +139,7 @@ def select_auth(headers: Column, source: Column) -> Column:
 
         from_domain = domain_of(_prop(first("dmarc"), "header.from"))
         policy = F.upper(F.nullif(F.regexp_extract(
-            F.left(x["c"]["raw"], F.lit(2000)), r"(?iu)\bdmarc=[a-z]+[^;]*?\(\s*p=([A-Za-z]+)", 1), F.lit("")))
+            x["c"]["raw"], r"(?iu)\bdmarc=[a-z]+[^;]*?\(\s*p=([A-Za-z]+)", 1), F.lit("")))
         dkim = F.transform(
             F.filter(x["c"]["results"], lambda r: r["method"] == "dkim"),
             lambda r: let(
@@ -156,7 +155,7 @@ def select_auth(headers: Column, source: Column) -> Column:
             first("spf")["result"].alias("spf"), domain_of(_prop(first("spf"), "smtp.mailfrom")).alias("mailfrom"),
             F.coalesce(dkim, F.array().cast("array<struct<result:string,domain:string,selector:string,aligned:boolean>>")).alias("dkim"),
             first("dmarc")["result"].alias("dmarc"), from_domain.alias("from_domain"), policy.alias("policy"),
-            left(x["c"]["raw"], 1000).alias("raw"),
+            x["c"]["raw"].alias("raw"),
         )
 
     return let(let(parsed, choose), summary)
@@ -171,15 +170,15 @@ def with_message_facts(messages: DataFrame) -> DataFrame:
             "subject": F.coalesce(header_value(h, "subject"), F.lit("(no subject)")),
             "sender": F.coalesce(header_value(h, "from"), F.lit("?")),
             "sent_at": header_value(h, "date"),
-            "list_unsubscribe": left(header_value(h, "list-unsubscribe"), 300),
-            "list_unsubscribe_post": left(header_value(h, "list-unsubscribe-post"), 100),
+            "list_unsubscribe": header_value(h, "list-unsubscribe"),
+            "list_unsubscribe_post": header_value(h, "list-unsubscribe-post"),
             "auth": select_auth(h, F.col("source")),
         }
     )
 
 
 def _f(rule_id, severity, message, locator, title, evidence=None) -> Column:
-    evidence = left(F.col("auth.raw"), 280) if evidence is None else evidence
+    evidence = F.col("auth.raw") if evidence is None else evidence
     return F.array(finding(rule_id, "delivrabilite", severity, message, evidence, locator, title))
 
 
@@ -228,7 +227,7 @@ def auth_findings(messages: DataFrame) -> DataFrame:
     one_click = only_if(
         F.col("list_unsubscribe").isNotNull() & F.col("list_unsubscribe_post").isNull(),
         finding("one-click-unsubscribe", "delivrabilite", "MAJEUR", "One-click unsubscribe is missing",
-                left(F.col("list_unsubscribe"), 200), "header:list-unsubscribe", "Problem in the unsubscribe setup"),
+                F.col("list_unsubscribe"), "header:list-unsubscribe", "Problem in the unsubscribe setup"),
     )
     found = F.when(~a["present"], missing).when(no_method, empty).otherwise(F.concat(dmarc, dkim, spf))
     return messages.withColumn("findings", F.concat(found, one_click))

@@ -67,7 +67,7 @@ def resolve(rules: DataFrame, overrides: DataFrame, extended: bool = False) -> D
 
     overrides (config_id, rule_id, enabled, severity, removed). The catalogue has some forty rows."""
     configs = overrides.select("config_id").distinct()
-    rows = configs.join(F.broadcast(rules)).join(overrides, ["config_id", "rule_id"], "left")
+    rows = configs.join(rules).join(overrides, ["config_id", "rule_id"], "left")
     on = (
         F.when(F.col("protected"), True).when(F.coalesce("removed", F.lit(False)), False)
         .otherwise(F.coalesce("enabled", ~F.col("extended") | F.lit(extended)))
@@ -90,7 +90,7 @@ def apply_config(findings: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def validate(rules: DataFrame, overrides: DataFrame, params: DataFrame, given: DataFrame) -> DataFrame:
     """RES-2: error rows (config_id, rule_id, error). given (config_id, rule_id, key, value double)."""
-    o = overrides.join(F.broadcast(rules), "rule_id")
+    o = overrides.join(rules, "rule_id")
     errors = F.array_compact(
         F.array(
             F.when(F.col("protected") & (F.col("enabled") == F.lit(False)), "cannot be disabled"),
@@ -100,7 +100,7 @@ def validate(rules: DataFrame, overrides: DataFrame, params: DataFrame, given: D
         )
     )
     switches = o.select("config_id", "rule_id", F.explode(errors).alias("error"))
-    p = given.join(F.broadcast(rules.select("rule_id")), "rule_id").join(F.broadcast(params), ["rule_id", "key"], "left")
+    p = given.join(rules.select("rule_id"), "rule_id").join(params, ["rule_id", "key"], "left")
     whole = F.col("value") == F.floor("value")
     problem = (
         F.when(F.col("default").isNull(), "unknown setting").when(~whole, "not a whole number")

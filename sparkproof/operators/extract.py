@@ -30,21 +30,19 @@ def mso_blocks(html: Column) -> Column:
 
 
 def personalization_tokens(html: Column) -> Column:
-    """EXT-7: the first 30 occurrences, then distinct."""
-    return F.array_distinct(F.slice(_matches(html, TOKEN), 1, 30))
+    """EXT-7: all distinct tokens, in the order of their first place."""
+    return F.array_distinct(_matches(html, TOKEN))
 
 
 def script_snippets(html: Column) -> Column:
     """EXT-7."""
-    return F.transform(
-        F.array_distinct(F.slice(_matches(html, SNIPPET), 1, 30)), lambda s: F.left(s, F.lit(120))
-    )
+    return F.array_distinct(_matches(html, SNIPPET))
 
 
 def footer_text(texts: Column) -> Column:
     """EXT-6: the last six text blocks."""
     last = F.slice(texts, F.greatest(F.size(texts) - 5, F.lit(1)), F.lit(6))
-    return F.left(F.array_join(last, " · "), F.lit(600))
+    return F.array_join(last, " · ")
 
 
 def described_links(raw: Column) -> Column:
@@ -128,7 +126,7 @@ def with_facts(mails: DataFrame) -> DataFrame:
         F.octet_length("html").alias("size_bytes"),
         F.col("_links").alias("links"),
         F.transform(raw["images"], _image).alias("images"),
-        F.slice(raw["texts"], 1, 150).alias("texts"),
+        raw["texts"].alias("texts"),
         footer_text(raw["texts"]).alias("footer"),
         F.size(mso_blocks(F.col("html"))).alias("mso_count"),
         personalization_tokens(F.col("html")).alias("tokens"),

@@ -40,7 +40,7 @@ def finding(
         _str(severity).alias("severity"),
         _str(title).alias("title"),
         _str(message).alias("message"),
-        F.left(_str(evidence), F.lit(300)).alias("evidence"),
+        _str(evidence).alias("evidence"),
         _str(locator).alias("locator"),
         _str(expected).alias("expected"),
         _str(received).alias("received"),
@@ -66,8 +66,6 @@ def severity_rank(c: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), c).cast("int") - 1
 
 
-def left(c: Column, n: int) -> Column:
-    return F.left(c, F.lit(n))
 
 
 def nonempty(c: Column) -> Column:

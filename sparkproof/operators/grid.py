@@ -38,7 +38,7 @@ HTTP = r"(?i)^https?://"
 
 
 def cell_text(c: Column) -> Column:
-    return F.left(F.trim(F.coalesce(c, F.lit(""))), F.lit(4000))
+    return F.trim(F.coalesce(c, F.lit("")))
 
 
 def canon_header(raw: Column) -> Column:
@@ -59,8 +59,8 @@ def is_placeholder_url(c: Column) -> Column:
 
 def header_languages(cells: DataFrame) -> DataFrame:
     """GRID-1: header row per sheet with its language columns (col, lang, label)."""
-    named = cells.where("row < 30 AND col >= 1").withColumn("t", cell_text(F.col("text"))).where(
-        (F.col("t") != "") & (F.length("t") <= 32)
+    named = cells.where("col >= 1").withColumn("t", cell_text(F.col("text"))).where(
+        F.col("t") != ""
     ).withColumn("lang", canon_header(F.col("t"))).where(F.col("lang").isNotNull())
     best = named.groupBy(*SHEET, "row").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").groupBy(*SHEET).agg(
         F.max_by("row", F.struct("n", -F.col("row"))).alias("row")
@@ -178,7 +178,7 @@ def field_value_rows(cells: DataFrame, master: DataFrame) -> tuple[DataFrame, Da
 
     `master` is (workbook, lang): the language that a value without language columns belongs to."""
     up = cells.withColumn("t", cell_text(F.col("text"))).withColumn("u", F.upper("t"))
-    heads = up.where("row < 20").groupBy(*SHEET, "row").agg(
+    heads = up.groupBy(*SHEET, "row").agg(
         F.min(F.when(F.col("u") == "FIELD", F.col("col"))).alias("field_col"),
         F.min(F.when(F.col("u") == "VALUE", F.col("col"))).alias("value_col"),
     ).where("value_col > field_col")

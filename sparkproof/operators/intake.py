@@ -42,23 +42,21 @@ def take_in(findings: DataFrame, sources: DataFrame, resolved: DataFrame) -> Dat
     """JOIN-17: findings (finding_id, version_id, category, severity, title, evidence, rule_id, expected,
     received) checked against (version_id, source); resolved (rule_id, enabled, severity_override).
 
-    Schema limits drop rows with too long texts. Unknown rule ids are cleared and the finding kept."""
-    valid = findings.where(
-        (F.col("severity") != "OK")
-        & (F.length("evidence") <= 300)
-        & (F.coalesce(F.length("rule_id"), F.lit(0)) <= 60)
-        & (F.coalesce(F.length("expected"), F.lit(0)) <= 500)
-        & (F.coalesce(F.length("received"), F.lit(0)) <= 500)
-        & (F.col("title").isNull() | F.col("title").isin(*AGENT_TITLES))
-    )
-    rows = skew_join(valid, sources, ["version_id"], "left")
+    `in_schema` says whether a finding keeps the schema's limits of length and titles; the row stays
+    either way, and an unknown title is replaced. Unknown rule ids are cleared and the finding kept."""
+    limits = {"evidence": 300, "rule_id": 60, "expected": 500, "received": 500}
+    in_schema = F.col("title").isNull() | F.col("title").isin(*AGENT_TITLES)
+    for name, most in limits.items():
+        in_schema = in_schema & (F.coalesce(F.length(name), F.lit(0)) <= most)
+    told = findings.where(F.col("severity") != "OK").withColumn("in_schema", in_schema)
+    rows = skew_join(told, sources, ["version_id"], "left")
     verified = evidence_found(F.col("evidence"), F.col("source"))
     pair = F.coalesce((F.col("received") == "") | quote_found(F.col("received"), F.col("source")), F.lit(False))
     rows = rows.withColumn("verified", verified).withColumn("pair", pair).drop("source")
-    rows = rows.join(F.broadcast(resolved), "rule_id", "left")
+    rows = skew_join(rows, resolved, ["rule_id"], "left")
     known = F.col("enabled").isNotNull()
     severity = F.when(~F.col("verified"), "MINEUR").otherwise(F.coalesce("severity_override", "severity"))
-    fits = F.coalesce(title_fits(F.col("title"), F.col("category")), F.lit(False)) & F.col("title").isNotNull()
+    fits = F.col("title").isin(*AGENT_TITLES) & title_fits(F.col("title"), F.col("category"))
     title = F.when(~F.col("verified"), REVIEW).when(fits, F.col("title")).otherwise(
         title_for_finding(F.lit(None).cast("string"), F.col("category"))
     )
@@ -66,21 +64,22 @@ def take_in(findings: DataFrame, sources: DataFrame, resolved: DataFrame) -> Dat
         "finding_id", "version_id", "category", severity.alias("severity"), title.alias("title"),
         "evidence", F.when(known, F.col("rule_id")).alias("rule_id"), "verified",
         F.when(F.col("pair"), F.col("expected")).alias("expected"),
-        F.when(F.col("pair"), F.col("received")).alias("received"),
+        F.when(F.col("pair"), F.col("received")).alias("received"), "in_schema",
     )
 
 
 def arbitrate(findings: DataFrame, verdicts: DataFrame, sources: DataFrame) -> DataFrame:
-    """JOIN-16: findings (finding_id, version_id, block, suggestion) after verdicts (finding_id, verdict,
-    evidence, note). A faithful verdict clears a finding only when its evidence is in the mail; the
-    cleared ones come back as `passed` rows. The last deviation note is put before the suggestion."""
+    """JOIN-16: findings (finding_id, version_id, block, suggestion) after verdicts (finding_id, seq,
+    verdict, evidence, note). A faithful verdict clears a finding only when its evidence is in the mail; the
+    cleared ones come back as `passed` rows. The deviation note of the highest seq is put before
+    the suggestion."""
     v = verdicts.join(findings.select("finding_id", "version_id"), "finding_id")
     checked = skew_join(v, sources, ["version_id"], "left").withColumn(
         "clears", (F.col("verdict") != "deviation") & evidence_found(F.col("evidence"), F.col("source"))
     )
     per = checked.groupBy("finding_id").agg(
         F.max("clears").alias("cleared"),
-        F.max(F.when((F.col("verdict") == "deviation") & nonempty(F.trim("note")), F.trim("note"))).alias("note"),
+        F.max_by(F.trim("note"), F.when((F.col("verdict") == "deviation") & nonempty(F.trim("note")), F.col("seq"))).alias("note"),
     )
     rows = findings.join(per, "finding_id", "left")
     cleared = F.coalesce("cleared", F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkproof.functions import urls
-from sparkproof.operators.skew import skew_join
+from sparkproof.operators.skew import plan_bytes, skew_join
 
 # Default status lists and the redirect limit of the link check.
 BLOCKED = [400, 403, 405, 429]
@@ -14,6 +14,7 @@ BROKEN = [404, 410]
 MAX_REDIRECTS = 5
 PROBED_KINDS = ("statique", "tracked")
 
+PARTITION_BYTES = 64 * 1024 * 1024
 
 def with_link_key(links: DataFrame) -> DataFrame:
     return links.withColumn(
@@ -146,7 +147,9 @@ def attach_results(mails: DataFrame, results: DataFrame) -> DataFrame:
     )
     # An explicit number keeps all tasks for the rules that follow: they are heavy on small rows, and
     # adaptive execution would merge the partitions by their size.
+    # The number follows the data, so that a partition stays about as large as a scan's split.
     n = int(mails.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(n, -(-plan_bytes(mails) // PARTITION_BYTES))
     return mails.repartition(n, "version_id").join(aligned, "version_id", "left")
 
 

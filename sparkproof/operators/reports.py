@@ -11,7 +11,7 @@ from sparkproof.functions.names import CRITERIA
 from sparkproof.functions.text import strip_control_chars
 from sparkproof.operators.dedup import is_blocking
 from sparkproof.operators.findings import nonempty, text
-from sparkproof.operators.skew import latest
+from sparkproof.operators.skew import latest, rank_in_group
 
 VERDICT_RANK = {"GO": 1, "GO_AVEC_RESERVES": 2, "NO_GO": 3}
 
@@ -218,13 +218,18 @@ def tracker(campaigns: DataFrame) -> DataFrame:
     )
 
 
-def review_progress(findings: DataFrame) -> DataFrame:
-    """AGG-19: accepted and corrected findings stay active here, unlike in the verdict."""
+def review_progress(reports: DataFrame, findings: DataFrame) -> DataFrame:
+    """AGG-19: accepted and corrected findings stay active here, unlike in the verdict.
+
+    Reports without findings have a row of zeros."""
     r = F.col("review")
-    return findings.groupBy("report_id").agg(
+    found = findings.groupBy("report_id").agg(
         F.count_if(r.isNotNull()).alias("treated"), F.count(F.lit(1)).alias("total"),
         F.count_if(r.isNull() | (r != "faux_positif")).alias("active"),
     )
+    return reports.select("report_id").join(found, "report_id", "left").select(
+        "report_id", *_zero("treated", "total", "active")
+    )
 
 
 def portfolio_campaigns(campaigns: DataFrame, versions: DataFrame, reports: DataFrame) -> DataFrame:
@@ -327,8 +332,8 @@ def links_sheet(results: DataFrame) -> DataFrame:
         "version_id", "pos",
         F.coalesce(parse_test_name(F.col("name"))["market"], F.lit("?")).alias("market"),
         strip_control_chars(F.when(F.col("text") != "", F.col("text")).otherwise("—")).alias("link_text"),
-        strip_control_chars(F.left("href", F.lit(500))).alias("url"),
-        strip_control_chars(F.left(F.coalesce("final_url", F.lit("")), F.lit(500))).alias("final_url"),
+        strip_control_chars(F.col("href")).alias("url"),
+        strip_control_chars(F.coalesce("final_url", F.lit(""))).alias("final_url"),
         F.coalesce(label, F.col("status")).alias("status"),
     )
 
@@ -336,23 +341,22 @@ def links_sheet(results: DataFrame) -> DataFrame:
 def version_changes(findings: DataFrame, versions: DataFrame) -> DataFrame:
     """AGG-20: finding counts by version and which findings are new, kept or gone.
 
-    `findings` has version_id and a dedup key; a finding's previous version is the one numbered
-    before it inside the campaign, joined by number, so no campaign needs one task."""
-    numbered = findings.join(versions.select("version_id", "campaign_id", "version_no"), "version_id").select(
-        "campaign_id", "version_no", "dedup_key"
+    `findings` has version_id and a dedup key. A version's predecessor is the next lower number that its
+    campaign has; numbers may have gaps. Versions without findings have a row of zeros or of what they
+    have fixed. Versions are numbered by ranges, so no campaign needs one task."""
+    known = rank_in_group(versions.select("campaign_id", "version_no").distinct(), ["campaign_id"], "version_no", [])
+    placed = versions.select("version_id", "campaign_id", "version_no").join(known, ["campaign_id", "version_no"])
+    now = findings.join(placed, "version_id").select(
+        "campaign_id", "rank", "dedup_key", F.lit(1).alias("here")
     ).distinct()
-    now = numbered.withColumn("here", F.lit(1))
-    before = numbered.select(
-        "campaign_id", (F.col("version_no") + 1).alias("version_no"), "dedup_key", F.lit(1).alias("there")
-    )
-    known = versions.select("campaign_id", "version_no").distinct()
-    both = now.join(before, ["campaign_id", "version_no", "dedup_key"], "full")
-    return known.join(
-        both.groupBy("campaign_id", "version_no").agg(
-            F.count_if(F.col("here").isNotNull()).alias("n_findings"),
-            F.count_if(F.col("there").isNull()).alias("n_new"),
-            F.count_if(F.col("here").isNull()).alias("n_fixed"),
-            F.count_if(F.col("here").isNotNull() & F.col("there").isNotNull()).alias("n_kept"),
-        ),
-        ["campaign_id", "version_no"],
+    before = now.select("campaign_id", (F.col("rank") + 1).alias("rank"), "dedup_key", F.lit(1).alias("there"))
+    both = now.join(before, ["campaign_id", "rank", "dedup_key"], "full")
+    counts = both.groupBy("campaign_id", "rank").agg(
+        F.count_if(F.col("here").isNotNull()).alias("n_findings"),
+        F.count_if(F.col("there").isNull()).alias("n_new"),
+        F.count_if(F.col("here").isNull()).alias("n_fixed"),
+        F.count_if(F.col("here").isNotNull() & F.col("there").isNotNull()).alias("n_kept"),
+    )
+    return known.join(counts, ["campaign_id", "rank"], "left").select(
+        "campaign_id", "version_no", *_zero("n_findings", "n_new", "n_fixed", "n_kept")
     )

@@ -16,7 +16,7 @@ from sparkproof.functions.languages import same_lang
 from sparkproof.functions.names import parse_test_name
 from sparkproof.functions.text import WS, let, norm_text
 from sparkproof.operators.findings import (
-    NO_FINDINGS, NO_PASSED, REVIEW, each, finding, left, nonempty, only_if, passed, text,
+    NO_FINDINGS, NO_PASSED, REVIEW, each, finding, nonempty, only_if, passed, text,
 )
 
 # Patterns whose hits decide results.
@@ -187,8 +187,8 @@ def prepare(mails: DataFrame) -> DataFrame:
     )
 
 
-def link_name(x: Column, cut: int = 60) -> Column:
-    return F.when(x["text"] != "", x["text"]).otherwise(left(x["href"], cut))
+def link_name(x: Column) -> Column:
+    return F.when(x["text"] != "", x["text"]).otherwise(x["href"])
 
 
 def link_locator(x: Column) -> Column:
@@ -232,7 +232,7 @@ def test_name(m: Mail):
     bad = finding(
         "test-name-nomenclature", "contenu", "MINEUR",
         "Test name does not follow [number - campaign - market - audience]",
-        left(m.name, 200), "subject", "Problem in the subject line",
+        m.name, "subject", "Problem in the subject line",
     )
     label = text(
         "Test name is well formed (#", F.col("test_name.test_number"), ", ",
@@ -270,7 +270,7 @@ def unsubscribe_link(m: Mail):
 
 
 def _probe_locator(x: Column) -> Column:
-    return text("lien:", left(x["href"], 100))
+    return text("lien:", x["href"])
 
 
 @rule("broken-links")
@@ -279,7 +279,7 @@ def broken_links(m: Mail):
         m.links, lambda x: x["status"] == "casse",
         lambda x: finding(
             "broken-links", "liens", "CRITIQUE", text('Broken link: "', link_name(x), '"'),
-            text(left(x["href"], 180), " → ", x["reason"]), _probe_locator(x),
+            text(x["href"], " → ", x["reason"]), _probe_locator(x),
         ),
     )
 
@@ -303,7 +303,7 @@ def suspicious_links(m: Mail):
         m.links, lambda x: x["status"] == "suspect",
         lambda x: finding(
             "suspicious-links", "liens", "MAJEUR", text('Suspicious link: "', link_name(x), '"'),
-            text(left(x["href"], 180), " → ", x["reason"]), _probe_locator(x),
+            text(x["href"], " → ", x["reason"]), _probe_locator(x),
         ),
     ), none_passed()
 
@@ -315,7 +315,7 @@ def staging_links(m: Mail):
         m.links, lambda x: x["status"].isNotNull() & x["href"].rlike(pattern),
         lambda x: finding(
             "staging-links", "liens", "CRITIQUE", "Link to a test environment",
-            left(x["href"], 200), _probe_locator(x),
+            x["href"], _probe_locator(x),
         ),
     ), none_passed()
 
@@ -342,7 +342,7 @@ def ampscript_redirect(m: Mail):
         & ~x["href"].rlike("(?iu)RedirectTo"),
         lambda x: finding(
             "ampscript-redirect", "liens", "CRITIQUE",
-            "Dynamic link without RedirectTo: it will lead nowhere", left(x["href"], 200),
+            "Dynamic link without RedirectTo: it will lead nowhere", x["href"],
             link_locator(x),
         ),
     ), none_passed()
@@ -384,20 +384,20 @@ def utm_missing(m: Mail):
         names = F.array_join(
             F.transform(
                 F.slice(no, 1, 3),
-                lambda x: text('"', left(F.when(x["text"] != "", x["text"]).otherwise(x["href"]), 60), '"'),
+                lambda x: text('"', F.when(x["text"] != "", x["text"]).otherwise(x["href"]), '"'),
             ), ", ",
         )
         more = F.when(n > 3, text(" and ", n - 3, " more")).otherwise("")
         lines = F.transform(
             no,
-            lambda x: text(F.when(x["text"] != "", x["text"]).otherwise("?"), " → ", left(x["href"], 80)),
+            lambda x: text(F.when(x["text"] != "", x["text"]).otherwise("?"), " → ", x["href"]),
         )
         return only_if(
             (n > 0) & some,
             finding(
                 "utm-missing", "tracking", "MAJEUR",
                 text(n, " link(s) without any UTM parameter while others have them: ", names, more),
-                left(F.array_join(lines, " | "), 280), "liens",
+                F.array_join(lines, " | "), "liens",
             ),
         )
 
@@ -410,7 +410,7 @@ def malformed_url(m: Mail):
         m.links, lambda x: (x["kind"] == "statique") & x["href"].rlike(r"\?\?|%20%20| "),
         lambda x: finding(
             "malformed-url", "tracking", "MINEUR", "Malformed URL (blank or double question mark)",
-            left(x["href"], 200), link_locator(x), REVIEW,
+            x["href"], link_locator(x), REVIEW,
         ),
     ), none_passed()
 
@@ -420,9 +420,7 @@ def _content_images(m: Mail) -> Column:
 
 
 def _file_names(images: Column) -> Column:
-    return left(
-        F.array_join(F.transform(images, lambda im: F.substring_index(im["src"], "/", -1)), ", "), 280
-    )
+    return F.array_join(F.transform(images, lambda im: F.substring_index(im["src"], "/", -1)), ", ")
 
 
 @rule("image-alt")
@@ -539,7 +537,7 @@ def allowed_domains(m: Mail):
         m.trackable, outside,
         lambda x: finding(
             "brand-allowed-domains", "liens", "MAJEUR",
-            text("Link to a domain outside the brand's list: ", x["host"]), left(x["href"], 200),
+            text("Link to a domain outside the brand's list: ", x["host"]), x["href"],
             link_locator(x),
         ),
     )
@@ -773,7 +771,7 @@ def cn_domain_mix(m: Mail):
         lambda x: finding(
             "cn-domain-mix", "liens", severity,
             text("Chinese domain (", cn_host(x), ") in a ", m.effective_market, " mail", note),
-            text('"', link_name(x), '" → ', left(F.coalesce(x["final_url"], x["href"]), 200)),
+            text('"', link_name(x), '" → ', F.coalesce(x["final_url"], x["href"])),
             link_locator(x),
         ),
     )
@@ -822,7 +820,7 @@ def _utm_rule(rule_id: str, message: str, bad_value) -> None:
             m.links,
             lambda x: F.exists(F.map_entries(x["own_utm"]), lambda e: bad_value(e["value"])),
             lambda x: finding(
-                rule_id, "tracking", "MINEUR", message, left(x["href"], 200), link_locator(x)
+                rule_id, "tracking", "MINEUR", message, x["href"], link_locator(x)
             ),
         ), none_passed()
 

@@ -5,69 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.02
-SALTS = 64
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """More partitions for an input that arrives in fewer than there are cores (one small file).
-
-    At scale the scan already has many splits and the data stay where they are."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    have = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(want) if have < want else df
+RANGES = 1024
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's upper estimate of the size of a plan's output."""
+    """Catalyst's estimate of the size of a plan's output. Only parallelism may depend on it."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint only when the estimated size is below the limit; else the plan decides."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
-
+def spread(df: DataFrame) -> DataFrame:
+    """As many partitions as there are cores for an input that is too small to have them (one small file).
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than `share` of all rows: at most 1/share rows, so safe to broadcast."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return (
-        counts.join(F.broadcast(total))
-        .where(F.col("_n") > F.greatest(F.lit(1000), F.col("_total") * share))
-        .select(*keys, F.lit(True).alias("_hot"))
+    At scale the scan already has many splits and the data stay where they are."""
+    spark = df.sparkSession
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
     )
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan_bytes(df) < cores * split else df
 
 
-def skew_join(
-    big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS
-) -> DataFrame:
+def skew_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join of a large, possibly skewed table with a table of few rows per key.
 
-    A small `other` is broadcast. Else rows of hot keys get a random-free salt from their content
-    and only the matching rows of `other` are copied once per salt; all other rows stay as they are."""
+    Nothing is hinted: Spark broadcasts `other` where its size, measured at run time, allows it. Else both
+    sides get an exchange of their own, which adaptive execution needs to split the tasks of hot keys by
+    their bytes, however many rows a key has. The extra key, always 0, keeps a side that is already
+    partitioned by the keys (an aggregate, say) from going without that exchange."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
-    if plan_bytes(other) <= BROADCAST_BYTES:
-        return big.join(F.broadcast(other), keys, how)
-    hot = F.broadcast(hot_keys(big, keys))
-    spread = [c for c in big.columns if c not in keys] or big.columns
-    salted = big.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)),
-    )
-    copies = other.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
-    )
-    salted = salted.withColumn("_salt", F.col("_salt").cast("int")).drop("_hot")
-    return salted.join(copies.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
+    apart = F.pmod(F.xxhash64(*keys), F.lit(1))
+    joined = big.withColumn("_apart", apart).join(other.withColumn("_apart", apart), [*keys, "_apart"], how)
+    return joined.drop("_apart")
 
 
 def rank_in_group(
@@ -76,22 +46,22 @@ def rank_in_group(
     order: str,
     ties: list[Column | str],
     out: str = "rank",
-    buckets: int = 64,
+    ranges: int = RANGES,
 ) -> DataFrame:
     """row_number() over (group order by order, ties) without one task per group.
 
-    The order column is cut into value ranges. A row's rank is the number of rows of its group in
-    earlier ranges (a pre-aggregated count) plus its rank inside its own range."""
+    The order column is cut into value ranges of about equal numbers of rows (a power of two of them). A
+    row's rank is the number of rows of its group in earlier ranges (a pre-aggregated count) plus its
+    rank inside its own range. The cuts are a one-row subquery of the same plan."""
     is_time = df.schema[order].dataType.typeName().startswith("timestamp")
     numeric = (F.col(order).cast("timestamp") if is_time else F.col(order)).cast("double")
-    cuts = df.agg(
-        F.percentile_approx(numeric, [i / buckets for i in range(1, buckets)], 10000).alias("c")
-    ).first()["c"]
-    bounds = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < numeric)) if (
-        bounds
-    ) else F.lit(0)
-    tagged = df.withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
+    cuts = df.agg(F.percentile_approx(numeric, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("c"))
+    steps = F.array(*[F.lit(ranges >> i) for i in range(1, ranges.bit_length())])
+    tagged = df.withColumn("_cuts", cuts.scalar()).withColumn("_value", numeric)
+    below = F.aggregate(
+        steps, F.lit(0), lambda at, s: at + F.when(F.get("_cuts", at + s - 1) < F.col("_value"), s).otherwise(0)
+    )
+    tagged = tagged.withColumn("_bucket", F.when(F.col("_value").isNull(), -1).otherwise(below)).drop("_cuts", "_value")
     key = [*group, "_bucket"]
     counts = tagged.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(

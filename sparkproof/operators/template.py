@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sparkproof.functions.languages import canon_column
 from sparkproof.operators.findings import nonempty
-from sparkproof.operators.skew import broadcast_if_small
 
 DEFAULT_TEMPLATE = "default"
 
@@ -53,7 +52,7 @@ def field_hits(fields: DataFrame, seen: DataFrame) -> DataFrame:
     keys = fields.where("kind <> 'meta'").select(
         "field_ord", "key", F.posexplode(lookup_keys(F.col("label"), F.col("aliases"), F.col("kind"))).alias("a", "cell")
     )
-    found = seen.join(broadcast_if_small(keys), "cell")
+    found = seen.join(keys, "cell")
     return found.groupBy("brief_id", "field_ord", "key").agg(F.min_by("cell", "a").alias("cell"))
 
 
@@ -61,7 +60,7 @@ def language_columns(codes: DataFrame) -> DataFrame:
     """RUL-28/29: (code, canon, ambiguous); canon NULL is unsupported."""
     named = codes.withColumn("canon", canon_column(F.col("code")))
     counts = named.where("canon IS NOT NULL").groupBy("canon").agg(F.count(F.lit(1)).alias("n"))
-    return named.join(F.broadcast(counts), "canon", "left").select(
+    return named.join(counts, "canon", "left").select(
         "code", "canon", (F.coalesce("n", F.lit(0)) > 1).alias("ambiguous")
     )
 
@@ -77,7 +76,7 @@ def conformance(briefs: DataFrame, seen: DataFrame, fields: DataFrame, codes: Da
     matched = hits.select("brief_id").distinct()
     active = measured.join(matched, "brief_id")
     meta = fields.where("kind <> 'meta'").select("field_ord", "key", "label", "required", "translatable")
-    rows = active.join(broadcast_if_small(meta)).join(hits.select("brief_id", "field_ord", "cell"), ["brief_id", "field_ord"], "left")
+    rows = active.join(meta).join(hits.select("brief_id", "field_ord", "cell"), ["brief_id", "field_ord"], "left")
     none = F.lit(None).cast("string")
     missing = rows.where("cell IS NULL AND required").select(
         "brief_id", F.lit("template-structure").alias("rule_id"), F.col("label").alias("item"), F.lit("missing").alias("detail")
@@ -88,7 +87,7 @@ def conformance(briefs: DataFrame, seen: DataFrame, fields: DataFrame, codes: Da
     cols = language_columns(codes)
     usable = cols.where("canon IS NOT NULL").select("code", "canon")
     # Columns whose language the brief activates; ambiguity counts among the activated ones.
-    on = active.select("brief_id", F.explode("langs").alias("canon")).join(broadcast_if_small(usable), "canon")
+    on = active.select("brief_id", F.explode("langs").alias("canon")).join(usable, "canon")
     pairs = on.groupBy("brief_id", "canon").agg(F.collect_list("code").alias("cs"))
     clear = pairs.where(F.size("cs") == 1).select("brief_id", "canon", F.get("cs", F.lit(0)).alias("code"))
     need = rows.where("cell IS NOT NULL AND translatable").join(
@@ -101,7 +100,7 @@ def conformance(briefs: DataFrame, seen: DataFrame, fields: DataFrame, codes: Da
         F.array_join(F.array_sort(F.collect_set("c")), ", ").alias("item")
     ).select("brief_id", F.lit("template-language-ambiguous").alias("rule_id"), "item", none.alias("detail"))
     bad_codes = cols.where("canon IS NULL").agg(F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("item")).where("item <> ''")
-    unsupported = active.select("brief_id").join(F.broadcast(bad_codes)).select(
+    unsupported = active.select("brief_id").join(bad_codes).select(
         "brief_id", F.lit("template-language-unsupported").alias("rule_id"), "item", none.alias("detail")
     )
     by_cell = hits.groupBy("brief_id", "cell").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"), F.count(F.lit(1)).alias("n"))

@@ -43,7 +43,7 @@ def missing(spark, sf):
 
 RELATIONS["agent_findings"] = """SELECT doc_id AS finding_id, doc_id AS version_id, CASE doc_id % 4 WHEN 0 THEN 'liens' WHEN 1 THEN 'contenu' WHEN 2 THEN 'rendu' ELSE 'brief' END AS category,
   CASE doc_id % 6 WHEN 0 THEN 'OK' WHEN 1 THEN 'CRITIQUE' ELSE 'MAJEUR' END AS severity, CASE doc_id % 5 WHEN 0 THEN 'Problem in a link' WHEN 1 THEN 'Problem in the content' WHEN 2 THEN 'Invented title' END AS title,
-  CASE doc_id % 3 WHEN 0 THEN substring(text, 3, 20) WHEN 1 THEN 'not in the text 123' ELSE 'abc' END AS evidence,
+  CASE doc_id % 3 WHEN 0 THEN substring(text, 3, 20) WHEN 1 THEN 'not in the text 123' ELSE CASE WHEN doc_id % 2 = 0 THEN substring(text, 3, 400) ELSE 'abc' END END AS evidence,
   CASE doc_id % 7 WHEN 0 THEN 'r-off' WHEN 1 THEN 'r-on' WHEN 2 THEN 'r-unknown' END AS rule_id, 'want' AS expected,
   CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN substring(text, 1, 9) WHEN 2 THEN 'nowhere 123' END AS received FROM {documents}"""
 
@@ -53,10 +53,11 @@ RELATIONS["agent_findings"] = """SELECT doc_id AS finding_id, doc_id AS version_
     f"""SELECT finding_id, version_id, category, CASE WHEN NOT ok THEN 'MINEUR' WHEN rule_id = 'r-on' THEN 'MINEUR' ELSE severity END AS severity,
       CASE WHEN NOT ok THEN 'Possible issue to review' WHEN (title = 'Problem in a link' AND category = 'liens') OR (title = 'Problem in the content' AND category IN ('contenu', 'brief')) THEN title
         ELSE CASE category WHEN 'liens' THEN 'Problem in a link' WHEN 'contenu' THEN 'Problem in the content' WHEN 'rendu' THEN 'Problem in the rendering' ELSE 'Problem in the translation' END END AS title,
-      evidence, CASE WHEN rule_id = 'r-on' THEN rule_id END AS rule_id, ok AS verified, CASE WHEN pair THEN expected END AS expected, CASE WHEN pair THEN received END AS received
+      evidence, CASE WHEN rule_id = 'r-on' THEN rule_id END AS rule_id, ok AS verified, CASE WHEN pair THEN expected END AS expected, CASE WHEN pair THEN received END AS received,
+      coalesce(title, '') <> 'Invented title' AND length(evidence) <= 300 AND length(coalesce(received, '')) <= 500 AS in_schema
       FROM (SELECT f.*, length(evidence) < 4 OR contains({Q.format('d.text')}, {Q.format('evidence')}) AS ok,
           coalesce(received = '' OR contains({Q.format('d.text')}, {Q.format('received')}), false) AS pair FROM {{agent_findings}} f JOIN documents d ON d.doc_id = f.version_id) x
-      WHERE severity <> 'OK' AND coalesce(title, '') <> 'Invented title' AND coalesce(rule_id, '') <> 'r-off'""",
+      WHERE severity <> 'OK' AND coalesce(rule_id, '') <> 'r-off'""",
 )
 def findings_intake(spark, sf):
     src = table(spark, sf, "documents").select(F.col("doc_id").alias("version_id"), F.col("text").alias("source"))
@@ -65,15 +66,19 @@ def findings_intake(spark, sf):
 
 
 ARB = """SELECT doc_id AS finding_id, doc_id AS version_id, CASE WHEN doc_id % 2 = 0 THEN 'Check it' END AS suggestion FROM {documents}"""
-VERDICTS = """SELECT doc_id AS finding_id, CASE doc_id % 3 WHEN 0 THEN 'faithful' ELSE 'deviation' END AS verdict, CASE doc_id % 2 WHEN 0 THEN substring(text, 2, 15) ELSE 'qq not there qq' END AS evidence,
-  CASE WHEN doc_id % 4 = 1 THEN ' tone ' END AS note FROM {documents} WHERE doc_id % 5 <> 0"""
+VERDICTS = """SELECT doc_id AS finding_id, s AS seq, CASE WHEN (doc_id + s) % 3 = 0 THEN 'faithful' ELSE 'deviation' END AS verdict, CASE doc_id % 2 WHEN 0 THEN substring(text, 2, 15) ELSE 'qq not there qq' END AS evidence,
+  CASE WHEN (doc_id + s) % 4 <> 0 THEN concat(' ', CASE s WHEN 1 THEN 'zeta' WHEN 2 THEN 'alpha' ELSE 'mid' END, ' ') END AS note
+  FROM {documents} CROSS JOIN (SELECT 1 AS s UNION ALL SELECT 2 UNION ALL SELECT 3) n WHERE doc_id % 5 <> 0"""
 
 
 @query(
     "join16_arbitration",
-    f"""SELECT f.finding_id, f.version_id, CASE WHEN verdict = 'faithful' AND contains({Q.format('d.text')}, {Q.format('evidence')}) THEN 'passed' ELSE 'kept' END AS state,
-      CASE WHEN verdict = 'deviation' AND note IS NOT NULL THEN concat('Translation review: tone', CASE WHEN suggestion IS NULL THEN '' ELSE concat(' — ', suggestion) END) ELSE suggestion END AS suggestion
-      FROM ({ARB}) f LEFT JOIN ({VERDICTS}) v USING (finding_id) JOIN documents d ON d.doc_id = f.version_id""",
+    f"""WITH v AS (SELECT finding_id, bool_or(verdict = 'faithful' AND contains({Q.format('d.text')}, {Q.format('evidence')})) AS clear,
+        arg_max(trim(note), seq) FILTER (WHERE verdict = 'deviation' AND note IS NOT NULL) AS note
+        FROM ({VERDICTS}) v JOIN documents d ON d.doc_id = v.finding_id GROUP BY 1)
+      SELECT f.finding_id, f.version_id, CASE WHEN clear THEN 'passed' ELSE 'kept' END AS state,
+      CASE WHEN NOT coalesce(clear, false) AND note IS NOT NULL THEN concat('Translation review: ', note, CASE WHEN suggestion IS NULL THEN '' ELSE concat(' — ', suggestion) END) ELSE suggestion END AS suggestion
+      FROM ({ARB}) f LEFT JOIN v USING (finding_id)""",
 )
 def arbitration(spark, sf):
     src = table(spark, sf, "documents").select(F.col("doc_id").alias("version_id"), F.col("text").alias("source"))
@@ -138,7 +143,7 @@ def new_messages(spark, sf):
 
 @query(
     "str05_result_cache",
-    """SELECT doc_id AS version_id, left(sha256(concat(text, lang, '7')), 24) AS content_hash, doc_id % 3 = 0 AS reused FROM documents""",
+    """SELECT doc_id AS version_id, left(sha256(concat(length(text), ':', text, length(lang), ':', lang, '1:7')), 24) AS content_hash, doc_id % 3 = 0 AS reused FROM documents""",
 )
 def result_cache(spark, sf):
     h = N.content_hash(F.col("text"), F.col("lang"), F.lit("7")).alias("content_hash")
@@ -233,11 +238,14 @@ def markets(spark, sf):
 
 @query(
     "scl27_cell_references",
-    """SELECT p_partkey, concat(CASE WHEN c >= 26 THEN chr(CAST(64 + floor(c / 26) AS INTEGER)) ELSE '' END, chr(CAST(65 + c % 26 AS INTEGER)), p_size + 1) AS ref, CAST(c AS INTEGER) AS back FROM (SELECT p_partkey, p_size, p_partkey % 700 AS c FROM part) p""",
+    """SELECT l_orderkey, l_linenumber, concat(CASE WHEN c >= 702 THEN chr(CAST(65 + (c - 702) // 676 AS INTEGER)) ELSE '' END, CASE WHEN c >= 26 THEN chr(CAST(65 + (c // 26 - 1) % 26 AS INTEGER)) ELSE '' END,
+      chr(CAST(65 + c % 26 AS INTEGER)), l_linenumber + 1) AS ref, CAST(c AS INTEGER) AS back FROM (SELECT l_orderkey, l_linenumber, (l_orderkey * 7 + l_linenumber) % 16384 AS c FROM lineitem) p""",
 )
 def cell_refs(spark, sf):
-    rows = table(spark, sf, "part").withColumn("ref", N.cell_ref(F.col("p_size"), (F.col("p_partkey") % 700).cast("int")))
-    return rows.select("p_partkey", "ref", N.column_index(F.regexp_extract("ref", "^([A-Z]+)", 1)).alias("back"))
+    """All 16,384 columns of a sheet come up."""
+    col = ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 16384).cast("int")
+    rows = table(spark, sf, "lineitem").withColumn("ref", N.cell_ref(F.col("l_linenumber"), col))
+    return rows.select("l_orderkey", "l_linenumber", "ref", N.column_index(F.regexp_extract("ref", "^([A-Z]+)", 1)).alias("back"))
 
 
 @query("scl28_message_id_hex", "SELECT o_orderkey, lower(to_hex(o_orderkey * 1000003)) AS hex, concat(o_orderkey * 1000003) AS back FROM orders")

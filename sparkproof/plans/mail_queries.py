@@ -126,9 +126,8 @@ def ext_footer(spark, sf):
 @query(
     "ext07_tokens_and_snippets",
     mail_sql(r"""SELECT version_id,
-      array_to_string(list_sort(list_distinct(regexp_extract_all(html, '%%[a-zA-Z_][a-zA-Z0-9_]*%%')[1:30])), ',') AS tokens,
-      array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, '(?s)%%[=\[].*?[=\]]%%|%%[a-zA-Z_][a-zA-Z0-9_]*%%')[1:30],
-        lambda s: left(s, 120)))), ',') AS snippets FROM mails"""),
+      array_to_string(list_sort(list_distinct(regexp_extract_all(html, '%%[a-zA-Z_][a-zA-Z0-9_]*%%'))), ',') AS tokens,
+      array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?s)%%[=\[].*?[=\]]%%|%%[a-zA-Z_][a-zA-Z0-9_]*%%'))), ',') AS snippets FROM mails"""),
 )
 def ext_tokens(spark, sf):
     return load(spark, sf, "mails").select(
@@ -267,7 +266,7 @@ def rule_query(name, rule_id, sql, *, source=None, mail=None, extra=None):
 def rows_sql(severity, title, message, evidence, locator, rest, **kw):
     return mail_sql(
         f"""SELECT version_id, {severity} AS severity, '{title}' AS title, {message} AS message,
-        left({evidence}, 300) AS evidence, {locator} AS locator {rest}""", **kw)
+        {evidence} AS evidence, {locator} AS locator {rest}""", **kw)
 
 
 LIEN = "concat('lien#', pos)"
@@ -284,7 +283,7 @@ rule_query(
 rule_query(
     "rul02_test_name_nomenclature", "test-name-nomenclature",
     rows_sql("'MINEUR'", "Problem in the subject line",
-             "'Test name does not follow [number - campaign - market - audience]'", "left(name, 200)", "'subject'",
+             "'Test name does not follow [number - campaign - market - audience]'", "name", "'subject'",
              r"FROM mails LEFT JOIN names n USING (version_id) WHERE regexp_matches(mails.name, '^\s*\[') AND NOT coalesce(n.well_formed, false)",
              names=True),
 )
@@ -299,23 +298,23 @@ rule_query(
       LEFT JOIN (SELECT version_id, min_by(href, pos) AS href, min_by(text, pos) AS text, min(pos) AS pos FROM links
         WHERE kind = 'anchor' AND regexp_matches(text, '{urls.UNSUB_SHORT}') GROUP BY 1) d USING (version_id)"""),
 )
-PROBE_LOC = "concat('lien:', left(href, 100))"
-NAME60 = "CASE WHEN text <> '' THEN text ELSE left(href, 60) END"
+PROBE_LOC = "concat('lien:', href)"
+NAME60 = "CASE WHEN text <> '' THEN text ELSE href END"
 rule_query(
     "rul04_broken_links", "broken-links",
     rows_sql("'CRITIQUE'", "Problem in a link", f"concat('Broken link: \"', {NAME60}, '\"')",
-             "concat(left(href, 180), ' → ', reason)", PROBE_LOC, "FROM checked WHERE status = 'casse'", more=KEY_CTES),
+             "concat(href, ' → ', reason)", PROBE_LOC, "FROM checked WHERE status = 'casse'", more=KEY_CTES),
     source=checked_mails,
 )
 rule_query(
     "rul05_suspicious_links", "suspicious-links",
     rows_sql("'MAJEUR'", "Problem in a link", f"concat('Suspicious link: \"', {NAME60}, '\"')",
-             "concat(left(href, 180), ' → ', reason)", PROBE_LOC, "FROM checked WHERE status = 'suspect'", more=KEY_CTES),
+             "concat(href, ' → ', reason)", PROBE_LOC, "FROM checked WHERE status = 'suspect'", more=KEY_CTES),
     source=checked_mails,
 )
 rule_query(
     "rul06_staging_links", "staging-links",
-    rows_sql("'CRITIQUE'", "Problem in a link", "'Link to a test environment'", "left(href, 200)", PROBE_LOC,
+    rows_sql("'CRITIQUE'", "Problem in a link", "'Link to a test environment'", "href", PROBE_LOC,
              f"FROM checked WHERE regexp_matches(href, '(?i){rules.STAGING}|\\.example\\.net/r')", more=KEY_CTES),
     source=checked_mails, mail=rules.Mail(extra_staging=[".example.net/r"]),
 )
@@ -327,7 +326,7 @@ rule_query(
 )
 rule_query(
     "rul08_ampscript_redirect", "ampscript-redirect",
-    rows_sql("'CRITIQUE'", "Problem in a link", "'Dynamic link without RedirectTo: it will lead nowhere'", "left(href, 200)",
+    rows_sql("'CRITIQUE'", "Problem in a link", "'Dynamic link without RedirectTo: it will lead nowhere'", "href",
              LIEN, r"FROM links WHERE kind = 'ampscript' AND regexp_matches(href, '(?i)%%=?\s*v\(') AND NOT regexp_matches(href, '(?i)RedirectTo')"),
 )
 CAMPAIGNS = """SELECT version_id, utm_campaign AS c, min(pos) AS p FROM {src} WHERE kind IN ('statique', 'tracked')
@@ -346,9 +345,9 @@ rule_query(
     "rul10_utm_missing", "utm-missing",
     mail_sql(f"""SELECT version_id, 'MAJEUR' AS severity, 'Problem in the tracking' AS title,
       concat(count(*), ' link(s) without any UTM parameter while others have them: ',
-        string_agg(concat('"', left(CASE WHEN text <> '' THEN text ELSE href END, 60), '"'), ', ' ORDER BY pos) FILTER (WHERE rn <= 3),
+        string_agg(concat('"', CASE WHEN text <> '' THEN text ELSE href END, '"'), ', ' ORDER BY pos) FILTER (WHERE rn <= 3),
         CASE WHEN count(*) > 3 THEN concat(' and ', count(*) - 3, ' more') ELSE '' END) AS message,
-      left(string_agg(concat(CASE WHEN text <> '' THEN text ELSE '?' END, ' → ', left(href, 80)), ' | ' ORDER BY pos), 280) AS evidence,
+      string_agg(concat(CASE WHEN text <> '' THEN text ELSE '?' END, ' → ', href), ' | ' ORDER BY pos) AS evidence,
       'liens' AS locator
       FROM (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY pos) AS rn FROM ueff
         WHERE kind IN ('statique', 'tracked') AND len(eff_utm) = 0 AND NOT regexp_matches(text, '{rules.UNTRACKED_TEXT}')
@@ -360,7 +359,7 @@ rule_query(
 )
 rule_query(
     "rul11_malformed_url", "malformed-url",
-    rows_sql("'MINEUR'", REVIEW, "'Malformed URL (blank or double question mark)'", "left(href, 200)", LIEN,
+    rows_sql("'MINEUR'", REVIEW, "'Malformed URL (blank or double question mark)'", "href", LIEN,
              r"FROM links WHERE kind = 'statique' AND regexp_matches(href, '\?\?|%20%20| ')"),
 )
 IMG_CTE = """imgs AS (SELECT version_id, tag, n FROM (SELECT version_id, unnest(regexp_extract_all(v, '<img [^>]*>')) AS tag,
@@ -401,7 +400,7 @@ rule_query(
     "rul16_personalization_tokens", "personalization-tokens",
     mail_sql(f"""SELECT version_id, 'MAJEUR' AS severity, 'Problem in the content' AS title,
       concat('Unknown personalization token: ', t) AS message, t AS evidence, 'contenu' AS locator
-      FROM (SELECT DISTINCT version_id, unnest(regexp_extract_all(html, '%%[a-zA-Z_][a-zA-Z0-9_]*%%')[1:30]) AS t FROM mails) x
+      FROM (SELECT DISTINCT version_id, unnest(regexp_extract_all(html, '%%[a-zA-Z_][a-zA-Z0-9_]*%%')) AS t FROM mails) x
       WHERE NOT regexp_matches(t, '{rules.KNOWN_TOKENS}')"""),
 )
 DOMAINS = ["example.com", "example.org"]
@@ -413,7 +412,7 @@ def with_domains(df):
 
 rule_query(
     "rul17_brand_allowed_domains", "brand-allowed-domains",
-    rows_sql("'MAJEUR'", "Problem in a link", "concat('Link to a domain outside the brand''s list: ', host)", "left(href, 200)", LIEN,
+    rows_sql("'MAJEUR'", "Problem in a link", "concat('Link to a domain outside the brand''s list: ', host)", "href", LIEN,
              """FROM links WHERE kind = 'statique' AND host IS NOT NULL AND NOT (host = 'example.com' OR ends_with(host, '.example.com')
              OR host = 'example.org' OR ends_with(host, '.example.org') OR contains(host, 'x.com') OR contains(host, 'facebook')
              OR contains(host, 'instagram') OR contains(host, 'linkedin') OR contains(host, 'twitter') OR contains(host, 'youtube')
@@ -546,7 +545,7 @@ rule_query(
     "rul25_cn_domain_mix", "cn-domain-mix",
     rows_sql("CASE WHEN explicit IS NOT NULL THEN 'CRITIQUE' ELSE 'MAJEUR' END", "Problem in a link",
              "concat('Chinese domain (', host, ') in a ', effective, ' mail', CASE WHEN explicit IS NULL THEN ' (inferred market)' ELSE '' END)",
-             f"concat('\"', {NAME60}, '\" → ', left(href, 200))", LIEN,
+             f"concat('\"', {NAME60}, '\" → ', href)", LIEN,
              f"FROM links JOIN mk USING (version_id) WHERE {TESTABLE} AND ends_with(host, '.cn') AND effective <> 'CN'", names=True, more=MARKET_SQL),
 )
 
@@ -577,7 +576,7 @@ for qname, rid, cond, msg in (
 ):
     rule_query(
         qname, rid,
-        rows_sql("'MINEUR'", "Problem in the tracking", f"'{msg}'", "left(href, 200)", LIEN,
+        rows_sql("'MINEUR'", "Problem in the tracking", f"'{msg}'", "href", LIEN,
                  f"FROM links WHERE len(list_filter(utm, lambda p: {cond})) > 0"),
     )
 

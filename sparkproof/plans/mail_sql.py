@@ -72,7 +72,7 @@ link_rows AS (
   SELECT version_id, 1, unnest(regexp_extract_all(mso, '{A}', 1)), unnest(regexp_extract_all(mso, '{A}', 2)),
     unnest(range(len(regexp_extract_all(mso, '{A}', 1)))) FROM shown),
 link_text AS (SELECT version_id, blk, n, trim({decoded('href')}) AS href,
-  left({folded(decoded('text'))}, 120) AS text FROM link_rows),
+  {folded(decoded('text'))} AS text FROM link_rows),
 link_first AS (SELECT version_id, href, text, min({{'blk': blk, 'n': n}}) AS place
   FROM link_text GROUP BY ALL),
 link_params AS (SELECT version_id,
@@ -96,14 +96,14 @@ block_text AS (SELECT version_id, n, {folded(decoded("regexp_replace(t, '<[^>]*>
 text_first AS (SELECT version_id, text, min(n) AS n FROM block_text WHERE length(text) > 2 GROUP BY ALL),
 texts_all AS (SELECT version_id, text, CAST(row_number() OVER (PARTITION BY version_id ORDER BY n) - 1 AS INTEGER) AS pos
   FROM text_first),
-texts AS (SELECT * FROM texts_all WHERE pos < 150),
+texts AS (SELECT * FROM texts_all ),
 heads AS (SELECT version_id, name, source, campaign_id, lang,
   coalesce(nullif(trim({decoded("regexp_extract(html, '<title>([^<]*)</title>', 1)")}), ''),
            nullif(trim(regexp_replace(name, '^\\[[^\\]]*\\]\\s*', '')), '')) AS subject,
   CASE WHEN length({folded(decoded("regexp_extract(html, 'display:none\">([^<]*)</div>', 1)"))}) > 5
-       THEN left({folded(decoded("regexp_extract(html, 'display:none\">([^<]*)</div>', 1)"))}, 200) END AS preheader
+       THEN {folded(decoded("regexp_extract(html, 'display:none\">([^<]*)</div>', 1)"))} END AS preheader
   FROM mails),
-footers AS (SELECT version_id, left(string_agg(text, ' · ' ORDER BY pos), 600) AS footer
+footers AS (SELECT version_id, string_agg(text, ' · ' ORDER BY pos) AS footer
   FROM (SELECT *, max(pos) OVER (PARTITION BY version_id) AS last FROM texts_all) t WHERE pos > last - 6 GROUP BY version_id),
 all_texts AS (SELECT h.version_id, array_to_string(list_filter([h.subject, h.preheader, t.body], lambda x: x <> ''), ' | ') AS all_text
   FROM heads h LEFT JOIN (SELECT version_id, string_agg(text, ' | ' ORDER BY pos) AS body FROM texts GROUP BY 1) t USING (version_id))

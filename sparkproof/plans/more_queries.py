@@ -25,7 +25,7 @@ def pasted_cells(spark, sf):
 
 @query(
     "snk05_report_hash",
-    "SELECT doc_id, left(sha256(concat(text, lang, '3')), 24) AS content_hash FROM documents",
+    "SELECT doc_id, left(sha256(concat(length(text), ':', text, length(lang), ':', lang, '1:3')), 24) AS content_hash FROM documents",
 )
 def report_hash(spark, sf):
     """SNK-5 and SCL-23: what a report row carries before it is written."""
@@ -97,10 +97,13 @@ def personalization(spark, sf):
     return rows.select("doc_id", hit.alias("matched"))
 
 
-WRAPPED = """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN concat('https://eur01.safelinks.protection.outlook.com/?url=https%3A%2F%2Fshop.example%2Fp', page_id, '&data=05') ELSE url END AS href, url FROM {pages}"""
+WRAPPED = """SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('https://eur01.safelinks.protection.outlook.com/?url=https%3A%2F%2Fshop.example%2Fp', page_id, '&data=05')
+  WHEN 1 THEN concat('https://eur01.safelinks.protection.outlook.com/?url=https%3A%2F%2Fshop.example%2Fp%3Fq%3D', page_id, '%2By')
+  WHEN 2 THEN concat('https://eur01.safelinks.protection.outlook.com/?url=https%3A%2F%2Fshop.example%2F100%25%2F', page_id) ELSE url END AS href, url FROM {pages}"""
 
 
-@query("scl04_unwrap_safe_link", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN concat('https://shop.example/p', page_id) ELSE url END AS target FROM pages")
+@query("scl04_unwrap_safe_link", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('https://shop.example/p', page_id) WHEN 1 THEN concat('https://shop.example/p?q=', page_id, '+y')
+  WHEN 2 THEN concat('https://eur01.safelinks.protection.outlook.com/?url=https%3A%2F%2Fshop.example%2F100%25%2F', page_id) ELSE url END AS target FROM pages""")
 def unwrap(spark, sf):
     return bind(spark, sf, WRAPPED).select("page_id", urls.unwrap_safe_link(F.col("href")).alias("target"))
 

@@ -14,7 +14,7 @@ from sparkproof.plans.registry import ORACLE, query
 from sparkproof.sources.bindings import load, table
 
 RANK = "CASE severity WHEN 'CRITIQUE' THEN 3 WHEN 'MAJEUR' THEN 2 WHEN 'MINEUR' THEN 1 ELSE 0 END"
-NORM_MSG = r"left(trim(regexp_replace(regexp_replace(lower(message), '[^\p{L}\p{N} ]', '', 'g'), '\s+', ' ', 'g')), 80)"
+NORM_MSG = r"trim(regexp_replace(regexp_replace(lower(message), '[^\p{L}\p{N} ]', '', 'g'), '\s+', ' ', 'g'))"
 
 
 def fold_sql(source: str) -> str:
@@ -40,16 +40,14 @@ def finding_dedup(spark, sf):
 
 @query(
     "agg02_verdict_per_report",
-    """SELECT report_id, count(*) FILTER (WHERE severity = 'CRITIQUE') AS critiques, count(*) FILTER (WHERE severity = 'MAJEUR') AS majeurs,
-      count(*) FILTER (WHERE severity = 'MINEUR') AS mineurs, count(*) AS active,
-      CASE WHEN count(*) FILTER (WHERE severity = 'CRITIQUE') > 0 THEN 'NO_GO' WHEN count(*) > 0 THEN 'GO_AVEC_RESERVES' ELSE 'GO' END AS verdict,
+    """SELECT r.report_id, count(*) FILTER (WHERE severity = 'CRITIQUE') AS critiques, count(*) FILTER (WHERE severity = 'MAJEUR') AS majeurs,
+      count(*) FILTER (WHERE severity = 'MINEUR') AS mineurs, count(severity) AS active, any_value(n_passed) AS n_passed,
+      CASE WHEN count(*) FILTER (WHERE severity = 'CRITIQUE') > 0 THEN 'NO_GO' WHEN count(severity) > 0 THEN 'GO_AVEC_RESERVES' ELSE 'GO' END AS verdict,
       count(*) FILTER (WHERE severity = 'CRITIQUE') > 0 AS blocking
-    FROM {report_findings} f WHERE review IS NULL GROUP BY 1
-    UNION ALL SELECT report_id, 0, 0, 0, 0, 'GO', false FROM (SELECT DISTINCT report_id FROM {report_findings} f
-      EXCEPT SELECT report_id FROM {report_findings} f WHERE review IS NULL) e""",
+    FROM {reports} r LEFT JOIN (SELECT * FROM {report_findings} x WHERE review IS NULL) f USING (report_id) GROUP BY 1""",
 )
 def verdict_per_report(spark, sf):
-    out = dedup.counters(load(spark, sf, "report_findings"), ["report_id"])
+    out = dedup.counters(load(spark, sf, "reports"), load(spark, sf, "report_findings"))
     return out.withColumn("blocking", dedup.is_blocking(F.col("verdict")))
 
 
@@ -343,27 +341,33 @@ def campaign_status(spark, sf):
 
 @query(
     "agg19_review_progress",
-    """SELECT report_id, count(review) AS treated, count(*) AS total, count(*) FILTER (WHERE review IS NULL OR review <> 'faux_positif') AS active
-      FROM {report_findings} f GROUP BY 1""",
+    """SELECT r.report_id, count(review) AS treated, count(category) AS total, count(category) FILTER (WHERE review IS NULL OR review <> 'faux_positif') AS active
+      FROM {reports} r LEFT JOIN {report_findings} f USING (report_id) GROUP BY 1""",
 )
 def review_progress(spark, sf):
-    return reports.review_progress(load(spark, sf, "report_findings"))
+    return reports.review_progress(load(spark, sf, "reports"), load(spark, sf, "report_findings"))
 
 
 @query(
     "agg20_version_changes",
-    """WITH k AS (SELECT DISTINCT v.campaign_id, v.version_no, concat(category, '|', locator) AS d FROM {report_findings} f JOIN {versions} v ON v.version_id = f.version_id),
-      b AS (SELECT coalesce(n.campaign_id, p.campaign_id) AS campaign_id, coalesce(n.version_no, p.version_no + 1) AS version_no, n.d AS nd, p.d AS pd
-        FROM k n FULL JOIN k p ON p.campaign_id = n.campaign_id AND p.version_no + 1 = n.version_no AND p.d = n.d)
-      SELECT campaign_id, version_no, count(nd) AS n_findings, count(*) FILTER (WHERE pd IS NULL) AS n_new, count(*) FILTER (WHERE nd IS NULL) AS n_fixed,
+    """WITH w AS (SELECT version_id, campaign_id, version_no * 2 + version_no % 3 AS version_no FROM {versions} x WHERE (campaign_id + version_no) % 5 <> 0),
+      n AS (SELECT campaign_id, version_no, lag(version_no) OVER (PARTITION BY campaign_id ORDER BY version_no) AS prior FROM (SELECT DISTINCT campaign_id, version_no FROM w) u),
+      k AS (SELECT DISTINCT w.campaign_id, w.version_no, concat(category, '|', locator) AS d FROM {report_findings} f JOIN w USING (version_id)),
+      p AS (SELECT n.campaign_id, n.version_no, k.d FROM n JOIN k ON k.campaign_id = n.campaign_id AND k.version_no = n.prior),
+      b AS (SELECT coalesce(k.campaign_id, p.campaign_id) AS campaign_id, coalesce(k.version_no, p.version_no) AS version_no, k.d AS nd, p.d AS pd
+        FROM k FULL JOIN p ON p.campaign_id = k.campaign_id AND p.version_no = k.version_no AND p.d = k.d)
+      SELECT n.campaign_id, n.version_no, count(nd) AS n_findings, count(nd) FILTER (WHERE pd IS NULL) AS n_new, count(pd) FILTER (WHERE nd IS NULL) AS n_fixed,
         count(*) FILTER (WHERE nd IS NOT NULL AND pd IS NOT NULL) AS n_kept
-      FROM b WHERE (campaign_id, version_no) IN (SELECT campaign_id, version_no FROM {versions} w) GROUP BY 1, 2""",
+      FROM n LEFT JOIN b USING (campaign_id, version_no) GROUP BY 1, 2""",
 )
 def version_changes(spark, sf):
+    """Every fifth version is left out and the numbers have gaps."""
     rows = load(spark, sf, "report_findings").select(
         "version_id", F.concat_ws("|", "category", "locator").alias("dedup_key")
     )
-    return reports.version_changes(rows, load(spark, sf, "versions"))
+    v = F.col("version_no")
+    gaps = load(spark, sf, "versions").where((F.col("campaign_id") + v) % 5 != 0)
+    return reports.version_changes(rows, gaps.withColumn("version_no", v * 2 + v % 3))
 
 
 # ---- exports ----------------------------------------------------------------------------------
