@@ -1,15 +1,16 @@
 """N-gram Jaccard join: links between documents whose sets of word shingles are alike, and their groups.
 
 A set is its distinct shingles as 64-bit hashes; equal sets are one class, whatever the number of copies.
-Shingles are ordered rare-first by the load of 2^19 counters that cover all documents. Two sets of
-Jaccard similarity t share one of their first n - ceil(t n) + 1 shingles, so only those prefixes are
-shuffled. Candidates pass a length, a positional and a suffix filter (the sets' sizes in 64 ranges of
-hashes bound their overlap) and are then verified on the whole sets, once for each pair.
+Shingles are ordered rare-first by the load of counters that cover all documents; their number follows
+the corpus up to a bound. Two sets of Jaccard similarity t share one of their first n - ceil(t n) + 1
+shingles, so only those prefixes are shuffled. Candidates pass a length, a positional and a suffix filter
+(the sets' sizes in 64 ranges of hashes bound their overlap) and are then verified on the whole sets, once
+for each pair.
 
 Only components are wanted, so a group of near copies isn't spread into all its pairs. Members of a
-prefix group are first compared with the group's smallest set and with their neighbour in size. After
-that, and once more between the components found, all candidates that still lie in different
-components are verified: no link between components is lost, and links inside one add nothing.
+prefix group are first compared with the group's smallest set and with their neighbours, in the order of
+size and then in orders that put like sets together. All candidates that still lie in different
+components are verified after that: no link between components is lost, and links inside one add nothing.
 """
 
 from __future__ import annotations
@@ -19,18 +20,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkproof.llm.common import LOWER_BYTES, ChunkCache, keep, text_bytes, texts_of
+from sparkproof.llm.common import LOWER_BYTES, keep, text_bytes, texts_of
 from sparkproof.llm.components import connected
 
 WORDS = 5
 PERCENT = 75
-#: Counters of the frequency order; their number bounds what is broadcast.
-COUNTERS = 1 << 19
+#: Counters of the frequency order: about one for so many shingles, and the bound of what is broadcast.
+SHINGLES_PER_COUNTER = 64
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 24
+#: Counters are summed in blocks.
+BLOCK = 4096
 PARTS = 64
+#: Numbers that are equal for two sets as often as their shingles are; they only order neighbours.
+SKETCH = 6
+#: Rows of a shingle that one task orders at most (about).
+ROWS_PER_SALT = 50_000
+#: Bytes that are hashed at once.
+CHUNK_BYTES = 1 << 20
 #: Bits of the filter of wanted classes: at most 16 MB.
 MOST_BITS = 1 << 27
 
@@ -40,30 +49,68 @@ def mark() -> Column:
     return F.xxhash64("text")
 
 
-class WordHashes(ChunkCache):
-    def compute(self, chunk: bytes) -> int:
-        return xxhash.xxh64_intdigest(chunk)
-
-
-_HASHES = WordHashes()
-
-
-def shingle_set(text: bytes | None, size: int = WORDS) -> np.ndarray:
-    """Distinct shingles of a text as ordered unsigned hashes."""
-    words = text.translate(LOWER_BYTES).split() if text else []
-    if len(words) < size:
-        whole = [xxhash.xxh64_intdigest(b" ".join(words), len(words))] if words else []
-        return np.array(whole, np.uint64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = len(words) - size + 1
+ODD = np.uint64(0x9E3779B97F4A7C15)
+MIX = np.uint64(0xBF58476D1CE4E5B9)
+IS_SPACE = np.array([b in b" \t\n\x0b\x0c\r" for b in range(256)])
+#: A random number for each byte at each place of a word; none for white space.
+PLACES = np.random.default_rng(1).integers(1, 1 << 63, (64, 256), dtype=np.uint64)
+PLACES[:, IS_SPACE] = 0
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of all words: sums of their bytes' numbers."""
+    b = np.frombuffer(data.translate(LOWER_BYTES), np.uint8)
+    space = IS_SPACE[b]
+    start = ~space
+    start[1:] &= space[:-1]
+    starts = np.flatnonzero(start)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    first = np.zeros(len(b), np.int32)
+    first[starts] = starts
+    place = np.arange(len(b), dtype=np.int32) - np.maximum.accumulate(first)
+    values = PLACES[place & 63, b]
+    if place.max() >= 64:
+        values *= ODD ** (place >> 6).astype(np.uint64)
+    return starts, mixed(np.add.reduceat(values, starts))
+
+
+def joined(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each run of `size` words."""
+    n = len(hashes) - size + 1
     out = hashes[:n].copy()
     for j in range(1, size):
-        out *= np.uint64(0x9E3779B97F4A7C15)
+        out *= ODD
         out ^= out >> np.uint64(29)
         out += hashes[j : j + n]
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return mixed(out + np.uint64(size))
+
+
+def shingle_sets(texts: list[bytes | None], size: int = WORDS) -> Iterator[np.ndarray]:
+    """Distinct shingles of each text as ordered unsigned hashes. Texts are hashed many at a time."""
+    at = 0
+    while at < len(texts):
+        chunk, held = [], 0
+        while at < len(texts) and (not chunk or held + len(texts[at] or b"") <= CHUNK_BYTES):
+            chunk.append(texts[at] or b"")
+            held += len(chunk[-1])
+            at += 1
+        # A line end between texts keeps their words apart.
+        starts, hashes = word_hashes(b"\n".join(chunk))
+        ends = np.cumsum([len(t) + 1 for t in chunk])
+        borders = [0, *np.searchsorted(starts, ends).tolist()]
+        runs = joined(hashes, size) if len(hashes) >= size else hashes[:0]
+        for first, last in zip(borders, borders[1:]):
+            n = last - first
+            if n >= size:
+                yield np.unique(runs[first : last - size + 1])
+            else:
+                yield joined(hashes[first:last], n) if n else hashes[:0]
 
 
 def class_id(shingles: np.ndarray) -> int:
@@ -77,57 +124,89 @@ def required(n: int, percent: int) -> int:
 
 FACTS = pa.schema([
     ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("parts", pa.binary()),
-    ("counter", pa.int32()), ("load", pa.int64()),
+    ("sketch", pa.list_(pa.int64())), ("block", pa.int32()), ("loads", pa.binary()),
 ])
-FACTS_DDL = "doc_id long, mark long, n long, id long, parts binary, counter int, load long"
+FACTS_DDL = "doc_id long, mark long, n long, id long, parts binary, sketch array<long>, block int, loads binary"
 
 
-def set_facts(size: int) -> Callable:
-    """Size, class and part sizes of each document's set; after a task's rows, its counters."""
+def set_facts(size: int, counters: int) -> Callable:
+    """Size, class, part sizes and sketch of each document's set; after a task's rows, its counters."""
+    odd = [int(x) | 1 for x in np.random.default_rng(2).integers(1, 1 << 62, SKETCH)]
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        load = np.zeros(COUNTERS, np.int64)
+        loads = np.zeros(counters, np.uint32)
         for batch in batches:
-            n, ids, parts, all_sets = [], [], [], [np.zeros(0, np.uint64)]
-            for text in texts_of(batch):
-                s = shingle_set(text, size)
+            n, ids, parts, sketch, waiting = [], [], [], [], []
+            for s in shingle_sets([*texts_of(batch)], size):
                 n.append(len(s))
                 ids.append(class_id(s) if len(s) else None)
                 sizes = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS)
                 parts.append(np.minimum(sizes, 255).astype(np.uint8).tobytes())
-                all_sets.append(s)
-            counted = (np.concatenate(all_sets) % np.uint64(COUNTERS)).astype(np.int64)
-            load += np.bincount(counted, minlength=COUNTERS)
+                sketch.append([int((s * np.uint64(x)).min() >> np.uint64(1)) for x in odd] if len(s) else None)
+                waiting.append(s)
+                if len(waiting) == 1000:
+                    count_loads(loads, waiting)
+            count_loads(loads, waiting)
             m = len(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())],
+                [
+                    batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()),
+                    pa.array(parts, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
+                ],
                 schema=FACTS,
-            )
-        used = np.flatnonzero(load)
+            )
+        blocks = loads.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
         if len(used):
-            nulls = [pa.nulls(len(used), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*nulls, pa.array(used, pa.int32()), pa.array(load[used])], schema=FACTS)
+            nulls = [pa.nulls(len(used), FACTS.field(i).type) for i in range(6)]
+            rows = pa.array([blocks[i].tobytes() for i in used], pa.binary())
+            yield pa.RecordBatch.from_arrays([*nulls, pa.array(used, pa.int32()), rows], schema=FACTS)
 
     return facts
 
 
+def count_loads(loads: np.ndarray, sets: list[np.ndarray]) -> None:
+    """Count the shingles of some sets, which are then forgotten."""
+    if sets:
+        places = (np.concatenate(sets) % np.uint64(len(loads))).astype(np.int64)
+        at, times = np.unique(places, return_counts=True)
+        loads[at] += times.astype(np.uint32)
+        sets.clear()
+
+
+def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the blocks of counters that a task reads, one row after another."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, loads in zip(batch.column("block").to_pylist(), texts_of(batch, "loads"), strict=True):
+            sums.setdefault(block, np.zeros(BLOCK, np.int64))
+            sums[block] += np.frombuffer(loads, np.uint32)
+    if sums:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "loads"]
+        )
+
+
 def prefix_rows(loads, size: int, percent: int) -> Callable:
-    """The rare-first prefix of each class, once for each task: shingle, id, n, pos."""
+    """The rare-first prefix of each class, once for each task: shingle, salt, id, n, pos.
+
+    Salts divide the rows of a shingle whose counter has many, for what is done along an order."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = loads.value
         seen: set[int] = set()
         for batch in batches:
-            shingles, ids, lengths, counts = [], [], [], []
-            for text in texts_of(batch):
-                s = shingle_set(text, size)
+            shingles, ids, lengths, counts, salts = [], [], [], [], []
+            for s in shingle_sets([*texts_of(batch)], size):
                 n = len(s)
                 if not n or (i := class_id(s)) in seen:
                     continue
                 seen.add(i)
                 p = n - required(n, percent) + 1
-                rare = np.lexsort((s, load[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:p]
+                of = load[(s % np.uint64(len(load))).astype(np.int64)]
+                rare = np.lexsort((s, of))[:p]
                 shingles.append(s[rare])
+                salts.append((i & 0x7FFFFFFF) % (1 + of[rare] // ROWS_PER_SALT))
                 ids.append(i)
                 lengths.append(n)
                 counts.append(p)
@@ -135,10 +214,10 @@ def prefix_rows(loads, size: int, percent: int) -> Callable:
                 pos = np.concatenate([np.arange(p, dtype=np.int32) for p in counts])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), counts)),
-                        pa.array(np.repeat(np.array(lengths, np.int32), counts)), pa.array(pos),
+                        pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)),
+                        pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.repeat(np.array(lengths, np.int32), counts)), pa.array(pos),
                     ],
-                    names=["shingle", "id", "n", "pos"],
+                    names=["shingle", "salt", "id", "n", "pos"],
                 )
 
     return rows
@@ -192,8 +271,7 @@ def wanted_sets(wanted, size: int) -> Callable:
         seen: set[int] = set()
         for batch in batches:
             ids, sets = [], []
-            for text in texts_of(batch):
-                s = shingle_set(text, size)
+            for s in shingle_sets([*texts_of(batch)], size):
                 if len(s) and (i := class_id(s)) not in seen and all(
                     bits[p >> 6] >> np.uint64(p & 63) & np.uint64(1) for p in bit_places(i, 64 * len(bits))
                 ):
@@ -236,23 +314,27 @@ class Join:
         self.context = docs.sparkSession.sparkContext
         self.texts = docs.select(text_bytes().alias("text"))
         ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark().alias("mark"), text_bytes().alias("text"))
-        facts = keep(ids.mapInArrow(set_facts(size), FACTS_DDL), "sets")
-        self.docs = facts.where("counter IS NULL").select("doc_id", "mark", "n", "id")
-        counts = facts.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("load").alias("load")).toArrow()
-        load = np.zeros(COUNTERS, np.int64)
-        load[counts["counter"].to_numpy()] = counts["load"].to_numpy()
-        self.loads = self.context.broadcast(load)
-        self.parts = keep(
-            facts.where("id IS NOT NULL").groupBy("id").agg(F.first("parts").alias("parts")), "parts"
-        )
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        wanted = total // (6 * SHINGLES_PER_COUNTER)
+        counters = min(max(LEAST_COUNTERS, 1 << int(wanted).bit_length()), MOST_COUNTERS)
+        facts = keep(ids.mapInArrow(set_facts(size, counters), FACTS_DDL), "sets")
+        self.docs = facts.where("block IS NULL").select("doc_id", "mark", "n", "id")
+        blocks = facts.where("block IS NOT NULL").select("block", "loads").repartition("block")
+        sums = blocks.mapInArrow(add_blocks, "block int, loads binary").toArrow()
+        load = np.zeros((counters // BLOCK, BLOCK), np.int64)
+        for block, values in zip(sums["block"].to_pylist(), sums["loads"].to_pylist(), strict=True):
+            load[block] = np.frombuffer(values, np.int64)
+        self.loads = self.context.broadcast(load.reshape(-1))
+        classes = facts.where("id IS NOT NULL").groupBy("id").agg(F.first("parts").alias("parts"), F.first("sketch").alias("sketch"))
+        self.parts = keep(classes, "parts")
         self.hits = self.prefix_hits()
 
     def prefix_hits(self) -> DataFrame:
         """Prefix rows of shingles that several classes share, with the group's first row and the row before."""
         rows = self.texts.mapInArrow(
-            prefix_rows(self.loads, self.size, self.percent), "shingle long, id long, n int, pos int"
+            prefix_rows(self.loads, self.size, self.percent), "shingle long, salt int, id long, n int, pos int"
         )
-        group = Window.partitionBy("shingle")
+        group = Window.partitionBy("shingle", "salt")
         ordered = group.orderBy("n", "id")
         row = F.struct("id", "n", "pos")
         shared = rows.select(
@@ -261,7 +343,8 @@ class Join:
         )
         # A class that several tasks have sent stands in neighbouring rows.
         once = F.col("before").isNull() | (F.col("before.id") != F.col("id"))
-        return keep(shared.where((F.col("hub.id") != F.col("last")) & once).drop("last"), "prefixes")
+        alone = (F.col("hub.id") == F.col("last")) & (F.col("salt") == 0)
+        return keep(shared.where(~alone & once).drop("last"), "prefixes")
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a < b, na, nb) that pass the suffix filter."""
@@ -283,27 +366,31 @@ class Join:
         found = pairs.select("a", "b").join(left, "a").join(right, "b")
         return keep(found.mapInArrow(verifier(self.percent), "a long, b long"), "verified")
 
-    def edges(self, rows: DataFrame, other: str) -> DataFrame:
-        """Pairs of a row and the row in column `other`, with the number of shingles that propose them."""
+    def best_edges(self, rows: DataFrame, other: str) -> DataFrame:
+        """For each class the partner that most of its shingles propose in column `other`: a, b, na, nb."""
         o = F.col(other)
         fit = alike(o["n"], o["pos"], F.col("n"), F.col("pos"), self.percent)
-        a, b = F.struct(o["id"].alias("id"), o["n"].alias("n")), F.struct("id", "n")
-        return (
+        x, y = F.struct(o["id"].alias("id"), o["n"].alias("n")), F.struct("id", "n")
+        times = (
             rows.where((o["id"] != F.col("id")) & fit)
-            .select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), F.col("id").alias("of"))
-            .groupBy("x", "y", "of").agg(F.count(F.lit(1)).alias("times"))
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), "of", "times")
+            .select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+            .groupBy("x", "y").agg(F.count(F.lit(1)).alias("times"))
         )
-
-    def best_edges(self, rows: DataFrame) -> DataFrame:
-        """For each class its most proposed partner among the groups' first rows, and among neighbours."""
+        pair = F.struct(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+        of = times.select(pair.alias("pair"), "times", F.explode(F.array("x.id", "y.id")).alias("of"))
+        best = of.groupBy("of").agg(F.max_by("pair", F.struct("times", "pair")).alias("pair"))
+        return best.select("pair.*").distinct()
+
+    def sketch_edges(self) -> DataFrame:
+        """Partners among neighbours of the same groups, in orders that put like sets together."""
+        rows = self.hits.select("shingle", "salt", "id", "n", "pos").join(self.parts.select("id", "sketch"), "id")
+        rows = keep(rows, "sketches")
         found = []
-        for other in ("hub", "before"):
-            best = self.edges(rows, other).groupBy("of").agg(
-                F.max_by(F.struct("a", "b", "na", "nb"), F.struct("times", "a", "b")).alias("best")
-            )
-            found.append(best.select("best.*"))
-        return found[0].union(found[1]).distinct()
+        for k in range(0, SKETCH, 2):
+            ordered = Window.partitionBy("shingle", "salt").orderBy(F.get("sketch", k), F.get("sketch", k + 1), "n", "id")
+            near = rows.select("id", "n", "pos", F.lag(F.struct("id", "n", "pos")).over(ordered).alias("before"))
+            found.append(self.best_edges(near, "before"))
+        return found[0].union(found[1]).union(found[2]).distinct()
 
     def across(self, labels: DataFrame) -> DataFrame:
         """Prefix rows of groups that hold several components, with the row's component."""
@@ -329,31 +416,37 @@ class Join:
 
     def components(self) -> DataFrame:
         """Component of every class that has a link: id, label."""
-        pairs = keep(self.filtered(self.best_edges(self.hits)), "pairs")
-        sets = self.sets_of(pairs)
-        links = self.verified(pairs, sets)
+        near = self.best_edges(self.hits, "hub").union(self.best_edges(self.hits, "before")).distinct()
+        near = keep(self.filtered(near), "pairs")
+        pairs = ["a", "b", "na", "nb"]
+        more = keep(self.filtered(self.sketch_edges().join(near.select("a", "b"), ["a", "b"], "left_anti")), "pairs")
+        sets = self.sets_of(near.union(more))
+        links = self.verified(near, sets)
         labels = connected(links)
-        done = pairs.select("a", "b")
-
-        # Between the components of each group: neighbours again, now in the order of components.
-        rows = self.across(labels)
-        ordered = Window.partitionBy("shingle").orderBy("label", "n", "id")
-        near = rows.select("*", F.lag(F.struct("id", "n", "pos", "label")).over(ordered).alias("before"))
-        near = near.where(F.col("before.label") != F.col("label"))
-        more = self.edges(near, "before").select("a", "b", "na", "nb").distinct()
-        more = keep(self.filtered(more.join(done, ["a", "b"], "left_anti")), "pairs")
-        if not more.isEmpty():
-            links = links.union(self.verified(more, self.sets_of(more)))
-            labels = connected(links)
-            done = done.union(more.select("a", "b"))
-            rows = self.across(labels)
 
-        rest = keep(self.filtered(self.between(rows).join(done, ["a", "b"], "left_anti")), "pairs")
+        more = keep(self.apart(more, labels).select(*pairs), "pairs")
+        links = links.union(self.verified(more, sets))
+        labels = connected(links)
+        done = near.select("a", "b").union(more.select("a", "b"))
+
+        rest = self.between(self.across(labels)).join(done, ["a", "b"], "left_anti")
+        rest = keep(self.filtered(rest), "pairs")
         if not rest.isEmpty():
-            links = links.union(self.verified(rest, self.sets_of(rest)))
+            ids = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            if not ids.join(sets, "id", "left_anti").isEmpty():
+                sets = self.sets_of(rest)
+            links = links.union(self.verified(rest, sets))
             labels = connected(links)
         return labels
 
+    @staticmethod
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs whose ends lie in different components."""
+        left = labels.select(F.col("id").alias("a"), F.col("label").alias("label_a"))
+        right = labels.select(F.col("id").alias("b"), F.col("label").alias("label_b"))
+        rows = pairs.join(left, "a", "left").join(right, "b", "left")
+        return rows.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+
 
 def grouped_documents(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, mark, n and label: the group of a document, null if it has no words."""
