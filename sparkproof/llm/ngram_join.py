@@ -36,6 +36,8 @@ BLOCK = 4096
 PARTS = 64
 #: Numbers that are equal for two sets as often as their shingles are; they only order neighbours.
 SKETCH = 6
+#: Neighbours in such an order that each class meets.
+NEAR = 12
 #: Rows of a shingle that one task orders at most (about).
 ROWS_PER_SALT = 50_000
 #: Bytes that are hashed at once.
@@ -394,11 +396,26 @@ class Join:
 
     def across(self, labels: DataFrame) -> DataFrame:
         """Prefix rows of groups that hold several components, with the row's component."""
-        hits = self.hits.select("shingle", "id", "n", "pos")
+        hits = self.hits.select("shingle", "salt", "id", "n", "pos")
         rows = hits.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         mixed = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         return keep(rows.join(mixed.select("shingle"), "shingle"), "mixed")
 
+    def neighbours(self, rows: DataFrame, k: int) -> DataFrame:
+        """Pairs of each row with those of the next NEAR of its group, in an order that puts like sets
+        together, that lie in other components."""
+        rows = rows.join(self.parts.select("id", "sketch"), "id")
+        group = Window.partitionBy("shingle", "salt").orderBy(F.get("sketch", k), F.get("sketch", k + 1), "n", "id")
+        last = F.collect_list(F.struct("id", "n", "pos", "label")).over(group.rowsBetween(-NEAR, -1))
+        met = rows.select("id", "n", "pos", "label", last.alias("last"))
+        met = met.withColumn("o", F.explode(F.filter("last", lambda x: x["label"] != F.col("label")))).drop("last")
+        met = met.where(alike(F.col("o.n"), F.col("o.pos"), F.col("n"), F.col("pos"), self.percent))
+        x, y = F.struct(F.col("o.id").alias("id"), F.col("o.n").alias("n")), F.struct("id", "n")
+        return (
+            met.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct()
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+        )
+
     def between(self, rows: DataFrame) -> DataFrame:
         """All candidates between different components. One side leaves out the largest component of each
         group, which no pair needs on both sides."""
@@ -429,6 +446,18 @@ class Join:
         labels = connected(links)
         done = near.select("a", "b").union(more.select("a", "b"))
 
+        # A class may be like many of a large component but not like those that it has met by now.
+        for k in range(0, SKETCH, 2):
+            more = self.neighbours(self.across(labels), k).join(done, ["a", "b"], "left_anti")
+            for end in ("a", "b"):
+                more = more.join(sets.select(F.col("id").alias(end)), end, "left_semi")
+            more = keep(self.filtered(more.select(*pairs)), "pairs")
+            if more.isEmpty():
+                break
+            links = links.union(self.verified(more, sets))
+            labels = connected(links)
+            done = done.union(more.select("a", "b"))
+
         rest = self.between(self.across(labels)).join(done, ["a", "b"], "left_anti")
         rest = keep(self.filtered(rest), "pairs")
         if not rest.isEmpty():
