@@ -279,7 +279,7 @@ def block_outcomes(mails: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
-def best_similar(undecided: DataFrame, mails: DataFrame) -> DataFrame:
+def best_similar(undecided: DataFrame, mails: DataFrame, minimum: float = SIMILARITY_MIN) -> DataFrame:
     """JOIN-6: most similar text of the mail for each undecided group, at or above the threshold.
 
     Texts meet only blocks of the same mail, and only where the lengths allow the threshold."""
@@ -288,9 +288,9 @@ def best_similar(undecided: DataFrame, mails: DataFrame) -> DataFrame:
     texts = mails.join(undecided.select("version_id").distinct(), "version_id", "left_semi").select(
         "version_id", F.posexplode("originals").alias("i", "original")
     ).withColumn("t", norm_text(F.col("original"))).withColumn("t_grams", numbered(bigrams(F.col("t"))))
-    pairs = blocks.join(texts, "version_id").where(can_reach(F.length("norm"), F.length("t")))
+    pairs = blocks.join(texts, "version_id").where(can_reach(F.length("norm"), F.length("t"), minimum))
     sim = dice_of_numbered(F.col("norm"), F.col("grams"), F.col("t"), F.col("t_grams"))
-    scored = pairs.withColumn("sim", sim).where(F.col("sim") >= SIMILARITY_MIN)
+    scored = pairs.withColumn("sim", sim).where(F.col("sim") >= minimum)
     return scored.groupBy("version_id", "base").agg(
         F.max_by(
             F.struct("name", "raw", F.col("original").alias("received"), "sim"),

@@ -143,3 +143,22 @@ def not_attached(arrivals: DataFrame, inbox: DataFrame) -> DataFrame:
     """JOIN-11: arrivals whose message id is neither known nor earlier in the same batch."""
     first = arrivals.groupBy("message_id").agg(F.min("mail_id").alias("mail_id"))
     return first.join(inbox.select("message_id").distinct(), "message_id", "left_anti")
+
+
+ANY = object()
+
+
+def search_inbox(mails: DataFrame, words: str = "", favourites: bool = False, campaign: object = ANY) -> DataFrame:
+    """ORD-3, in the order of ORD-1: mails (mail_id, subject, sender, favourite, campaign_id, received_at)
+    that hold the words in subject or sender. A campaign of None asks for mails without one."""
+    found = mails
+    if words.strip():
+        q = F.lit(words.strip().lower())
+        found = found.where(F.contains(F.lower("subject"), q) | F.contains(F.lower("sender"), q))
+    if favourites:
+        found = found.where("favourite")
+    if campaign is None:
+        found = found.where("campaign_id IS NULL")
+    elif campaign is not ANY:
+        found = found.where(F.col("campaign_id") == campaign)
+    return found.orderBy(F.desc("received_at"), F.desc("mail_id"))

@@ -108,11 +108,12 @@ def link_rows(spark, sf):
 @query(
     "grid05_row_kinds",
     """SELECT workbook, CAST(3 + k AS INTEGER) AS row, CASE k WHEN 0 THEN 'block' WHEN 2 THEN 'block' WHEN 3 THEN 'link' WHEN 4 THEN 'link' WHEN 5 THEN 'label' WHEN 6 THEN 'echo' ELSE 'continuation' END AS kind,
-      CASE WHEN k < 2 THEN 3 WHEN k = 2 THEN 5 END AS block_row FROM {grid_parts} p""",
+      CASE WHEN k < 2 THEN 3 WHEN k = 2 THEN 5 END AS block_row, 'Brief' AS sheet FROM {grid_parts} p
+      UNION ALL SELECT workbook, CAST(5 + k AS INTEGER), 'block', CAST(5 + k AS INTEGER), 'Other' FROM {grid_parts} p WHERE workbook % 3 = 0 AND k < 4""",
 )
 def row_kinds(spark, sf):
     rows = parsed(spark, sf)[3]
-    return rows.where("sheet = 'Brief'").select("workbook", "row", "kind", "block_row")
+    return rows.select("workbook", "row", "kind", "block_row", "sheet")
 
 
 @query(
@@ -149,13 +150,13 @@ def field_value(spark, sf):
 
 
 FV_BLOCKS = """SELECT workbook, CAST(4 + k AS INTEGER) AS row, CASE k WHEN 0 THEN 'Subject Line' WHEN 1 THEN 'CTA 1' ELSE 'Body' END AS block, CASE WHEN k = 0 AND workbook % 2 = 0 THEN p_name || ' 2'
-    WHEN k = 0 THEN 'Dear Client, discover…' WHEN k = 1 THEN 'Shop  Now' ELSE 'Shop now' END AS en, NOT (k = 0 AND workbook % 2 = 0) AS placeholder FROM {grid_parts} p WHERE k IN (0, 1, 5)"""
+    WHEN k = 0 THEN 'Dear Client, discover…' WHEN k = 1 THEN 'Shop  Now' ELSE 'Shop now' END AS en, CASE WHEN k = 0 AND workbook % 2 = 0 THEN p_name || ' 3' END AS fr, NOT (k = 0 AND workbook % 2 = 0) AS placeholder FROM {grid_parts} p WHERE k IN (0, 1, 5)"""
 
 
 @query("grid06_field_value_blocks", FV_BLOCKS)
 def field_value_blocks(spark, sf):
     found, _ = field_value(spark, sf)
-    return found.select("workbook", "row", "block", F.col("vals")["EN"].alias("en"), "placeholder")
+    return found.select("workbook", "row", "block", F.col("vals")["EN"].alias("en"), F.col("vals")["FR"].alias("fr"), "placeholder")
 
 
 @query(

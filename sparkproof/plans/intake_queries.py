@@ -123,9 +123,16 @@ def job_status(spark, sf):
     return jobs.job_status(bind(spark, sf, JOB_EVENTS))
 
 
-@query("str03_replay_from_cursor", f"SELECT job_id, seq, type FROM ({JOB_EVENTS}) e WHERE job_id = 8 AND seq >= 100")
+@query(
+    "str03_replay_from_cursor",
+    f"""WITH e AS (SELECT * FROM ({JOB_EVENTS}) x), last AS (SELECT job_id, min(seq) AS last FROM e WHERE type IN ('done', 'error') GROUP BY 1)
+      SELECT job_id, seq, type FROM e LEFT JOIN last USING (job_id) WHERE seq >= job_id * 10 % 400 AND seq <= coalesce(last, seq)""",
+)
 def replay(spark, sf):
-    return jobs.replay(bind(spark, sf, JOB_EVENTS), 8, 100).select("job_id", "seq", "type")
+    """STR-3: every job from a cursor of its own until it ends."""
+    events = bind(spark, sf, JOB_EVENTS)
+    cursors = events.select("job_id", (F.col("job_id") * 10 % 400).alias("cursor")).distinct()
+    return jobs.replay(events, cursors).select("job_id", "seq", "type")
 
 
 @query(
@@ -202,11 +209,11 @@ RE2 = [m.replace("(?ims)", "(?ims)") for m in MARKERS]
 @query(
     "ext14_quoted_history",
     "SELECT doc_id, sha256(trim(regexp_replace(left(text, CAST(least(" + ", ".join(
-        f"coalesce(CASE WHEN regexp_matches(text, '{m}') THEN length(string_split_regex(text, '{m}')[1]) END, 999999999)" for m in RE2
-    ) + ", length(text)) AS BIGINT)), '^\\s+|\\s+$', '', 'g'))) AS kept FROM (" + THREADS + ") t WHERE length(text) > 1000",
+        f"coalesce(CASE WHEN regexp_matches(text, '{m}') AND length(string_split_regex(text, '{m}')[1]) > 200 THEN length(string_split_regex(text, '{m}')[1]) END, 999999999)" for m in RE2
+    ) + ", length(text)) AS BIGINT)), '^\\s+|\\s+$', '', 'g'))) AS kept FROM (" + THREADS + ") t",
 )
 def quoted_history(spark, sf):
-    rows = bind(spark, sf, THREADS).where(F.length("text") > 1000)
+    rows = bind(spark, sf, THREADS)
     return rows.select("doc_id", F.sha2(prune_history(F.col("text")), 256).alias("kept"))
 
 
@@ -268,13 +275,14 @@ def private_hosts(spark, sf):
 
 @query(
     "scl17_changed_tokens",
-    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE array_to_string(list_sort(string_split(p_name, ' ')), '|') END AS words FROM part""",
+    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE array_to_string(list_sort(list_concat(string_split(p_name, ' '),
+      list_transform(range(greatest(len(string_split(p_name, ' ')) - 2, 0)), lambda i: ' '))), '|') END AS words FROM part""",
 )
 def changed(spark, sf):
-    """SCL-17/18: words of a name that are missing from another text; URLs are in the unit tests."""
+    """SCL-17: words and blanks of a name that another text doesn't have as often."""
     name = F.col("p_name")
     other = F.when(F.col("p_partkey") % 3 == 0, F.concat(name, F.lit(" extra"))).otherwise(F.lit("1 2"))
-    words = F.filter(X.changed_tokens(name, other), lambda t: t.rlike("^[a-z]+$"))
+    words = X.changed_tokens(name, other)
     return table(spark, sf, "part").select(
         "p_partkey", F.array_join(F.array_sort(words), "|").alias("words")
     )

@@ -103,11 +103,13 @@ def overlaps(spark, sf):
 
 @query(
     "ord03_inbox_search",
-    "SELECT mail_id, subject FROM {match_mails} m WHERE contains(lower(subject), 'ring') OR contains(lower(sender), 'brand#12')",
+    """SELECT mail_id, subject FROM {match_mails} m WHERE (contains(lower(subject), 'ring') OR contains(lower(sender), 'ring'))
+      AND mail_id % 3 = 0 AND mail_id % 2 = 0 ORDER BY mail_id DESC""",
 )
 def inbox_search(spark, sf):
-    q = "ring"
-    mails = load(spark, sf, "match_mails")
-    return mails.where(
-        F.contains(F.lower("subject"), F.lit(q)) | F.contains(F.lower("sender"), F.lit("brand#12"))
-    ).select("mail_id", "subject")
+    """ORD-1 and ORD-3: favourites without a campaign that hold a word, newest first."""
+    mails = load(spark, sf, "match_mails").withColumns({
+        "favourite": F.col("mail_id") % 3 == 0, "campaign_id": F.when(F.col("mail_id") % 2 == 1, F.col("mail_id")),
+        "received_at": F.col("mail_id"),
+    })
+    return matching.search_inbox(mails, "Ring", favourites=True, campaign=None).select("mail_id", "subject")

@@ -26,10 +26,14 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as the cluster names it; a new local one only when unset."""
+    """The folder all executors see, as the cluster names it (spark.checkpoint.dir).
+
+    A temporary folder serves only where it is unset and driver and executors are one machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     conf = conf or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf

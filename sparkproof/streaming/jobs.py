@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkproof.operators import matching
-from sparkproof.operators.skew import latest
+from sparkproof.operators.skew import latest, skew_join
 
 
 def new_messages(batch: DataFrame, known: DataFrame) -> DataFrame:
@@ -31,7 +31,9 @@ def ingest_inbox(stream: DataFrame, table_path: str, checkpoint: str) -> Streami
         ).where(~F.contains(F.input_file_name(), F.lit(f"batch={batch_id}/")))
         new_messages(batch, known).write.mode("overwrite").parquet(part)
 
-    os.makedirs(table_path, exist_ok=True)
+    # The folder is made where the table lies, be that a local disk or a cluster's store.
+    path = stream.sparkSession._jvm.org.apache.hadoop.fs.Path(table_path)
+    path.getFileSystem(stream.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)
     return (
         stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
@@ -39,12 +41,21 @@ def ingest_inbox(stream: DataFrame, table_path: str, checkpoint: str) -> Streami
 
 
 def attach_inbox(stream: DataFrame, campaigns: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """STR-2: arriving mails matched to campaigns; a score of 60 % attaches, less proposes."""
+    """STR-2: arriving mails (mail_id, subject, utms: the tracking values of its links, campaign_id).
+
+    Mails that have a campaign keep it. Of the others a match that is confirmed (60 % and more) sets
+    campaign_id, a lower one only proposed_id; all rows are written."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        utms = batch.where("utm IS NOT NULL").select("mail_id", "utm")
-        matched = matching.match_by_score(batch, utms, campaigns)
-        matched.write.mode("overwrite").parquet(os.path.join(table_path, f"batch={batch_id}"))
+        open_ = batch.where("campaign_id IS NULL")
+        utms = open_.select("mail_id", F.explode(F.array_distinct("utms")).alias("utm")).where("utm IS NOT NULL")
+        matched = matching.match_by_score(open_.select("mail_id", "subject"), utms, campaigns)
+        found = matched.select("mail_id", F.col("campaign_id").alias("found"), "score", "confirmed")
+        out = batch.join(found, "mail_id", "left").select(
+            "mail_id", F.coalesce("campaign_id", F.when(F.col("confirmed"), F.col("found"))).alias("campaign_id"),
+            F.when(~F.col("confirmed"), F.col("found")).alias("proposed_id"), "score",
+        )
+        out.write.mode("overwrite").parquet(os.path.join(table_path, f"batch={batch_id}"))
 
     return (
         stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
@@ -52,9 +63,14 @@ def attach_inbox(stream: DataFrame, campaigns: DataFrame, table_path: str, check
     )
 
 
-def replay(events: DataFrame, job_id: int, cursor: int) -> DataFrame:
-    """STR-3: a job's events from a cursor on."""
-    return events.where((F.col("job_id") == job_id) & (F.col("seq") >= cursor)).orderBy("seq")
+def replay(events: DataFrame, cursors: DataFrame) -> DataFrame:
+    """STR-3: events of jobs from their cursor (job_id, cursor) up to the one that ends the job.
+
+    Jobs that haven't ended give all that is there, so a later call goes on from the last seq."""
+    last = events.where(F.col("type").isin("done", "error")).groupBy("job_id").agg(F.min("seq").alias("last"))
+    wanted = cursors.join(last, "job_id", "left")
+    rows = skew_join(events, wanted, ["job_id"])
+    return rows.where(F.col("seq").between(F.col("cursor"), F.coalesce("last", "seq"))).drop("cursor", "last")
 
 
 def job_status(events: DataFrame) -> DataFrame:
@@ -68,13 +84,24 @@ def job_status(events: DataFrame) -> DataFrame:
     return out.withColumn("status", status).drop("_s")
 
 
-def status_stream(events: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
+def status_stream(events: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
+    """STR-4: each batch's changed jobs become rows of a table; a replayed batch overwrites its own."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("batch", F.lit(batch_id).cast("long"))
+        rows.write.mode("overwrite").parquet(os.path.join(table_path, f"part-{batch_id}"))
+
     return (
-        job_status(events).writeStream.outputMode("update").format("memory").queryName(name)
+        job_status(events).writeStream.outputMode("update").foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def current_status(updates: DataFrame) -> DataFrame:
+    """The last written row of every job."""
+    return latest(updates, ["job_id"], [F.col("batch")]).drop("batch")
+
+
 def split_by_cache(versions: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """STR-5: versions whose (version_id, content_hash) has a report, and those to analyse."""
     keys = reports.select("version_id", "content_hash").distinct()

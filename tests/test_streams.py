@@ -34,8 +34,27 @@ def test_status_stream_equals_batch(spark):
         F.when(F.col("event_id") % 50 == 0, "done").when(F.col("event_id") % 3 == 0, "finding").otherwise("log").alias("type"),
     )
     ev.repartition(3, "seq").write.mode("append").parquet(src)
-    q = jobs.status_stream(jobs.read_stream(spark, src, ev.schema), "job_status_test", cp)
+    out = folder()
+    q = jobs.status_stream(jobs.read_stream(spark, src, ev.schema), out, cp)
     q.awaitTermination(120)
-    last = spark.table("job_status_test").groupBy("job_id").agg(F.max("n_events").alias("n_events"), F.max("n_findings").alias("n_findings"))
-    want = jobs.job_status(ev).select("job_id", "n_events", "n_findings")
+    updates = spark.read.option("recursiveFileLookup", "true").parquet(out)
+    last = jobs.current_status(updates).select("job_id", "n_events", "n_findings", "status")
+    want = jobs.job_status(ev).select("job_id", "n_events", "n_findings", "status")
     assert last.exceptAll(want).count() == 0 and want.exceptAll(last).count() == 0
+
+
+def test_arriving_mails_are_attached_or_proposed(spark):
+    src, out, cp = folder(), folder(), folder()
+    campaigns = spark.createDataFrame(
+        [(1, "Spring silk scarves", "spring_silk", None, "GO"), (2, "Winter wool coats", "winter_wool", None, "GO")],
+        "campaign_id long, name string, utm string, subject string, status string",
+    )
+    mails = spark.createDataFrame(
+        [(1, "hello", ["x", "spring_silk"], None), (2, "Winter wool coats are here", [], None), (3, "nothing alike", None, None),
+         (4, "Winter wool coats", ["spring_silk"], 9)],
+        "mail_id long, subject string, utms array<string>, campaign_id long",
+    )
+    mails.write.mode("append").parquet(src)
+    jobs.attach_inbox(jobs.read_stream(spark, src, mails.schema), campaigns, out, cp).awaitTermination(120)
+    got = {r.mail_id: (r.campaign_id, r.proposed_id) for r in spark.read.parquet(out).collect()}
+    assert got == {1: (1, None), 2: (None, 2), 3: (None, None), 4: (9, None)}
