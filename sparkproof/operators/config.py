@@ -110,6 +110,34 @@ def validate(rules: DataFrame, overrides: DataFrame, params: DataFrame, given: D
     return switches.unionByName(settings)
 
 
+def validate_custom(custom: DataFrame, own_categories: DataFrame, families: list[str], agents: list[str]) -> DataFrame:
+    """RES-2: error rows (config_id, rule_id, error) of rules and categories that a configuration adds.
+
+    custom (config_id, rule_id, category, agent), own_categories (config_id, category). An id counts once;
+    a category is a family or one of the configuration's own; an agent is one that exists, or none."""
+    family = F.col("category").isin(*families)
+    twice = custom.groupBy("config_id", "rule_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    double = own_categories.groupBy("config_id", "category").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | family)
+    unknown = custom.where(~family).join(own_categories.select("config_id", "category").distinct(), ["config_id", "category"], "left_anti")
+    return (
+        twice.select("config_id", "rule_id", F.lit("duplicate rule id").alias("error"))
+        .unionByName(double.select("config_id", F.col("category").alias("rule_id"), F.lit("duplicate category id").alias("error")))
+        .unionByName(unknown.select("config_id", "rule_id", F.lit("unknown category").alias("error")))
+        .unionByName(custom.where(~F.col("agent").isin(*agents)).select("config_id", "rule_id", F.lit("unknown agent").alias("error")))
+    )
+
+
+def config_hash(overrides: DataFrame, length: int = 12) -> DataFrame:
+    """SCL-23: hash of each configuration's overrides, whatever the order of its rows.
+
+    A line for each rule, in order of rule ids: id, switch, severity, removed; `-` where not set."""
+    told = F.concat_ws(
+        " ", "rule_id", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("enabled", "severity", "removed")]
+    )
+    lines = F.array_join(F.array_sort(F.collect_list(told)), "\n")
+    return overrides.groupBy("config_id").agg(F.left(F.sha2(lines, 256), F.lit(length)).alias("config_hash"))
+
+
 def change_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     """RES-4: number of changed rules per configuration between two override tables."""
     cols = [c for c in before.columns if c not in ("config_id", "rule_id")]

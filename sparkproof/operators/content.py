@@ -326,6 +326,24 @@ def block_findings(outcomes: DataFrame, mails: DataFrame) -> DataFrame:
     ).select("version_id", "f.*")
 
 
+def planned_labels(links: DataFrame, cta_labels: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Labels of JOIN-7: (campaign_id, link_ord, lang_key, label).
+
+    links (campaign_id, link_ord, block), cta_labels (campaign_id, link_ord, lang_key, label), blocks
+    (campaign_id, block_ord, block, lang_key, value). A label of the link's own counts; else the value of
+    the first block whose name equals the link's, holds it or is held by it. Both sides of a campaign
+    are the lines of one brief."""
+    of = links.select("campaign_id", "link_ord", norm_text(F.col("block")).alias("wanted"))
+    names = blocks.select("campaign_id", "block_ord", norm_text(F.col("block")).alias("name")).distinct()
+    alike = (F.col("name") == F.col("wanted")) | F.contains("name", F.col("wanted")) | F.contains("wanted", F.col("name"))
+    first = of.join(names, "campaign_id").where(alike).groupBy("campaign_id", "link_ord").agg(F.min("block_ord").alias("block_ord"))
+    values = first.join(blocks, ["campaign_id", "block_ord"]).select("campaign_id", "link_ord", "lang_key", "value")
+    own = cta_labels.where(nonempty(F.col("label")))
+    return own.join(values, ["campaign_id", "link_ord", "lang_key"], "full").select(
+        "campaign_id", "link_ord", "lang_key", F.coalesce("label", "value").alias("label")
+    ).where(nonempty(F.col("label")))
+
+
 def expected_link_plans(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Plans of JOIN-7: long links (campaign_id, link_ord, block, market, url) with the label of the
     block by language (campaign_id, link_ord, lang_key, label). Both groups are one brief line."""

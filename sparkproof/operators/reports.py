@@ -71,6 +71,17 @@ def market_report(versions: DataFrame, reports: DataFrame, findings: DataFrame)
     )
 
 
+def expected_languages(told: DataFrame, grids: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Expected keys of AGG-4 (campaign_id, ord, lang_key): those told for a campaign, else those of its
+    grid, else those of its extractions. All three have these columns; empty keys don't count."""
+    ranked = None
+    for rank, source in enumerate((told, grids, extractions)):
+        rows = source.where(nonempty(F.trim("lang_key"))).select("campaign_id", "ord", "lang_key", F.lit(rank).alias("rank"))
+        ranked = rows if ranked is None else ranked.unionByName(rows)
+    best = ranked.groupBy("campaign_id").agg(F.min("rank").alias("rank"))
+    return ranked.join(best, ["campaign_id", "rank"]).drop("rank")
+
+
 def language_buckets(expected: DataFrame, versions: DataFrame) -> DataFrame:
     """Buckets of AGG-4 from expected keys (campaign_id, ord, lang_key), one row per canonical code.
 

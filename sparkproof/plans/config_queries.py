@@ -231,3 +231,29 @@ def precedence(spark, sf):
 def pii(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("rule_id"), "text")
     return config.pii_in_rules(rows).select("rule_id", "what")
+
+
+CUSTOM = """SELECT user_id AS config_id, concat('own-', event_id % 40) AS rule_id, CASE event_id % 3 WHEN 0 THEN 'liens' WHEN 1 THEN 'own category' ELSE concat('cat-', user_id % 5) END AS category,
+  CASE event_id % 4 WHEN 0 THEN 'guidelines' WHEN 1 THEN 'nobody' END AS agent FROM {events} WHERE event_type = 'click'"""
+OWN_CATEGORIES = """SELECT user_id AS config_id, CASE WHEN user_id % 4 = 0 THEN 'liens' WHEN event_id % 2 = 0 THEN 'own category' ELSE concat('cat-', event_id) END AS category FROM {events} WHERE event_type = 'signup' AND event_id % 3 = 0"""
+
+
+@query(
+    "res02_validate_custom_rules",
+    f"""WITH c AS ({CUSTOM}), k AS ({OWN_CATEGORIES})
+      SELECT config_id, rule_id, 'duplicate rule id' AS error FROM c GROUP BY 1, 2 HAVING count(*) > 1
+      UNION ALL SELECT config_id, category, 'duplicate category id' FROM k GROUP BY 1, 2 HAVING count(*) > 1 OR category = 'liens'
+      UNION ALL SELECT config_id, rule_id, 'unknown category' FROM c WHERE category <> 'liens' AND (config_id, category) NOT IN (SELECT config_id, category FROM k)
+      UNION ALL SELECT config_id, rule_id, 'unknown agent' FROM c WHERE agent = 'nobody'""",
+)
+def validate_custom(spark, sf):
+    return config.validate_custom(bind(spark, sf, CUSTOM), bind(spark, sf, OWN_CATEGORIES), ["liens", "contenu"], ["guidelines"])
+
+
+@query(
+    "scl23_config_hash",
+    f"""SELECT config_id, left(sha256(string_agg(concat_ws(' ', rule_id, coalesce(CAST(x.o.e AS VARCHAR), '-'), coalesce(x.o.s, '-'), coalesce(CAST(x.o.r AS VARCHAR), '-')), chr(10)
+      ORDER BY concat_ws(' ', rule_id, coalesce(CAST(x.o.e AS VARCHAR), '-'), coalesce(x.o.s, '-'), coalesce(CAST(x.o.r AS VARCHAR), '-')))), 12) AS config_hash FROM ({ov()}) x GROUP BY 1""",
+)
+def config_hashes(spark, sf):
+    return config.config_hash(overrides(spark, sf))

@@ -356,3 +356,24 @@ def canon_langs(spark, sf):
         "c_custkey", canon_lang(raw).alias("canon"), canon_column(raw).alias("column_key"),
         display_lang(raw).alias("shown"),
     )
+
+
+PLAN_BLOCKS = """SELECT p_partkey % 400 AS campaign_id, p_partkey AS block_ord, split_part(p_name, ' ', 1) AS block, lang_key, CASE WHEN lang_key = 'EN' THEN p_type ELSE p_brand END AS value
+  FROM {part} CROSS JOIN (SELECT 'EN' AS lang_key UNION ALL SELECT 'FR') l WHERE p_partkey % 5 <> 0"""
+PLAN_LINKS = """SELECT p_partkey % 400 AS campaign_id, p_partkey AS link_ord, concat(CASE WHEN p_partkey % 3 = 1 THEN 'see ' ELSE '' END, upper(split_part(p_name, ' ', 1)), CASE WHEN p_partkey % 2 = 0 THEN ' Link' ELSE '' END) AS block FROM {part}"""
+PLAN_CTAS = """SELECT p_partkey % 400 AS campaign_id, p_partkey AS link_ord, 'EN' AS lang_key, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat('CTA ', p_size) END AS label FROM {part} WHERE p_partkey % 4 = 1"""
+
+
+@query(
+    "join07_planned_labels",
+    f"""WITH b AS ({PLAN_BLOCKS}), l AS ({PLAN_LINKS}), c AS (SELECT * FROM ({PLAN_CTAS}) x WHERE label <> ''),
+      f AS (SELECT l.campaign_id, l.link_ord, min(block_ord) AS block_ord FROM l JOIN b USING (campaign_id)
+        WHERE contains(lower(l.block), lower(b.block)) OR contains(lower(b.block), lower(l.block)) GROUP BY 1, 2),
+      v AS (SELECT f.campaign_id, f.link_ord, b.lang_key, b.value FROM f JOIN b USING (campaign_id, block_ord))
+      SELECT campaign_id, link_ord, lang_key, coalesce(label, value) AS label FROM c FULL JOIN v USING (campaign_id, link_ord, lang_key)""",
+)
+def planned_labels(spark, sf):
+    """JOIN-7: the label of a link's own, else of the first block with a name like its own."""
+    from sparkproof.sources.bindings import bind
+
+    return content.planned_labels(bind(spark, sf, PLAN_LINKS), bind(spark, sf, PLAN_CTAS), bind(spark, sf, PLAN_BLOCKS))

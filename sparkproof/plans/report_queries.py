@@ -10,6 +10,7 @@ from sparkproof.operators import dedup, reports, rules
 from sparkproof.operators.findings import each
 from sparkproof.operators.skew import latest, rank_in_group
 from sparkproof.plans import mail_queries as mq
+from sparkproof.plans.mail_sql import KEY_CTES, mail_sql
 from sparkproof.plans.registry import ORACLE, query
 from sparkproof.sources.bindings import load, table
 
@@ -446,3 +447,34 @@ def portfolio_findings(spark, sf):
 )
 def periods(spark, sf):
     return load(spark, sf, "campaigns").select("period").distinct().orderBy(F.desc("period"))
+
+
+TOLD = "SELECT campaign_id, 0 AS ord, CASE WHEN campaign_id % 2 = 0 THEN 'FR' ELSE ' ' END AS lang_key FROM {campaigns} c WHERE campaign_id % 3 = 0"
+IN_GRID = "SELECT campaign_id, o AS ord, CASE o WHEN 1 THEN 'EN|US' ELSE 'DE' END AS lang_key FROM {campaigns} c CROSS JOIN (SELECT 1 AS o UNION ALL SELECT 2) n WHERE campaign_id % 5 < 3"
+EXTRACTED = "SELECT campaign_id, 0 AS ord, 'IT' AS lang_key FROM {campaigns} c"
+
+
+@query(
+    "agg04_expected_languages",
+    f"""WITH t AS (SELECT * FROM ({TOLD}) x WHERE trim(lang_key) <> ''), g AS ({IN_GRID})
+      SELECT * FROM t UNION ALL SELECT * FROM g WHERE campaign_id NOT IN (SELECT campaign_id FROM t)
+      UNION ALL SELECT * FROM ({EXTRACTED}) e WHERE campaign_id NOT IN (SELECT campaign_id FROM t) AND campaign_id NOT IN (SELECT campaign_id FROM g)""",
+)
+def expected_languages(spark, sf):
+    from sparkproof.sources.bindings import bind
+
+    return reports.expected_languages(*[bind(spark, sf, q) for q in (TOLD, IN_GRID, EXTRACTED)])
+
+
+@query(
+    "snk03_links_sheet",
+    mail_sql("""SELECT k.version_id, pos, coalesce(market, '?') AS market,
+      CASE WHEN text <> '' THEN text ELSE '—' END AS link_text, href AS url, coalesce(final_url, '') AS final_url,
+      CASE status WHEN 'ok' THEN 'OK' WHEN 'casse' THEN 'BROKEN' WHEN 'suspect' THEN 'SUSPICIOUS' WHEN 'non_verifiable' THEN 'not verifiable' ELSE 'not tested' END AS status
+      FROM checked k LEFT JOIN names n ON n.version_id = k.version_id""", names=True, more=KEY_CTES),
+)
+def links_sheet(spark, sf):
+    from sparkproof.plans.mail_queries import checked_links
+
+    named = load(spark, sf, "mails").select("version_id", "name")
+    return reports.links_sheet(checked_links(spark, sf).join(named, "version_id"))
