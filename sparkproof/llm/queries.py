@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +35,35 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_license_scan")
+def license_sql() -> str:
+    """The scan by comparing every block with every template."""
+    notices = [(label, text.split()) for label, texts in licenses.TEMPLATES.items() for text in texts]
+    m = max(len(words) for _, words in notices)
+    rows = []
+    for label, words in notices:
+        held = sorted(set(words))
+        rows.append(f"('{label}', {ceil(licenses.THRESHOLD * len(held) - 1e-9)}, {held})")
+    places = [
+        f"SELECT row, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + {len(phrase.split())}] = {phrase.split()})) AS i FROM d"
+        for phrase, label in licenses.BASE.items()
+    ]
+    return rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(regexp_extract_all(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+      t(label, need, tokens) AS (VALUES {", ".join(rows)}),
+      b AS (SELECT row, list_distinct(w[i + 1 : i + {2 * m}]) AS block FROM (SELECT row, w, unnest(range(0, len(w), {m})) AS i FROM d)),
+      met AS (SELECT row, label, need, len(list_intersect(block, tokens)) AS n, len(tokens) AS size FROM b, t),
+      added AS (SELECT row, label, max(n / size) AS share FROM met WHERE n >= need GROUP BY 1, 2),
+      places AS ({" UNION ALL ".join(places)}),
+      base AS (SELECT row, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY 1),
+      labels AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+        FROM (SELECT row, label FROM places UNION ALL SELECT row, label FROM added) GROUP BY 1),
+      best AS (SELECT row, max(share) AS share FROM added GROUP BY 1)
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+        coalesce(labels, '') AS labels, CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(share, 0) END AS DOUBLE) AS score
+      FROM d LEFT JOIN base USING (row) LEFT JOIN labels USING (row) LEFT JOIN best USING (row)"""
+
+
+@query("op1_license_scan", license_sql())
 def scanned_licenses(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
 
