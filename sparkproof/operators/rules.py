@@ -18,6 +18,7 @@ from sparkproof.functions.text import WS, let, norm_text
 from sparkproof.operators.findings import (
     NO_FINDINGS, NO_PASSED, REVIEW, each, finding, nonempty, only_if, passed, text,
 )
+from sparkproof.operators.skew import skew_join
 
 # Patterns whose hits decide results.
 PLACEHOLDER = r"lorem ipsum|\bTBD\b|\bTODO\b|xxx+|placeholder|à compléter|a completer"
@@ -546,6 +547,14 @@ def allowed_domains(m: Mail):
     )
 
 
+def attach_rules(mails: DataFrame, custom: DataFrame) -> DataFrame:
+    """RES-5: adds `brand_rules` to mails from rule rows (campaign_id, ord, rule_id, check, severity, title,
+    tokens, exact_text, max_length). One campaign's rules are a few dozen rows; mails without get none."""
+    rule = F.struct("ord", "rule_id", "check", "severity", "title", "tokens", "exact_text", "max_length")
+    per_campaign = custom.groupBy("campaign_id").agg(F.array_sort(F.collect_list(rule)).alias("brand_rules"))
+    return skew_join(mails, per_campaign, ["campaign_id"], "left")
+
+
 def _rule_severity(r: Column) -> Column:
     return F.when(r["severity"] == "error", "CRITIQUE").when(
         r["severity"] == "warning", "MAJEUR"

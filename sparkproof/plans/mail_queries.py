@@ -12,7 +12,7 @@ from sparkproof.operators import extract, links, rules
 from sparkproof.operators.findings import REVIEW, array_rows
 from sparkproof.plans.mail_sql import KEY_CTES, host_sql, mail_sql, params_sql, q
 from sparkproof.plans.registry import query
-from sparkproof.sources.bindings import load
+from sparkproof.sources.bindings import RELATIONS, load
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -419,28 +419,27 @@ rule_query(
              OR contains(host, 'tiktok'))"""),
     extra=with_domains,
 )
-BRAND_RULES = [
-    ("b1", "forbidden_terms", "error", "No dull words", ["of the", "que"], None, None),
-    ("b2", "required_text", "warning", "Offer line", [], "Offer for EN", None),
-    ("b3", "max_length", "suggestion", "Short subject", [], None, 50),
-]
+RELATIONS["custom_rules"] = """
+SELECT campaign_id, ord, rule_id, check_kind, severity, title, terms, exact_text, max_length
+FROM (SELECT DISTINCT page_id % 20 AS campaign_id FROM {pages}) c CROSS JOIN (
+  SELECT 1 AS ord, 'b1' AS rule_id, 'forbidden_terms' AS check_kind, 'error' AS severity, 'No dull words' AS title, 'of the|que' AS terms, CAST(NULL AS STRING) AS exact_text, CAST(NULL AS INT) AS max_length
+  UNION ALL SELECT 2, 'b2', 'required_text', 'warning', 'Offer line', '', 'Offer for EN', NULL
+  UNION ALL SELECT 3, 'b3', 'max_length', 'suggestion', 'Short subject', '', NULL, 50) r
+"""
 
 
-def with_brand_rules(df):
-    rows = [
-        F.struct(
-            F.lit(i).alias("rule_id"), F.lit(c).alias("check"), F.lit(s).alias("severity"),
-            F.lit(t).alias("title"), F.array(*[F.lit(x) for x in toks]).cast("array<string>").alias("tokens"),
-            F.lit(txt).cast("string").alias("exact_text"), F.lit(n).cast("int").alias("max_length"),
-        )
-        for i, c, s, t, toks, txt, n in BRAND_RULES
-    ]
-    return df.withColumn("brand_rules", F.array(*rows))
+def with_brand_rules(spark, sf):
+    """RES-5: rules are rows of a table; each mail gets those of its campaign, in their order."""
+    rows = load(spark, sf, "custom_rules").select(
+        "campaign_id", "ord", "rule_id", F.col("check_kind").alias("check"), "severity", "title",
+        F.filter(F.split("terms", r"\|"), lambda t: t != "").alias("tokens"), "exact_text", "max_length",
+    )
+    return rules.attach_rules(facts(spark, sf), rows)
 
 
 def brand_query(name, prefix, sql):
     def run(spark, sf):
-        df = rules.prepare(with_brand_rules(facts(spark, sf)))
+        df = rules.prepare(with_brand_rules(spark, sf))
         rows = rule_rows(df, ["brand-editorial-rules"])
         return rows.where(F.startswith("message", F.lit(prefix)))
 
