@@ -330,6 +330,10 @@ class Join:
         classes = facts.where("id IS NOT NULL").groupBy("id").agg(F.first("parts").alias("parts"), F.first("sketch").alias("sketch"))
         self.parts = keep(classes, "parts")
         self.hits = self.prefix_hits()
+        # Small groups are compared whole in the end; orders are for those that would give many pairs.
+        sizes = self.hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > NEAR)
+        rows = self.hits.select("shingle", "salt", "id", "n", "pos").join(sizes.select("shingle"), "shingle")
+        self.large = keep(rows.join(self.parts.select("id", "sketch"), "id"), "large")
 
     def prefix_hits(self) -> DataFrame:
         """Prefix rows of shingles that several classes share, with the group's first row and the row before."""
@@ -356,9 +360,12 @@ class Join:
             suffix_filter(self.percent), "a long, b long, na int, nb int"
         )
 
+    @staticmethod
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
     def sets_of(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = self.context.broadcast(bit_filter(ids))
+        wanted = self.context.broadcast(bit_filter(keep(self.ends(pairs), "wanted")))
         sets = self.texts.mapInArrow(wanted_sets(wanted, self.size), "id long, shingles binary")
         return keep(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
 
@@ -385,18 +392,16 @@ class Join:
 
     def sketch_edges(self) -> DataFrame:
         """Partners among neighbours of the same groups, in orders that put like sets together."""
-        rows = self.hits.select("shingle", "salt", "id", "n", "pos").join(self.parts.select("id", "sketch"), "id")
-        rows = keep(rows, "sketches")
         found = []
         for k in range(0, SKETCH, 2):
             ordered = Window.partitionBy("shingle", "salt").orderBy(F.get("sketch", k), F.get("sketch", k + 1), "n", "id")
-            near = rows.select("id", "n", "pos", F.lag(F.struct("id", "n", "pos")).over(ordered).alias("before"))
+            near = self.large.select("id", "n", "pos", F.lag(F.struct("id", "n", "pos")).over(ordered).alias("before"))
             found.append(self.best_edges(near, "before"))
         return found[0].union(found[1]).union(found[2]).distinct()
 
-    def across(self, labels: DataFrame) -> DataFrame:
+    @staticmethod
+    def across(hits: DataFrame, labels: DataFrame) -> DataFrame:
         """Prefix rows of groups that hold several components, with the row's component."""
-        hits = self.hits.select("shingle", "salt", "id", "n", "pos")
         rows = hits.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         mixed = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         return keep(rows.join(mixed.select("shingle"), "shingle"), "mixed")
@@ -404,7 +409,6 @@ class Join:
     def neighbours(self, rows: DataFrame, k: int) -> DataFrame:
         """Pairs of each row with those of the next NEAR of its group, in an order that puts like sets
         together, that lie in other components."""
-        rows = rows.join(self.parts.select("id", "sketch"), "id")
         group = Window.partitionBy("shingle", "salt").orderBy(F.get("sketch", k), F.get("sketch", k + 1), "n", "id")
         last = F.collect_list(F.struct("id", "n", "pos", "label")).over(group.rowsBetween(-NEAR, -1))
         met = rows.select("id", "n", "pos", "label", last.alias("last"))
@@ -448,7 +452,7 @@ class Join:
 
         # A class may be like many of a large component but not like those that it has met by now.
         for k in range(0, SKETCH, 2):
-            more = self.neighbours(self.across(labels), k).join(done, ["a", "b"], "left_anti")
+            more = self.neighbours(self.across(self.large, labels), k).join(done, ["a", "b"], "left_anti")
             for end in ("a", "b"):
                 more = more.join(sets.select(F.col("id").alias(end)), end, "left_semi")
             more = keep(self.filtered(more.select(*pairs)), "pairs")
@@ -458,11 +462,11 @@ class Join:
             labels = connected(links)
             done = done.union(more.select("a", "b"))
 
-        rest = self.between(self.across(labels)).join(done, ["a", "b"], "left_anti")
+        hits = self.hits.select("shingle", "id", "n", "pos")
+        rest = self.between(self.across(hits, labels)).join(done, ["a", "b"], "left_anti")
         rest = keep(self.filtered(rest), "pairs")
         if not rest.isEmpty():
-            ids = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            if not ids.join(sets, "id", "left_anti").isEmpty():
+            if not self.ends(rest).join(sets, "id", "left_anti").isEmpty():
                 sets = self.sets_of(rest)
             links = links.union(self.verified(rest, sets))
             labels = connected(links)
