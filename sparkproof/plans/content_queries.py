@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from sparkproof.functions.languages import canon_lang, display_lang, grid_key_for
 from sparkproof.functions.text import dice_similarity, norm_text
 from sparkproof.operators import contain, content, rules
-from sparkproof.operators.findings import nonempty
 from sparkproof.plans import mail_queries as mq
 from sparkproof.plans.mail_sql import KEY_CTES, mail_sql
 from sparkproof.plans.registry import query

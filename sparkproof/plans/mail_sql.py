@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from sparkproof.functions import urls
-from sparkproof.operators import rules
 
 ENTITIES = [("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"),
             ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")]

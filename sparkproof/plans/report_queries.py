@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from sparkproof.functions.languages import ALIAS_TO_CODE, LABELS, MARKET_LABELS
 from sparkproof.functions.names import CRITERIA, TITLE_BY_CATEGORY, TITLES
 from sparkproof.operators import dedup, reports, rules
-from sparkproof.operators.findings import each
 from sparkproof.operators.skew import latest, rank_in_group
 from sparkproof.plans import mail_queries as mq
 from sparkproof.plans.mail_sql import KEY_CTES, mail_sql
