@@ -41,8 +41,6 @@ def test_syncmers_are_context_free():
 
 
 def expected(docs):
-    import xxhash  # noqa: F401
-
     out = []
     for (i, t), (_, following) in zip(docs, docs[1:] + docs[:1]):
         q = len(t) // 4
