@@ -190,7 +190,7 @@ def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix_rows(loads, size: int, percent: int) -> Callable:
-    """The rare-first prefix of each class, once for each task: shingle, salt, id, n, pos.
+    """The rare-first prefix of each class, once for each task: shingle, salt, salts, id, n, pos.
 
     Salts divide the rows of a shingle whose counter has many, for what is done along an order."""
 
@@ -198,7 +198,7 @@ def prefix_rows(loads, size: int, percent: int) -> Callable:
         load = loads.value
         seen: set[int] = set()
         for batch in batches:
-            shingles, ids, lengths, counts, salts = [], [], [], [], []
+            shingles, ids, lengths, counts, salts, divided = [], [], [], [], [], []
             for s in shingle_sets([*texts_of(batch)], size):
                 n = len(s)
                 if not n or (i := class_id(s)) in seen:
@@ -208,7 +208,8 @@ def prefix_rows(loads, size: int, percent: int) -> Callable:
                 of = load[(s % np.uint64(len(load))).astype(np.int64)]
                 rare = np.lexsort((s, of))[:p]
                 shingles.append(s[rare])
-                salts.append((i & 0x7FFFFFFF) % (1 + of[rare] // ROWS_PER_SALT))
+                divided.append(1 + of[rare] // ROWS_PER_SALT)
+                salts.append((i & 0x7FFFFFFF) % divided[-1])
                 ids.append(i)
                 lengths.append(n)
                 counts.append(p)
@@ -216,10 +217,10 @@ def prefix_rows(loads, size: int, percent: int) -> Callable:
                 pos = np.concatenate([np.arange(p, dtype=np.int32) for p in counts])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)),
+                        pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(divided).astype(np.int32)),
                         pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.repeat(np.array(lengths, np.int32), counts)), pa.array(pos),
                     ],
-                    names=["shingle", "salt", "id", "n", "pos"],
+                    names=["shingle", "salt", "salts", "id", "n", "pos"],
                 )
 
     return rows
@@ -338,7 +339,7 @@ class Join:
     def prefix_hits(self) -> DataFrame:
         """Prefix rows of shingles that several classes share, with the group's first row and the row before."""
         rows = self.texts.mapInArrow(
-            prefix_rows(self.loads, self.size, self.percent), "shingle long, salt int, id long, n int, pos int"
+            prefix_rows(self.loads, self.size, self.percent), "shingle long, salt int, salts int, id long, n int, pos int"
         )
         group = Window.partitionBy("shingle", "salt")
         ordered = group.orderBy("n", "id")
@@ -349,8 +350,9 @@ class Join:
         )
         # A class that several tasks have sent stands in neighbouring rows.
         once = F.col("before").isNull() | (F.col("before.id") != F.col("id"))
-        alone = (F.col("hub.id") == F.col("last")) & (F.col("salt") == 0)
-        return keep(shared.where(~alone & once).drop("last"), "prefixes")
+        # Other classes of a divided shingle may stand under its other salts.
+        alone = (F.col("hub.id") == F.col("last")) & (F.col("salts") == 1)
+        return keep(shared.where(~alone & once).drop("last", "salts"), "prefixes")
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a < b, na, nb) that pass the suffix filter."""

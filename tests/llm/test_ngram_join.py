@@ -76,6 +76,18 @@ def test_groups_equal_brute_force(spark, case):
     assert got == brute(docs)
 
 
+def test_classes_of_divided_shingles_meet(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROWS_PER_SALT", 4)
+    rng = random.Random(5)
+    docs = []
+    for _ in range(20):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+        docs += [" ".join(words)] * 6 + [" ".join([*words[:-1], "other"])]
+    df = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram_join.join_documents(df.repartition(4)).collect()), key=str)
+    assert got == brute([*enumerate(docs)])
+
+
 def test_empty_table(spark):
     df = documents(spark, "/root/testdata/sf0.001")
     assert ngram_join.join_documents(df.limit(0)).count() == 0
