@@ -13,9 +13,10 @@ from sparkproof.llm.common import documents, keep
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter have no language and go; all others stay."""
+    """Documents without a letter go, and those that no learned language supports (`languages.Model.least`);
+    where no language can be learned, all with a letter stay."""
     found = languages.predict(docs, docs.columns)
-    return found.where(F.col("lang_pred") != languages.UNKNOWN).select("row.*")
+    return found.where("known").select("row.*")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline's rows against its stages done plainly."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from sparkproof.llm import decontamination, languages
 from sparkproof.llm.common import documents, vocabulary_path
 from test_decontamination import brute as brute_hits
@@ -45,6 +46,18 @@ def test_stages(spark):
     assert decontamination.WINDOW == 10
 
 
+def test_language_stage_rejects_foreign_texts_and_keeps_all_without_labels(spark):
+    docs = documents(spark, SF)
+    foreign = ["日本語の文章はここにあります", "Русский текст здесь", "%$# a 8", "ελληνικά κείμενο εδώ"]
+    docs = docs.union(spark.createDataFrame([(900 + i, t, None, "s", len(t)) for i, t in enumerate(foreign)] + [(950, "?!", None, "s", 2)], docs.schema))
+    lettered = {r.doc_id for r in docs.collect() if languages.has_letter((r.text or "").encode())}
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, SF).collect()}
+    assert kept == {i for i in lettered if i < 900}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, unlabelled, SF).collect()}
+    assert kept == lettered
+
+
 def test_run_and_entry(spark):
     import __spark_entry__ as entry
 
