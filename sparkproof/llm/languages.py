@@ -22,7 +22,7 @@ from sparkproof.llm.common import remainder, text_bytes, texts_of
 
 HELD_OUT = 2
 FOLDS = 4
-#: Labelled documents of each language that the machines are fitted on (about; they are chosen by hash),
+#: Different labelled texts of each language that the machines are fitted on (about; they are chosen by hash),
 #: and the number of languages, the most frequent ones: together the bound of what the driver gets.
 SAMPLE = 400
 LANGUAGES = 50
@@ -163,15 +163,19 @@ def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on about `sample` documents of each language (lang, text, mark: a hash), or None without any."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """Fit on about `sample` different texts of each language (lang, text, mark: the text's hash), or None
+    without any. Copies count once, whatever their number."""
+    labelled = labelled.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    distinct = labelled.select("lang", "mark").distinct()
+    counts = distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
     chosen = F.lit(False)
     for r in counts:
         share = min(1.0, sample / r["count"])
         chosen = chosen | ((F.col("lang") == r["lang"]) & (F.pmod("mark", F.lit(1 << 31)) < int(share * (1 << 31))))
-    got = labelled.where(chosen).select("lang", "text").mapInArrow(sample_features, "lang string, x binary").toArrow()
+    texts = labelled.where(chosen).groupBy("lang", "mark").agg(F.first("text").alias("text"))
+    got = texts.select("lang", "text").mapInArrow(sample_features, "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
     order = sorted(zip(got["lang"].to_pylist(), got["x"].to_pylist(), strict=True))
@@ -215,7 +219,7 @@ def predict(docs: DataFrame, carry: list[str], folds: int = FOLDS, held_out: int
     with too little support; where nothing can be learned, true for every text with a letter)."""
     fold = remainder(folds)
     labelled = docs.where((fold != held_out) & F.col("lang").isNotNull()).select(
-        F.col("lang").cast("string").alias("lang"), text_bytes().alias("text"), F.xxhash64("doc_id", "text").alias("mark")
+        F.col("lang").cast("string").alias("lang"), text_bytes().alias("text"), F.xxhash64("text").alias("mark")
     )
     model = docs.sparkSession.sparkContext.broadcast(train(labelled))
     fields = [F.col(f"`{c}`") for c in carry]

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkproof.llm import languages
 from sparkproof.llm.common import documents
@@ -37,6 +38,19 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in languages.identify(df.where("lang = 'en'")).collect()} == {"en", "und"}
 
 
+def test_copies_do_not_displace_other_texts(spark, monkeypatch):
+    fitted = []
+    model = languages.Model
+    monkeypatch.setattr(languages, "Model", lambda x, names: fitted.append((len({r.tobytes() for r in x}), names)) or model(x, names))
+    rows = [("de", "der und nicht das ein")] * 2000 + [("de", f"der text nummer {'abcdefghij'[i // 10] * 3} {'klmnopqrst'[i % 10] * 4}") for i in range(100)]
+    rows += [("en", "the and with this"), ("en", "?! 12")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    labelled = df.select("lang", languages.text_bytes().alias("text"), F.xxhash64("text").alias("mark"))
+    languages.train(labelled.repartition(4), sample=60)
+    different, names = fitted[0]
+    assert 30 <= names.count("de") <= 95 and names.count("en") == 1 and different == len(names)
+
+
 def test_machine_separates():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(2, 1, (60, 5)), rng.normal(-2, 1, (60, 5))]).astype(np.float32)
