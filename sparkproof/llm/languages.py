@@ -23,9 +23,11 @@ from sparkproof.llm.common import remainder, text_bytes, texts_of
 HELD_OUT = 2
 FOLDS = 4
 #: Different labelled texts of each language that the machines are fitted on (about; they are chosen by hash),
-#: and the number of languages, the most frequent ones: together the bound of what the driver gets.
+#: and of all languages together: more than ROWS / SAMPLE languages share ROWS, one text each at least.
 SAMPLE = 400
-LANGUAGES = 50
+ROWS = 20_000
+#: Number of hash values by which texts are chosen.
+SPAN = 1 << 31
 UNKNOWN = "und"
 # Families of languages by code. A language that isn't named is a family of its own.
 FAMILIES = {
@@ -164,28 +166,24 @@ def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on about `sample` different texts of each language (lang, text, mark: the text's hash), or None
-    without any. Copies count once, whatever their number."""
+    without any. Copies count once, whatever their number; every language has a text at least."""
     labelled = labelled.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    place = F.pmod("mark", F.lit(SPAN))
     distinct = labelled.select("lang", "mark").distinct()
-    counts = distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).collect()
     if not counts:
         return None
-    chosen = F.lit(False)
-    for r in counts:
-        share = min(1.0, sample / r["count"])
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.pmod("mark", F.lit(1 << 31)) < int(share * (1 << 31))))
-    texts = labelled.where(chosen).groupBy("lang", "mark").agg(F.first("text").alias("text"))
+    each = max(1, min(sample, ROWS // len(counts)))
+    most = [max(r["least"], int(min(1.0, each / r["n"]) * SPAN) - 1) for r in counts]
+    limits = pa.table({"lang": pa.array([r["lang"] for r in counts], pa.string()), "most": pa.array(most, pa.int64())})
+    # A row for each language, whose size Spark knows.
+    chosen = labelled.join(labelled.sparkSession.createDataFrame(limits), "lang").where(place <= F.col("most"))
+    texts = chosen.groupBy("lang", "mark").agg(F.first("text").alias("text"))
     got = texts.select("lang", "text").mapInArrow(sample_features, "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
-    order = sorted(zip(got["lang"].to_pylist(), got["x"].to_pylist(), strict=True))
-    x, names, held = [], [], {}
-    for lang, row in dict.fromkeys(order):
-        if held.get(lang, 0) < 2 * sample:
-            held[lang] = held.get(lang, 0) + 1
-            names.append(lang)
-            x.append(np.frombuffer(row, np.float16))
-    return Model(with_bias(x), names)
+    order = sorted(set(zip(got["lang"].to_pylist(), got["x"].to_pylist(), strict=True)))
+    return Model(with_bias([np.frombuffer(row, np.float16) for _, row in order]), [lang for lang, _ in order])
 
 
 def predictor(model) -> Callable:

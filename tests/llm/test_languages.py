@@ -51,6 +51,14 @@ def test_copies_do_not_displace_other_texts(spark, monkeypatch):
     assert 30 <= names.count("de") <= 95 and names.count("en") == 1 and different == len(names)
 
 
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(100 * k + i, f"{letters[k % 26] * 5} {letters[k // 26] * 2}x{letters[k % 26]}", f"l{k:02}") for k in range(60) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = languages.identify(df).select("doc_id", "lang_pred").collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: lang for i, _, lang in rows}
+
+
 def test_machine_separates():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(2, 1, (60, 5)), rng.normal(-2, 1, (60, 5))]).astype(np.float32)
