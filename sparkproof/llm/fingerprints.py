@@ -2,8 +2,8 @@
 
 A k-mer of code points is an anchor if the smallest of its inner s-mers is the first or the last of them.
 That depends on the k-mer alone, so texts that share a passage share its anchors wherever it stands. A
-fingerprint keeps the anchors with the smallest hashes of the whole text, each with its position, so two
-texts are compared by anchors that lie at one common shift.
+fingerprint keeps all distinct anchors of the whole text, each with its first position, so two texts are
+compared by anchors that lie at one common shift.
 
 Each document meets the next one by id: rows are sorted in ranges of ids, each task reads its range
 once, and only the last row of a range waits for the first of the next.
@@ -25,9 +25,9 @@ from sparkproof.llm.common import keep, partition_id, texts_of
 
 K = 20
 S = 9
-ANCHORS = 32
-#: A position is kept in units of so many code points, modulo 2^12; a hash as 20 bits.
+#: An anchor takes five bytes: 12 bits of position, in units of so many code points, and 28 of hash.
 UNIT = 32
+BYTES = 5
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -60,7 +60,7 @@ def syncmers(points: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np
 
 
 def fingerprint(text: str) -> str:
-    """Anchors as base64, four bytes each: 20 bits of hash, 12 of position, in order of their hashes.
+    """Anchors as base64, five bytes each: 28 bits of hash, 12 of position, in order of their hashes.
 
     A text shorter than a k-mer is one anchor, the empty text none."""
     if not text:
@@ -69,36 +69,33 @@ def fingerprint(text: str) -> str:
         at, h = np.zeros(1, np.int64), np.array([xxhash.xxh64_intdigest(text)], np.uint64)
     else:
         at, h = syncmers(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64))
-        if len(h) > ANCHORS:
-            # Enough of the smallest to hold ANCHORS distinct ones, if there are as many.
-            some = min(len(h), 8 * ANCHORS)
-            near = np.argpartition(h, some - 1)[:some]
-            near.sort()
-            values, first = np.unique(h[near], return_index=True)
-            if len(values) < ANCHORS and some < len(h):
-                values, first = np.unique(h, return_index=True)
-                near = np.arange(len(h))
-            at, h = at[near[first[:ANCHORS]]], values[:ANCHORS]
-        else:
-            h, first = np.unique(h, return_index=True)
-            at = at[first]
-    packed = ((h & np.uint64(0xFFFFF)) << np.uint64(12)) | (at // UNIT % 4096).astype(np.uint64)
-    return base64.b64encode(packed.astype("<u4").tobytes()).decode()
+    h, first = np.unique(h >> np.uint64(36), return_index=True)
+    packed = (h << np.uint64(12)) | (at[first] // UNIT % 4096).astype(np.uint64)
+    return base64.b64encode(packed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()).decode()
+
+
+def anchors(fingerprint: str) -> np.ndarray:
+    """What `fingerprint` packed: hash << 12 | position of each anchor."""
+    held = np.frombuffer(base64.b64decode(fingerprint), np.uint8).reshape(-1, BYTES)
+    out = np.zeros((len(held), 8), np.uint8)
+    out[:, :BYTES] = held
+    return out.view("<u8").reshape(-1).astype(np.int64)
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of anchors that both hold at one shift (give or take a unit), 0 to 1."""
+    """Of the anchors that could match, which are as many as the text with fewer has, the share that both
+    hold at one shift (give or take a unit), 0 to 1."""
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(base64.b64decode(f), "<u4") for f in (a, b))
+    x, y = anchors(a), anchors(b)
     if not len(x) or not len(y):
         return 0.0
-    _, i, j = np.intersect1d(x >> 12, y >> 12, return_indices=True)
+    _, i, j = np.intersect1d(x >> 12, y >> 12, assume_unique=True, return_indices=True)
     if not len(i):
         return 0.0
-    shift = ((x[i] & 4095).astype(np.int64) - (y[j] & 4095)) % 4096
+    shift = ((x[i] & 4095) - (y[j] & 4095)) % 4096
     votes = np.bincount(shift, minlength=4096)
-    return float((votes + np.roll(votes, 1) + np.roll(votes, -1)).max()) / max(len(x), len(y))
+    return float((votes + np.roll(votes, 1) + np.roll(votes, -1)).max()) / min(len(x), len(y))
 
 
 def edited_text(text: str, following: str) -> str:

@@ -73,6 +73,19 @@ def test_repeats_nulls_and_small_tables(spark):
     assert fp.fingerprint_documents(df.limit(0)).count() == 0
 
 
+def test_all_anchors_are_kept():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(6))
+    passage = " ".join(word() for _ in range(50))
+    long = [" ".join(word() for _ in range(4000)) for _ in range(4)]
+    a, b = f"{long[0]} {passage} {long[1]}", f"{long[2]} {passage} {long[3]}"
+    assert fp.likeness(fp.fingerprint(passage), fp.fingerprint(a)) > 0.95
+    assert 0.002 < fp.likeness(fp.fingerprint(a), fp.fingerprint(b)) < 0.02
+    assert fp.likeness(fp.fingerprint(passage), fp.fingerprint(long[0])) < 0.1
+    changed = a[: len(a) * 3 // 4] + long[2][: len(a) - len(a) * 3 // 4]
+    assert abs(fp.likeness(fp.fingerprint(a), fp.fingerprint(changed)) - 0.75) < 0.02
+
+
 def test_likeness():
     text = " ".join(f"word{i} text" for i in range(400))
     assert fp.likeness(fp.fingerprint(text), fp.fingerprint("some new words in front " * 3 + text)) > 0.8
