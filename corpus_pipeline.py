@@ -13,10 +13,16 @@ from sparkproof.llm.common import documents, keep
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those that no learned language supports (`languages.Model.least`);
-    where no language can be learned, all with a letter stay."""
+    """Documents without a letter go, and those that no learned language supports; where no language can
+    be learned, all with a letter stay.
+
+    The least support is half the median of all labelled documents that aren't held out, or 0.95 times the
+    lowest of theirs if that is less, so that all of them stay."""
     found = languages.predict(docs, docs.columns)
-    return found.where("known").select("row.*")
+    labelled = found.where(F.col("letter") & ~F.col("held_out") & F.col("row.lang").isNotNull() & (F.col("lang_pred") != languages.UNKNOWN))
+    support = labelled.agg(F.min("score").alias("lowest"), F.percentile_approx("score", 0.5).alias("median")).first()
+    least = 0.0 if support["median"] is None else min(support["median"] / 2, 0.95 * support["lowest"])
+    return found.where(F.col("letter") & (F.col("score") >= least)).select("row.*")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,10 +117,7 @@ class Machines:
 
 
 class Model:
-    """Machines between families, and within each family between its languages.
-
-    `least` is the support below which a text is in none of them: half the median of the documents that
-    were learned from, and a little less than the smallest of theirs if that is lower, so all of them pass."""
+    """Machines between families, and within each family between its languages."""
 
     def __init__(self, x: np.ndarray, languages: list[str]):
         families = [FAMILY_OF.get(lang, f"= {lang}") for lang in languages]
@@ -129,8 +126,6 @@ class Model:
         for family in self.families.classes:
             rows = [i for i, f in enumerate(families) if f == family]
             self.within.append(Machines(x[rows], [languages[i] for i in rows]))
-        support = np.array(self.predict(x)[1])
-        self.least = float(min(np.median(support) / 2, 0.99 * support.min()))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], list[float]]:
         family, score = self.families.decide(x)
@@ -187,34 +182,32 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
 
 
 def predictor(model) -> Callable:
-    """Adds to rows of row, text the language, its score, and whether the text is kept: it has a letter,
-    and a model, if there is one, gives it enough support."""
+    """Adds to rows of row, text the language, its score, and whether the text has a letter."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, known = [], [], []
+            names, scores, letters = [], [], []
             for start in range(0, batch.num_rows, CHUNK):
                 texts = [*texts_of(batch.slice(start, CHUNK))]
-                stays = [has_letter(t) for t in texts]
-                lettered = [i for i, letter in enumerate(stays) if letter and model.value is not None]
+                has = [has_letter(t) for t in texts]
+                lettered = [i for i, letter in enumerate(has) if letter and model.value is not None]
                 out, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if lettered:
                     for i, lang, s in zip(lettered, *model.value.predict(with_bias([features(texts[i]) for i in lettered])), strict=True):
-                        out[i], score[i], stays[i] = lang, s, s >= model.value.least
+                        out[i], score[i] = lang, s
                 names += out
                 scores += score
-                known += stays
+                letters += has
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())],
-                names=["row", "lang_pred", "score", "known"],
+                [batch.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())],
+                names=["row", "lang_pred", "score", "letter"],
             )
 
     return predict
 
 
 def predict(docs: DataFrame, carry: list[str], folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
-    """row (a struct of the carried columns), held_out, lang_pred, score, known (false without a letter or
-    with too little support; where nothing can be learned, true for every text with a letter)."""
+    """row (a struct of the carried columns), held_out, lang_pred, score, letter (whether the text has one)."""
     fold = remainder(folds)
     labelled = docs.where((fold != held_out) & F.col("lang").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), text_bytes().alias("text"), F.xxhash64("text").alias("mark")
@@ -224,9 +217,9 @@ def predict(docs: DataFrame, carry: list[str], folds: int = FOLDS, held_out: int
     rows = docs.select(F.struct(F.struct(*fields).alias("row"), (fold == held_out).alias("held_out")).alias("row"), text_bytes().alias("text"))
     schema = T.StructType([
         rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
-        T.StructField("known", T.BooleanType()),
+        T.StructField("letter", T.BooleanType()),
     ])
-    return rows.mapInArrow(predictor(model), schema).select("row.row", "row.held_out", "lang_pred", "score", "known")
+    return rows.mapInArrow(predictor(model), schema).select("row.row", "row.held_out", "lang_pred", "score", "letter")
 
 
 def identify(docs: DataFrame) -> DataFrame:
