@@ -13,6 +13,7 @@ from sparkproof.llm import (
     fingerprints,
     languages,
     licenses,
+    merge_replay,
     ngram_join,
     packing,
     sharding,
@@ -152,3 +153,8 @@ def fingerprinted_documents(spark, sf_dir):
 @query("op6_language_id")
 def identified_languages(spark, sf_dir):
     return languages.identify(documents(spark, sf_dir))
+
+
+@query("op11_byte_bpe")
+def encoded_and_decoded(spark, sf_dir):
+    return merge_replay.round_trip(documents(spark, sf_dir))
