@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkproof.llm import (
     context_trees,
     decontamination,
+    divergence,
     fingerprints,
     languages,
     licenses,
@@ -158,3 +159,30 @@ def identified_languages(spark, sf_dir):
 @query("op11_byte_bpe")
 def encoded_and_decoded(spark, sf_dir):
     return merge_replay.round_trip(documents(spark, sf_dir))
+
+
+@query(
+    "op13_source_audit",
+    r"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+      t AS (SELECT lang, source, row, term, count(*) AS n FROM (SELECT lang, source, row, unnest(w) AS term FROM d) GROUP BY ALL),
+      k AS (SELECT lang, term, sum(n) AS ln FROM t GROUP BY 1, 2 HAVING count(*) >= 10),
+      g AS (SELECT DISTINCT lang, source FROM d),
+      c AS (SELECT g.lang, g.source, k.term, k.ln, coalesce(x.n, 0) AS n FROM g JOIN k USING (lang)
+        LEFT JOIN (SELECT lang, source, term, sum(n) AS n FROM t GROUP BY 1, 2, 3) x USING (lang, source, term)),
+      v AS (SELECT lang, count(*) AS v, sum(ln) AS total FROM k GROUP BY 1),
+      s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2),
+      p AS (SELECT lang, source, term, n, CAST(1 + (1000000000 * (n + 2)) // (s.total + 2 * v.v) AS HUGEINT) AS p,
+        CAST(1 + (1000000000 * (ln + 2)) // (v.total + 2 * v.v) AS HUGEINT) AS q FROM c JOIN s USING (lang, source) JOIN v USING (lang)),
+      pairs AS (SELECT g.lang, g.source, h.source AS item, coalesce(f.value, 0) AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+        LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3) f
+          ON f.lang = g.lang AND f.source = g.source AND f.item = h.source),
+      terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+      r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pairs
+        UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value,
+          row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM terms) WHERE rank <= 10)
+      SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r""",
+)
+def audited_sources(spark, sf_dir):
+    return divergence.audit(documents(spark, sf_dir))
