@@ -20,6 +20,7 @@ from sparkproof.llm import (
     sharding,
     token_counts,
     warc,
+    whitening,
 )
 from sparkproof.llm.common import documents
 
@@ -186,3 +187,8 @@ def encoded_and_decoded(spark, sf_dir):
 )
 def audited_sources(spark, sf_dir):
     return divergence.audit(documents(spark, sf_dir))
+
+
+@query("op12_whitening")
+def whitened_embeddings(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
