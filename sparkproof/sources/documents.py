@@ -2,44 +2,94 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkproof.functions.names import content_hash
-from sparkproof.operators.skew import latest
+from sparkproof.operators.skew import latest, rank_in_group
+from sparkproof.sources import tables
+
 
+def read_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """SRC-1: documents of a collection, and those that can't be read.
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """SRC-1: all JSON documents of a collection; unreadable ones are skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    A file is one JSON document, or one on each line. Unreadable ones are rows of the second table (path,
+    text) instead of being lost; `quarantine` writes and counts them."""
+    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    corrupt = "_unreadable"
+    kept = T.StructType([*fields.fields, T.StructField(corrupt, T.StringType())])
+    rows = spark.read.schema(kept).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).json(path)
+    rows = rows.withColumn("_path", F.col("_metadata.file_path"))
+    # Spark refuses a plan that reads the text of unreadable rows alone, as it would parse nothing then: all
+    # fields take part in the choice.
+    read = F.xxhash64(*fields.fieldNames()) >= F.lit(-(2**63))
+    good = rows.where(F.col(corrupt).isNull()).select(*fields.fieldNames())
+    bad = rows.where(read & F.col(corrupt).isNotNull()).select(F.col("_path").alias("path"), F.col(corrupt).alias("text"))
+    return good, bad
 
 
-def append_documents(df: DataFrame, path: str) -> None:
-    """SNK-1, write side: new document versions are appended."""
-    df.write.mode("append").parquet(path)
+def quarantine(bad: DataFrame, path: str, run: str) -> DataFrame:
+    """Write unreadable documents of a run, once however often it is retried, and count them by file."""
+    spark = bad.sparkSession
+    tables.write_buckets(bad, path, ["path"], run)
+    held = tables.read_buckets(spark, path, bad.schema).where(F.col("writer") == run)
+    return held.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
 def current_documents(log: DataFrame, key: str = "id", order: str = "updated_at") -> DataFrame:
-    """SNK-1, read side: last write wins."""
+    """SNK-1, read side of a log that is no `tables.Collection`: last write wins."""
     return latest(log, [key], [F.col(order)])
 
 
 def read_mails(spark: SparkSession, raw_glob: str | None, html_glob: str | None, pasted: DataFrame | None) -> DataFrame:
-    """SRC-3: raw messages, HTML files and pasted HTML (path, content) with their source."""
-    parts = []
+    """SRC-3: raw messages, HTML files and pasted HTML (campaign_id, path, content, received_at) as mail rows.
+
+    Files lie in a folder named by their campaign. Output: campaign_id, path, received_at, name, source, html, raw.
+    A file's name is its last path segment; a raw message's name is its subject, if it has one."""
+    none = F.lit(None).cast("string")
+
+    def files(glob: str) -> DataFrame:
+        read = spark.read.text(glob, wholetext=True).select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("received_at"), "value"
+        )
+        parts = F.split("path", "/")
+        return read.select(
+            F.element_at(parts, -2).alias("campaign_id"), "path", "received_at", F.try_url_decode(F.element_at(parts, -1)).alias("file"), "value"
+        )
+
+    found = []
     if raw_glob:
-        raw = spark.read.text(raw_glob, wholetext=True)
-        parts.append(raw.select(F.input_file_name().alias("path"), F.lit("upload").alias("source"), F.lit(None).cast("string").alias("html"), F.col("value").alias("raw")))
+        # The subject ends where a line begins that does not continue it.
+        head = F.regexp_extract("value", r"(?s)^(.*?)(?:\r?\n\r?\n|$)", 1)
+        subject = F.regexp_extract(head, r"(?im)^subject:[ \t]*(.*(?:\r?\n[ \t].*)*)", 1)
+        subject = F.trim(F.regexp_replace(subject, r"\r?\n[ \t]+", " "))
+        found.append(files(raw_glob).select(
+            "campaign_id", "path", "received_at", F.when(subject != "", subject).alias("name"), F.lit("upload").alias("source"), none.alias("html"), F.col("value").alias("raw")
+        ))
     if html_glob:
-        html = spark.read.text(html_glob, wholetext=True)
-        parts.append(html.select(F.input_file_name().alias("path"), F.lit("upload").alias("source"), F.col("value").alias("html"), F.lit(None).cast("string").alias("raw")))
+        found.append(files(html_glob).select(
+            "campaign_id", "path", "received_at", F.col("file").alias("name"), F.lit("upload").alias("source"), F.col("value").alias("html"), none.alias("raw")
+        ))
     if pasted is not None:
-        parts.append(pasted.select("path", F.lit("colle").alias("source"), F.col("content").alias("html"), F.lit(None).cast("string").alias("raw")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        # A paste without content is refused, as there is nothing to check.
+        found.append(pasted.where(F.length("content") > 0).select(
+            F.col("campaign_id").cast("string").alias("campaign_id"), "path", "received_at", none.alias("name"), F.lit("colle").alias("source"),
+            F.col("content").alias("html"), none.alias("raw"),
+        ))
+    return reduce(DataFrame.unionByName, found)
+
+
+def label_versions(mails: DataFrame, held: DataFrame) -> DataFrame:
+    """SRC-3: `label` v{n+1} of new mails (campaign_id, received_at, path) in order of arrival, then path,
+    behind the versions that a campaign has already: `held` (campaign_id, n)."""
+    ranked = rank_in_group(mails, ["campaign_id"], "received_at", ["path"], "_rank")
+    base = F.coalesce("n", F.lit(0))
+    return ranked.join(held.select("campaign_id", "n"), "campaign_id", "left").withColumn(
+        "label", F.concat(F.lit("v"), (base + F.col("_rank")).cast("string"))
+    ).drop("n", "_rank")
 
 
 TSV_ROWS = (
@@ -76,11 +126,14 @@ def tsv_cells(pasted: DataFrame) -> DataFrame:
     )
 
 
-def write_reports(reports: DataFrame, path: str, config_version: int) -> None:
-    """SNK-5: reports with content hash and configuration version, partitioned by campaign."""
-    reports.withColumn("config_version", F.lit(config_version)).write.mode("append").partitionBy(
-        "campaign_bucket"
-    ).parquet(path)
+def write_reports(reports: DataFrame, path: str, run: str) -> None:
+    """SNK-5: reports with their content hash, once for each (version_id, content_hash).
+
+    A run that is retried replaces what its first attempt left, and a report that an earlier run wrote
+    for the same inputs is not written again. Within a run the first report id counts."""
+    keys = ["version_id", "content_hash"]
+    once = latest(reports, keys, [-F.xxhash64("report_id"), F.col("report_id")])
+    tables.write_once(once, path, keys, run)
 
 
 def with_content_hash(reports: DataFrame, config_version: int) -> DataFrame:

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from sparkproof.operators import matching
 from sparkproof.operators.skew import latest, skew_join
+from sparkproof.sources import tables
+
+#: Event types that end a job.
+ENDS = ("done", "error")
+#: Arbitrary state needs this store.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def new_messages(batch: DataFrame, known: DataFrame) -> DataFrame:
@@ -18,22 +26,17 @@ def new_messages(batch: DataFrame, known: DataFrame) -> DataFrame:
     return first.join(known.select("message_id").distinct(), "message_id", "left_anti")
 
 
-def ingest_inbox(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """STR-1: ids already stored are found by an anti-join with the table, so the state does not grow.
+def ingest_inbox(stream: DataFrame, table_path: str, checkpoint: str, name: str = "inbox", buckets: int = tables.BUCKETS) -> StreamingQuery:
+    """STR-1: messages (message_id, seq, ...) that the table lacks, each once; the state does not grow.
 
-    A batch that is replayed after a failure finds its own rows and appends nothing."""
+    The table is dealt into buckets by message id, and a batch reads the ids of its own buckets only. A
+    batch that is replayed replaces its own rows. Streams of different names may share a table: an id
+    that two of them add at the same time is stored twice and read once (`tables.read_once`)."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        part = os.path.join(table_path, f"batch={batch_id}")
-        known = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(
-            table_path
-        ).where(~F.contains(F.input_file_name(), F.lit(f"batch={batch_id}/")))
-        new_messages(batch, known).write.mode("overwrite").parquet(part)
-
-    # The folder is made where the table lies, be that a local disk or a cluster's store.
-    path = stream.sparkSession._jvm.org.apache.hadoop.fs.Path(table_path)
-    path.getFileSystem(stream.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)
+        first = latest(batch, ["message_id"], [-F.col("seq")])
+        tables.write_once(first, table_path, ["message_id"], f"{name}-{batch_id}", buckets)
+
     return (
         stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
@@ -73,6 +76,74 @@ def replay(events: DataFrame, cursors: DataFrame) -> DataFrame:
     return rows.where(F.col("seq").between(F.col("cursor"), F.coalesce("last", "seq"))).drop("cursor", "last")
 
 
+class JobTail(StatefulProcessor):
+    """State of one job: the index of the event that comes next (-1 once it has ended), and events that
+    came ahead of their turn."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next = handle.getValueState("next", "next long")
+        self.early = handle.getMapState("early", "seq long", "type string, payload string, cursor long")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802 (Spark's name)
+        at = self.next.get()[0] if self.next.exists() else 0
+        for some in rows:
+            if at < 0:
+                continue
+            some = some.drop_duplicates("seq").sort_values("seq")
+            out = []
+            for seq, kind, payload, cursor in zip(some["seq"], some["type"], some["payload"], some["cursor"], strict=True):
+                if at < 0 or seq < at:
+                    continue
+                if seq > at:
+                    self.early.updateValue((int(seq),), (kind, payload, int(cursor)))
+                    continue
+                while True:
+                    if at >= cursor:
+                        out.append((key[0], at, kind, payload))
+                    at = -1 if kind in ENDS else at + 1
+                    if at < 0 or not self.early.containsKey((at,)):
+                        break
+                    kind, payload, cursor = self.early.getValue((at,))
+                    self.early.removeKey((at,))
+            if out:
+                yield pd.DataFrame(out, columns=["job_id", "seq", "type", "payload"])
+        self.next.update((at,))
+        if at < 0:
+            self.early.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def tail(events: DataFrame, cursors: DataFrame) -> DataFrame:
+    """STR-3: a stream of the job log (job_id, seq, type, payload) from each job's cursor to its end.
+
+    `seq` is an event's index in its job's log, from 0 without gaps. Events may come in any order and more
+    than once: each is given once, in order, as soon as all before it are there, and none after the
+    job's done or error event. Jobs without a row in `cursors` (job_id, cursor) begin at 0. The stream's
+    checkpoint holds where each job stands, so that a restart goes on there."""
+    rows = events.join(cursors.select("job_id", "cursor"), "job_id", "left").select(
+        "job_id", "seq", "type", "payload", F.coalesce("cursor", F.lit(0)).cast("long").alias("cursor")
+    )
+    kind = events.schema["job_id"].dataType.simpleString()
+    return rows.groupBy("job_id").transformWithStateInPandas(
+        JobTail(), f"job_id {kind}, seq long, type string, payload string", "Append", "None"
+    )
+
+
+def tail_jobs(events: DataFrame, cursors: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
+    """STR-3: what `tail` gives, written batch by batch; a replayed batch replaces its own rows."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(table_path, f"batch={batch_id}"))
+
+    return (
+        tail(events, cursors).writeStream.outputMode("append").foreachBatch(store)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def job_status(events: DataFrame) -> DataFrame:
     """STR-4: running counts and status per job; as a stream in update mode."""
     t = F.col("type")
