@@ -219,10 +219,10 @@ def fit_list(rows: DataFrame) -> Fit:
     return Fit(sums[0]["n"], dims, [found[i] for i in range(dims)], blocks.select("block", "width"))
 
 
-def summed(fit: Fit, of_block: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum over all blocks of the matrix that `of_block` makes of a block's centred rows.
+def summed(fit: Fit, columns: int, of_block: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all blocks of the matrix, of so many columns, that `of_block` makes of a block's centred rows.
 
-    Tasks add up their blocks; their sums meet entry by entry, so that the driver gets one matrix only."""
+    Tasks add up their blocks; their sums meet row by row, so that the driver gets one matrix only."""
     mean = fit.mean
     schema = pa.schema([("row", pa.int32()), ("sums", pa.list_(pa.float64()))])
 
@@ -238,12 +238,8 @@ def summed(fit: Fit, of_block: Callable[[np.ndarray], np.ndarray]) -> np.ndarray
             yield pa.RecordBatch.from_arrays([rows, pa.array(total.tolist(), pa.list_(pa.float64()))], schema=schema)
 
     parts = fit.blocks.mapInArrow(run, "row int, sums array<double>")
-    entries = parts.select("row", F.posexplode("sums").alias("column", "s"))
-    table = entries.groupBy("row", "column").agg(F.sum("s").alias("s")).toArrow()
-    row, column = (table[c].to_numpy() for c in ("row", "column"))
-    out = np.zeros((row.max() + 1, column.max() + 1))
-    out[row, column] = table["s"].to_numpy()
-    return out
+    table = parts.groupBy("row").agg(*[F.sum(F.col("sums")[j]).alias(f"c{j}") for j in range(columns)]).orderBy("row").toArrow()
+    return np.column_stack([table[f"c{j}"].to_numpy() for j in range(columns)])
 
 
 def covariance_product(fit: Fit) -> Product:
@@ -251,7 +247,7 @@ def covariance_product(fit: Fit) -> Product:
 
     def product(vectors: np.ndarray) -> np.ndarray:
         v = np.ascontiguousarray(vectors)
-        return summed(fit, lambda c: c.T @ (c @ v)) / fit.n
+        return summed(fit, v.shape[1], lambda c: c.T @ (c @ v)) / fit.n
 
     return product
 
@@ -274,18 +270,18 @@ class Whitening:
 def learn(fit: Fit, components: int) -> Whitening:
     values, vectors = leading_pairs(covariance_product(fit), fit.dims, components)
     vectors = vectors * np.where(np.take_along_axis(vectors, np.abs(vectors).argmax(axis=0)[None], 0)[0] < 0, -1.0, 1.0)
-    trace = float(summed(fit, lambda c: np.array([[np.sum(c * c)]]))[0, 0] / fit.n)
+    trace = float(summed(fit, 1, lambda c: np.array([[np.sum(c * c)]]))[0, 0] / fit.n)
     found = Whitening(vectors, values, trace, None)
     if not found.known.any():
         return found
     to_white = vectors[:, found.known] / np.sqrt(values[found.known])
-    mean = summed(fit, lambda c: (c @ to_white).sum(axis=0)[None])[0] / fit.n
+    mean = summed(fit, to_white.shape[1], lambda c: (c @ to_white).sum(axis=0)[None])[0] / fit.n
 
     def spread(c: np.ndarray) -> np.ndarray:
         z = c @ to_white - mean
         return z.T @ z
 
-    error = np.abs(summed(fit, spread) / fit.n - np.eye(len(mean))).max()
+    error = np.abs(summed(fit, len(mean), spread) / fit.n - np.eye(len(mean))).max()
     return Whitening(vectors, values, trace, float(error))
 
 
