@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkproof.operators import grid
+from sparkproof.operators import grid, parse_plan
 from sparkproof.plans.registry import query
 from sparkproof.sources.bindings import RELATIONS, load
 
@@ -188,3 +188,82 @@ def likely_template(spark, sf):
     found, links = field_value(spark, sf)
     values = found.select("workbook", "sheet", F.explode("vals").alias("lang", "value"))
     return grid.likely_template(values, links).select("workbook", "n", "hits", "likely_template")
+
+
+# ---- parse plans: flat relations, of which a plan's row is gathered; each remainder of 11 has its own fault --------
+
+RELATIONS["plan_heads"] = """SELECT workbook AS plan_id, workbook, CASE WHEN workbook % 11 = 1 THEN 'Nowhere' ELSE 'Brief' END AS content_sheet, CASE WHEN workbook % 11 = 2 THEN 4 ELSE 3 END AS header_row
+  FROM (SELECT DISTINCT workbook FROM {grid_parts} g) w"""
+RELATIONS["plan_langs"] = """SELECT plan_id, n AS ord, CASE n WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END AS col,
+    CASE n WHEN 1 THEN 'EN' WHEN 2 THEN CASE plan_id % 11 WHEN 3 THEN 'XX' WHEN 4 THEN 'English' ELSE 'French (FR)' END ELSE 'IT' END AS lang
+  FROM {plan_heads} h CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) k WHERE n < 3 OR plan_id % 2 = 0"""
+RELATIONS["plan_maps"] = """SELECT plan_id, n AS ord, CASE WHEN n = 1 AND plan_id % 11 = 5 THEN 5 ELSE CASE n WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 7 WHEN 4 THEN 8 ELSE 9 END END AS row,
+    CASE n WHEN 1 THEN 'subject  LINE' WHEN 2 THEN 'CTA 1' WHEN 3 THEN 'WW Linkthrough' WHEN 4 THEN 'cn linkthrough (cn)' ELSE 'Memo' END AS raw_label,
+    CASE WHEN plan_id % 11 <> 7 AND n < 3 THEN CASE n WHEN 1 THEN 'Subject line' ELSE 'CTA 1' END END AS canonical_block, n IN (3, 4) AS is_url_row, CASE n WHEN 4 THEN 'cn' END AS url_market,
+    CASE WHEN n = 5 AND plan_id % 11 <> 6 THEN 'no copy' WHEN n < 3 AND plan_id % 11 = 7 THEN 'left out' END AS skip_reason
+  FROM {plan_heads} h CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) k"""
+RELATIONS["plan_checks"] = """SELECT plan_id, 1 AS ord, 'C4' AS cell, CASE plan_id % 11 WHEN 8 THEN 'invented text' ELSE '  fr ' END AS snippet FROM {plan_heads} h
+  UNION ALL SELECT plan_id, 2, CASE plan_id % 11 WHEN 9 THEN 'B4x' ELSE 'D6' END, 'LATER en' FROM {plan_heads} h
+  UNION ALL SELECT plan_id, 3, 'B4', substring(p_name, 2, 5) FROM {plan_heads} h, {grid_parts} p WHERE p.workbook = plan_id AND k = 0 AND plan_id % 3 = 0"""
+
+
+def plan_table(spark, sf):
+    def gathered(name: str, fields: list[str]):
+        return load(spark, sf, name).groupBy("plan_id").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("x")))), lambda r: r["x"]).alias(name)
+        )
+
+    return (
+        load(spark, sf, "plan_heads").withColumn("label_col", F.lit("A"))
+        .join(gathered("plan_langs", ["col", "lang"]), "plan_id")
+        .join(gathered("plan_maps", ["row", "raw_label", "canonical_block", "is_url_row", "url_market", "skip_reason"]), "plan_id")
+        .join(gathered("plan_checks", ["cell", "snippet"]), "plan_id")
+        .withColumnsRenamed({"plan_langs": "lang_columns", "plan_maps": "field_mappings", "plan_checks": "sample_checks"})
+    )
+
+
+FOLD = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+PLAN_ERRORS = f"""WITH cells AS (SELECT workbook, sheet, row, col, trim(coalesce(text, '')) AS text, link FROM {{grid_cells}} x),
+  h AS (SELECT * FROM {{plan_heads}} x), good AS (SELECT * FROM h WHERE (workbook, content_sheet) IN (SELECT workbook, sheet FROM cells)),
+  m AS (SELECT m.*, workbook, content_sheet, header_row FROM {{plan_maps}} m JOIN good USING (plan_id)),
+  l AS (SELECT l.*, CASE lang WHEN 'EN' THEN 'EN' WHEN 'English' THEN 'EN' WHEN 'French (FR)' THEN 'FR' WHEN 'IT' THEN 'IT' END AS canon FROM {{plan_langs}} l JOIN good USING (plan_id)),
+  s AS (SELECT s.plan_id, s.cell, contains({FOLD.format("coalesce(c.text, '')")}, {FOLD.format("snippet")}) AS found FROM {{plan_checks}} s JOIN good USING (plan_id) LEFT JOIN cells c ON c.workbook = good.workbook
+    AND c.sheet = content_sheet AND c.row = CAST(substring(cell, 2) AS INTEGER) - 1 AND c.col = ascii(cell) - 65 WHERE regexp_matches(cell, '^[A-Z]{{1,2}}\\d{{1,4}}$')),
+  e AS (SELECT plan_id, 'unknown sheet' AS error, content_sheet AS detail FROM h WHERE plan_id NOT IN (SELECT plan_id FROM good)
+    UNION ALL SELECT m.plan_id, 'label mismatch', concat('A', m.row) FROM m LEFT JOIN cells c ON c.workbook = m.workbook AND c.sheet = m.content_sheet AND c.row = m.row - 1 AND c.col = 0
+      WHERE {FOLD.format("coalesce(c.text, '')")} <> {FOLD.format("raw_label")}
+    UNION ALL SELECT plan_id, 'skip reason missing', concat(row) FROM m WHERE canonical_block IS NULL AND NOT is_url_row AND skip_reason IS NULL
+    UNION ALL SELECT plan_id, 'unknown language', lang FROM l WHERE canon IS NULL
+    UNION ALL SELECT plan_id, 'duplicate language', canon FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, canon ORDER BY ord) AS nth FROM l WHERE canon IS NOT NULL) d WHERE nth > 1
+    UNION ALL SELECT plan_id, 'snippet not found', cell FROM s WHERE NOT found
+    UNION ALL SELECT good.plan_id, 'too few snippets', concat(count(*) FILTER (WHERE found)) FROM good LEFT JOIN s USING (plan_id) GROUP BY 1 HAVING count(*) FILTER (WHERE found) < 2
+    UNION ALL SELECT plan_id, 'header not above the rows', concat(any_value(header_row)) FROM m GROUP BY 1 HAVING any_value(header_row) >= min(row)
+    UNION ALL SELECT plan_id, 'no block', NULL FROM m GROUP BY 1 HAVING count(canonical_block) = 0)"""
+
+
+@query("grid12_plan_errors", PLAN_ERRORS + " SELECT * FROM e")
+def plan_errors(spark, sf):
+    """GRID-12: good plans and plans with each fault, against their workbooks."""
+    return parse_plan.plan_errors(plan_table(spark, sf), load(spark, sf, "grid_cells"))
+
+
+@query(
+    "grid12_applied_plans",
+    PLAN_ERRORS + """, ok AS (SELECT * FROM good WHERE plan_id NOT IN (SELECT plan_id FROM e)),
+      v AS (SELECT m.plan_id, m.row, m.raw_label, m.canonical_block, m.is_url_row, m.url_market, l.ord, l.canon, l.lang, c.text, c.link FROM m JOIN ok USING (plan_id) JOIN l USING (plan_id)
+        JOIN cells c ON c.workbook = m.workbook AND c.sheet = m.content_sheet AND c.row = m.row - 1 AND c.col = ascii(l.col) - 65),
+      b AS (SELECT * FROM v WHERE canonical_block IS NOT NULL AND text <> '')
+      SELECT plan_id, 'block' AS part, row, raw_label AS name, canon AS key, text AS value FROM b
+      UNION ALL SELECT plan_id, 'link', row, any_value(raw_label), upper(coalesce(any_value(url_market), 'WW')), min_by(coalesce(CASE WHEN text LIKE 'http%' THEN text END, link), ord) FROM v
+        WHERE is_url_row AND (text LIKE 'http%' OR link IS NOT NULL) AND plan_id IN (SELECT plan_id FROM b) GROUP BY plan_id, row
+      UNION ALL SELECT plan_id, 'language', CAST(ord - 1 AS INTEGER), NULL, canon, any_value(CASE WHEN lang <> canon THEN lang END) FROM b GROUP BY plan_id, ord, canon""",
+)
+def applied_plans(spark, sf):
+    """GRID-12: what the good plans read, in one long table."""
+    blocks, links, languages = parse_plan.apply_plans(plan_table(spark, sf), load(spark, sf, "grid_cells"))
+    columns = ["plan_id", "part", "row", "name", "key", "value"]
+    return (
+        blocks.select("plan_id", F.lit("block").alias("part"), "row", F.col("block").alias("name"), F.explode("vals").alias("key", "value"))
+        .unionByName(links.select("plan_id", F.lit("link"), "row", "block", "market", "url").toDF(*columns))
+        .unionByName(languages.select("plan_id", F.lit("language"), "ord", F.lit(None).cast("string"), "lang", "label").toDF(*columns))
+    )
