@@ -5,8 +5,9 @@ That depends on the k-mer alone, so texts that share a passage share its anchors
 fingerprint keeps all distinct anchors of the whole text, each with its first position, so two texts are
 compared by anchors that lie at one common shift.
 
-Each document meets the next one by id: rows are sorted in ranges of ids, each task reads its range
-once, and only the last row of a range waits for the first of the next.
+Each document meets the next one by id. Ids are dealt into ranges of known bounds, and a copy of each
+range's first row goes, as a guest, to the end of the range before it. So one shuffle of the texts brings
+all neighbours together, and nothing is written down but the result.
 """
 
 from __future__ import annotations
@@ -18,16 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkproof.llm.common import keep, partition_id, texts_of
+from sparkproof.llm.common import texts_of
 
 K = 20
 S = 9
-#: An anchor takes five bytes: 12 bits of position, in units of so many code points, and 28 of hash.
+#: An anchor takes eight bytes: 40 bits of hash and 24 of position (texts beyond 2^24 code points wrap).
+POSITION = 24
+#: Shifts are told apart in units of so many code points.
 UNIT = 32
-BYTES = 5
+#: Ranges of ids: so many by quantiles, each cut evenly into at most so many, of about so many rows.
+QUANTILES, MOST_CUTS, RANGE_ROWS = 64, 300, 2000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -60,7 +64,7 @@ def syncmers(points: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np
 
 
 def fingerprint(text: str) -> str:
-    """Anchors as base64, five bytes each: 28 bits of hash, 12 of position, in order of their hashes.
+    """Anchors as base64, eight bytes each: 40 bits of hash, 24 of first position, in order of their hashes.
 
     A text shorter than a k-mer is one anchor, the empty text none."""
     if not text:
@@ -69,17 +73,15 @@ def fingerprint(text: str) -> str:
         at, h = np.zeros(1, np.int64), np.array([xxhash.xxh64_intdigest(text)], np.uint64)
     else:
         at, h = syncmers(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64))
-    h, first = np.unique(h >> np.uint64(36), return_index=True)
-    packed = (h << np.uint64(12)) | (at[first] // UNIT % 4096).astype(np.uint64)
-    return base64.b64encode(packed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()).decode()
+    h, first = np.unique(h >> np.uint64(POSITION), return_index=True)
+    packed = (h << np.uint64(POSITION)) | (at[first] % 2**POSITION).astype(np.uint64)
+    return base64.b64encode(packed.astype("<u8").tobytes()).decode()
 
 
-def anchors(fingerprint: str) -> np.ndarray:
-    """What `fingerprint` packed: hash << 12 | position of each anchor."""
-    held = np.frombuffer(base64.b64decode(fingerprint), np.uint8).reshape(-1, BYTES)
-    out = np.zeros((len(held), 8), np.uint8)
-    out[:, :BYTES] = held
-    return out.view("<u8").reshape(-1).astype(np.int64)
+def anchors(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending, distinct) and positions that `fingerprint` packed."""
+    held = np.frombuffer(base64.b64decode(fingerprint), "<u8")
+    return held >> np.uint64(POSITION), (held % np.uint64(2**POSITION)).astype(np.int64)
 
 
 def likeness(a: str, b: str) -> float:
@@ -87,15 +89,16 @@ def likeness(a: str, b: str) -> float:
     hold at one shift (give or take a unit), 0 to 1."""
     if a == b:
         return 1.0
-    x, y = anchors(a), anchors(b)
+    (x, x_at), (y, y_at) = anchors(a), anchors(b)
     if not len(x) or not len(y):
         return 0.0
-    _, i, j = np.intersect1d(x >> 12, y >> 12, assume_unique=True, return_indices=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     if not len(i):
         return 0.0
-    shift = ((x[i] & 4095) - (y[j] & 4095)) % 4096
-    votes = np.bincount(shift, minlength=4096)
-    return float((votes + np.roll(votes, 1) + np.roll(votes, -1)).max()) / min(len(x), len(y))
+    shifts, votes = np.unique((x_at[i] - y_at[j]) // UNIT, return_counts=True)
+    total = np.concatenate([[0], np.cumsum(votes)])
+    near = total[np.searchsorted(shifts, shifts + 1, "right")] - total[np.searchsorted(shifts, shifts - 1)]
+    return float(near.max()) / min(len(x), len(y))
 
 
 def edited_text(text: str, following: str) -> str:
@@ -108,8 +111,6 @@ COLUMNS = pa.schema([
     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
 ])
 DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-RANGE = COLUMNS.append(pa.field("part", pa.int32())).append(pa.field("kind", pa.string())).append(pa.field("text", pa.string()))
-RANGE_DDL = f"{DDL}, part int, kind string, text string"
 
 
 def compared(doc_id: int | None, text: str, own: str, following: str, following_print: str) -> tuple:
@@ -119,36 +120,53 @@ def compared(doc_id: int | None, text: str, own: str, following: str, following_
     return doc_id, len(text), digest, own, edited_print, likeness(own, edited_print), likeness(own, following_print)
 
 
-def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def compare_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a sorted range against their next; its first and last text for the neighbouring ranges."""
-    part, last = partition_id(), None
-    nothing = (None,) * 6
+def compare_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted ranges against their next; a guest is the next of its range's last row."""
+    part = waiting = None
     for batch in batches:
         out = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-            text = text or ""
+        columns = (batch.column(c).to_pylist() for c in ("part", "guest", "doc_id"))
+        for now, guest, doc_id, text in zip(*columns, texts_of(batch), strict=True):
+            if now != part:
+                part, waiting = now, None
+            elif guest and waiting is None:
+                continue  # all guests have the same text as far as they are wanted: only the first counts
             own = fingerprint(text)
-            if last is None:
-                out.append((doc_id, *nothing, part, "first", text))
-            else:
-                out.append((*compared(*last, text, own), None, None, None))
-            last = (doc_id, text, own)
-        yield batch_of(out, RANGE)
-    if last is not None:
-        yield batch_of([(last[0], *nothing, part, "last", last[1])], RANGE)
-
-
-def compare_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, text, following in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "following")), strict=True):
-            rows.append(compared(doc_id, text, fingerprint(text), following, fingerprint(following)))
-        yield batch_of(rows, COLUMNS)
+            if waiting is not None:
+                out.append(compared(*waiting, text, own))
+            waiting = None if guest else (doc_id, text, own)
+        found = zip(*out, strict=True) if out else [[] for _ in COLUMNS]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, COLUMNS, strict=True)], schema=COLUMNS)
+
+
+def with_range(rows: DataFrame) -> DataFrame:
+    """Rows with `part`, which rises with (doc_id, mark), and `key`, whose smallest value a part's first row
+    has. Quantiles of the ids are cut evenly; an id that fills a quantile is cut by its marks.
+
+    There are at most about 2 QUANTILES * MOST_CUTS parts, whatever the table."""
+    facts = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+        F.percentile_approx("doc_id", [i / QUANTILES for i in range(1, QUANTILES)], 10 * QUANTILES).alias("q"),
+    ).first()
+    cuts = min(max(facts["n"] // (QUANTILES * RANGE_ROWS), 1), MOST_CUTS)
+    q = facts["q"] or []
+    full = {a for a, b in zip(q, q[1:]) if a == b}
+    bounds = sorted({*q, facts["low"], *full, *(x + 1 for x in full)} - {None})
+    at, widths = F.array(*[F.lit(b).cast("long") for b in bounds]), [b - a for a, b in zip(bounds, bounds[1:])]
+    if bounds:
+        widths.append(facts["high"] - bounds[-1] + 1)
+    wide = F.array(*[F.lit(float(w)) for w in widths])
+    segment = F.size(F.filter(at, lambda b: b <= F.col("doc_id")))
+    rows = rows.withColumn("segment", F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(segment))
+    one_id = F.col("doc_id").isNull() | (F.try_element_at(wide, F.col("segment")) == 1)
+    # A difference of longs may overflow, of doubles not; both keep the order.
+    share = F.when(one_id, F.col("mark") / F.lit(2.0**64) + 0.5).otherwise(
+        (F.col("doc_id").cast("double") - F.try_element_at(at, F.col("segment")).cast("double")) / F.try_element_at(wide, F.col("segment"))
+    )
+    cut = F.greatest(F.lit(0), F.least(F.floor(share * cuts), F.lit(cuts - 1)))
+    return rows.withColumns({
+        "part": (F.col("segment") * cuts + cut).cast("int"), "key": F.when(one_id, F.col("mark")).otherwise(F.col("doc_id")),
+    }).drop("segment")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -159,19 +177,17 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     After the last comes the first, so a single document is its own next. Repeated rows give repeated
     rows, an empty table none. Empty fingerprints are alike only to each other. Output: doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
-    order = [F.asc_nulls_last("doc_id"), F.asc("mark")]
-    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
-    found = keep(ranges.mapInArrow(compare_range, RANGE_DDL), "fingerprints")
-    ends = found.where("kind IS NOT NULL")
-    first = ends.where("kind = 'first'")
-    # One row for each range: ranges are numbered in the order of their ids.
-    by_part = Window.orderBy("part")
-    following = first.select("part").select(
-        "part", F.lead("part").over(by_part).alias("next"), F.min("part").over(by_part).alias("lowest")
-    ).select("part", F.coalesce("next", "lowest").alias("next"))
-    last = ends.where("kind = 'last'").select("part", "doc_id", "text").join(following, "part")
-    heads = first.select(F.col("part").alias("next"), F.col("text").alias("following"))
-    closed = last.join(heads, "next").select("doc_id", "text", "following").mapInArrow(compare_ends, DDL)
-    return found.where("kind IS NULL").select(*COLUMNS.names).unionByName(closed)
+    rows = with_range(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark")))
+    heads = sorted((r["part"], r["key"]) for r in rows.groupBy("part").agg(F.min("key").alias("key")).collect())
+    # The number of parts is bounded, so this table is; each first row goes to the part before its own.
+    before = [(part, key, heads[i - 1][0]) for i, (part, key) in enumerate(heads)]
+    guests = rows.join(F.broadcast(spark.createDataFrame(before, "part int, key long, host int")), ["part", "key"])
+    columns = ["doc_id", "mark", "text"]
+    both = rows.select("part", F.lit(False).alias("guest"), *columns).unionByName(
+        guests.select(F.col("host").alias("part"), F.lit(True).alias("guest"), *columns)
+    )
+    order = ["part", "guest", F.asc_nulls_last("doc_id"), "mark", "text"]
+    ranges = both.repartitionByRange("part").sortWithinPartitions(*order)
+    return ranges.select("part", "guest", "doc_id", "text").mapInArrow(compare_ranges, DDL)

@@ -90,3 +90,31 @@ def test_likeness():
     text = " ".join(f"word{i} text" for i in range(400))
     assert fp.likeness(fp.fingerprint(text), fp.fingerprint("some new words in front " * 3 + text)) > 0.8
     assert fp.likeness("", "") == 1.0 and fp.likeness("", fp.fingerprint(text)) == 0.0
+
+
+def test_ranges_of_any_ids(spark, monkeypatch):
+    """Few and many ranges, far-away ids, an id with a third of all rows, null ids."""
+    monkeypatch.setattr(fp, "RANGE_ROWS", 1)
+    monkeypatch.setattr(fp, "QUANTILES", 5)
+    rng = random.Random(4)
+    some = lambda: " ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(rng.randrange(0, 30)))
+    ids = [7] * 120 + [None] * 40 + [-(2**63), 2**63 - 1, 0] + [rng.randrange(-1000, 10**12) for _ in range(90)] + list(range(100))
+    rows = [(i, some()) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = df.select("doc_id", "text", fp.F.xxhash64("text").alias("mark"))
+    order = sorted(marked.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.mark, r.text))
+    parts = fp.with_range(marked).collect()
+    by_row = {(r.doc_id, r.text): (r.part, r.key) for r in parts}
+    places = [by_row[r.doc_id, r.text][0] for r in order]
+    assert places == sorted(places) and len(set(places)) > 20
+    want = expected([(r.doc_id, r.text) for r in order])
+    assert sorted(map(tuple, fp.fingerprint_documents(df).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_wide_texts_keep_their_places():
+    """A text beyond 2^17 code points, against itself with a part taken out."""
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    shorter = text[:100_000] + text[120_000:]
+    found = fp.likeness(fp.fingerprint(text), fp.fingerprint(shorter))
+    assert abs(found - 180 / 280) < 0.01
