@@ -14,6 +14,7 @@ from sparkproof.functions.text import (
 )
 from sparkproof.functions.urls import normalize_url
 from sparkproof.operators.findings import finding, nonempty, text
+from sparkproof.operators.settings import setting
 from sparkproof.operators.skew import skew_join
 
 LANG_LIKE = r"^[A-Za-z]{2,3}([-_ ]+[A-Za-z]{2,3})?$"
@@ -26,13 +27,22 @@ def attach_grid(mails: DataFrame, grids: DataFrame) -> DataFrame:
     return skew_join(mails, grids, ["campaign_id"], "left")
 
 
+def first_values(cells: Column) -> Column:
+    """A map of each language's value; of several the smallest counts, so that repeated rows change nothing."""
+    ordered = F.array_sort(cells)
+    keys = F.array_distinct(F.transform(ordered, lambda c: c["lang_key"]))
+    return F.map_from_arrays(
+        keys, F.transform(keys, lambda k: F.get(F.filter(ordered, lambda c: c["lang_key"] == k), 0)["value"])
+    )
+
+
 def build_grids(blocks: DataFrame, languages: DataFrame) -> DataFrame:
     """Long blocks (campaign_id, block_ord, block, lang_key, value) and (campaign_id, ord, lang_key)
     folded into one grid per campaign. The group is one brief, a sheet of at most some hundred rows."""
     per_block = blocks.groupBy("campaign_id", "block_ord").agg(
         F.first("block").alias("name"),
-        F.map_from_entries(F.collect_list(F.struct("lang_key", "value"))).alias("vals"),
-    )
+        F.collect_set(F.struct("lang_key", "value")).alias("cells"),
+    ).withColumn("vals", first_values(F.col("cells"))).drop("cells")
     folded = per_block.groupBy("campaign_id").agg(
         F.array_sort(
             F.collect_list(F.struct("block_ord", "name", F.map_entries("vals").alias("v")))
@@ -168,14 +178,15 @@ def variant_audience(name: Column) -> Column:
     )
 
 
-def can_reach(la: Column, lb: Column, minimum: float = SIMILARITY_MIN) -> Column:
+def can_reach(la: Column, lb: Column, minimum: float | Column = SIMILARITY_MIN) -> Column:
     """Upper bound of the Dice coefficient by text lengths."""
     a, b = la - 1, lb - 1
-    return (la == lb) | (2.0 * F.least(a, b) >= minimum * (a + b))
+    return (la == lb) | (F.least(a, b) * 2.0 >= (a + b) * minimum)
 
 
 def mail_texts(prepared: DataFrame, languages: DataFrame) -> DataFrame:
-    """One row per mail for the block rule: its grid key, audience and joined text."""
+    """One row per mail for the block rule: its grid key, audience, joined text and, where its configuration
+    has one (`settings`), the similarity from which a text counts as changed instead of missing."""
     keys = languages.groupBy("campaign_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("ord", "lang_key"))), lambda x: x["lang_key"]
@@ -184,6 +195,8 @@ def mail_texts(prepared: DataFrame, languages: DataFrame) -> DataFrame:
     rows = prepared.select(
         "version_id", "campaign_id", "detected_lang", originals().alias("originals"),
         F.col("test_name.market").alias("market"), F.col("test_name.audience").alias("audience"),
+        (setting("brief-block-content.similarityPercent", "number", SIMILARITY_MIN * 100) / 100 if "settings" in prepared.columns
+         else F.lit(SIMILARITY_MIN)).alias("minimum"),
     )
     rows = skew_join(rows, keys, ["campaign_id"], "inner")
     return rows.withColumn(
@@ -279,18 +292,18 @@ def block_outcomes(mails: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
-def best_similar(undecided: DataFrame, mails: DataFrame, minimum: float = SIMILARITY_MIN) -> DataFrame:
-    """JOIN-6: most similar text of the mail for each undecided group, at or above the threshold.
+def best_similar(undecided: DataFrame, mails: DataFrame) -> DataFrame:
+    """JOIN-6: most similar text of the mail for each undecided group, at or above the mail's threshold.
 
     Texts meet only blocks of the same mail, and only where the lengths allow the threshold."""
     blocks = undecided.select("version_id", "base", F.inline("expected"))
     blocks = blocks.withColumn("grams", numbered(bigrams(F.col("norm"))))
     texts = mails.join(undecided.select("version_id").distinct(), "version_id", "left_semi").select(
-        "version_id", F.posexplode("originals").alias("i", "original")
+        "version_id", "minimum", F.posexplode("originals").alias("i", "original")
     ).withColumn("t", norm_text(F.col("original"))).withColumn("t_grams", numbered(bigrams(F.col("t"))))
-    pairs = blocks.join(texts, "version_id").where(can_reach(F.length("norm"), F.length("t"), minimum))
+    pairs = blocks.join(texts, "version_id").where(can_reach(F.length("norm"), F.length("t"), F.col("minimum")))
     sim = dice_of_numbered(F.col("norm"), F.col("grams"), F.col("t"), F.col("t_grams"))
-    scored = pairs.withColumn("sim", sim).where(F.col("sim") >= minimum)
+    scored = pairs.withColumn("sim", sim).where(F.col("sim") >= F.col("minimum"))
     return scored.groupBy("version_id", "base").agg(
         F.max_by(
             F.struct("name", "raw", F.col("original").alias("received"), "sim"),

@@ -18,6 +18,7 @@ from sparkproof.functions.text import WS, let, norm_text
 from sparkproof.operators.findings import (
     NO_FINDINGS, NO_PASSED, REVIEW, each, finding, nonempty, only_if, passed, text,
 )
+from sparkproof.operators.settings import setting
 from sparkproof.operators.skew import skew_join
 
 # Patterns whose hits decide results.
@@ -51,15 +52,28 @@ def rule(rule_id: str):
 
 @dataclass
 class Mail:
-    """Columns of a prepared mail row and the parameters of the run."""
+    """Columns of a prepared mail row and the parameters of the run.
 
-    clip_kb: int = 102
-    warn_kb: int = 90
+    A parameter is one value for all mails, or a column: `of_settings` reads those of each mail's own
+    configuration."""
+
+    clip_kb: int | Column = 102
+    warn_kb: int | Column = 90
     run_year: int = 2025
-    extra_placeholders: list[str] = field(default_factory=list)
-    extra_staging: list[str] = field(default_factory=list)
-    extra_tokens: list[str] = field(default_factory=list)
-    social: list[str] = field(default_factory=lambda: list(SOCIAL))
+    extra_placeholders: list[str] | Column = field(default_factory=list)
+    extra_staging: list[str] | Column = field(default_factory=list)
+    extra_tokens: list[str] | Column = field(default_factory=list)
+    social: list[str] | Column = field(default_factory=lambda: list(SOCIAL))
+
+    @classmethod
+    def of_settings(cls, run_year: int = 2025) -> Mail:
+        """RES-1: parameters from the `settings` that `settings.attach_settings` gave each mail."""
+        kb = lambda key, default: setting(f"html-size.{key}", "number", float(default)).cast("int")
+        return cls(
+            kb("clipKb", cls.clip_kb), kb("warnKb", cls.warn_kb), run_year, setting("placeholders.extraTerms", "words", []),
+            setting("staging-links.extraTerms", "words", []), setting("personalization-tokens.extraKnownTokens", "words", []),
+            setting("brand-allowed-domains.socialExemptions", "words", list(SOCIAL)),
+        )
 
     def __getattr__(self, name: str) -> Column:
         return F.col(name)
@@ -73,9 +87,19 @@ def escape_regex(term: str) -> str:
 WORD_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
-def with_terms(base: str, terms: list[str]) -> str:
-    extra = [escape_regex(t.strip()) for t in terms if t.strip()]
-    return "(?iu)" + "|".join([base.replace(r"\b", WORD_EDGE), *extra])
+def with_terms(base: str, terms: list[str] | Column) -> Column:
+    """Pattern of the base and of words that are met as they stand."""
+    start = "(?iu)" + base.replace(r"\b", WORD_EDGE)
+    if isinstance(terms, Column):
+        plain = F.transform(terms, lambda t: F.regexp_replace(F.trim(t), r"([.*+?^${}()|\[\]\\])", r"\\$1"))
+        return F.array_join(F.concat(F.array(F.lit(start)), F.filter(plain, lambda t: t != "")), "|")
+    return F.lit("|".join([start, *(escape_regex(t.strip()) for t in terms if t.strip())]))
+
+
+def bare_terms(terms: list[str] | Column, body) -> Column:
+    """Trimmed lower-case terms that aren't empty, after `body` (a column function)."""
+    given = terms if isinstance(terms, Column) else F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    return F.filter(F.transform(given, lambda t: body(F.lower(F.trim(t)))), lambda t: t != "")
 
 
 OPTIONAL = {
@@ -313,7 +337,7 @@ def suspicious_links(m: Mail):
 def staging_links(m: Mail):
     pattern = with_terms(STAGING, m.extra_staging)
     return each(
-        m.links, lambda x: x["status"].isNotNull() & x["href"].rlike(pattern),
+        m.links, lambda x: x["status"].isNotNull() & F.rlike(x["href"], pattern),
         lambda x: finding(
             "staging-links", "liens", "CRITIQUE", "Link to a test environment",
             x["href"], _probe_locator(x),
@@ -474,12 +498,12 @@ def around(source: Column, start: Column, before: int = 60, after: int = 80) ->
 @rule("placeholders")
 def placeholders(m: Mail):
     pattern = with_terms(PLACEHOLDER, m.extra_placeholders)
-    hit = F.regexp_extract(m.all_text, pattern, 0)
+    hit = F.call_function("regexp_extract", m.all_text, pattern, F.lit(0))
     return only_if(
         hit != "",
         finding(
             "placeholders", "contenu", "CRITIQUE", text('Placeholder left in the copy: "', hit, '"'),
-            around(m.all_text, F.regexp_instr(m.all_text, F.lit(pattern))), "contenu",
+            around(m.all_text, F.regexp_instr(m.all_text, pattern)), "contenu",
         ),
     ), only_if(hit == "", passed("placeholders", "contenu", "No placeholder found"), NO_PASSED)
 
@@ -502,14 +526,11 @@ def copyright_year(m: Mail):
 
 @rule("personalization-tokens")
 def personalization_tokens(m: Mail):
-    known = [t.strip().lower().removeprefix("%%").removesuffix("%%") for t in m.extra_tokens]
+    known = bare_terms(m.extra_tokens, lambda t: F.regexp_replace(t, "^%%|%%$", ""))
 
     def unknown(t: Column) -> Column:
         bare = F.regexp_replace(F.lower(t), "^%%|%%$", "")
-        cond = ~t.rlike(KNOWN_TOKENS)
-        for k in filter(None, known):
-            cond = cond & ~F.startswith(bare, F.lit(k))
-        return cond
+        return ~t.rlike(KNOWN_TOKENS) & ~F.exists(known, lambda k: F.startswith(bare, k))
 
     return each(
         F.col("facts.tokens"), unknown,
@@ -523,14 +544,13 @@ def personalization_tokens(m: Mail):
 @rule("brand-allowed-domains")
 def allowed_domains(m: Mail):
     domains = F.transform(m.allowed_domains, F.lower)
-    social = [s.strip().lower() for s in m.social if s.strip()]
+    social = bare_terms(m.social, lambda t: t)
 
     def outside(x: Column) -> Column:
         inside = F.exists(
             domains, lambda d: (x["host"] == d) | F.endswith(x["host"], F.concat(F.lit("."), d))
         )
-        for s in social:
-            inside = inside | F.contains(x["host"], F.lit(s))
+        inside = inside | F.exists(social, lambda s: F.contains(x["host"], s))
         return (x["kind"] == "statique") & x["host"].isNotNull() & ~inside
 
     active = F.coalesce(F.size(m.allowed_domains), F.lit(0)) > 0
