@@ -6,17 +6,20 @@ pair stands. Merges are applied in rank order, over all words; a merge touches o
 its two neighbours. A pair is named by the rank of the token that it makes, so pairs that make the same
 token are applied together, from left to right.
 
-The words of the whole corpus are counted first. The most frequent ones (a bounded number) are replayed
-once, in Spark tasks, and every worker holds their tokens; all others are replayed in blocks, where they
-occur, by the same index. No text is shuffled.
+What stands between blanks is counted over the whole corpus first. The words of its most frequent chunks
+(a bounded number) are replayed once, in Spark tasks, and every worker holds their tokens; all others are
+replayed in blocks, where they occur, by the same index. No text is shuffled.
 """
 
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +27,23 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkproof.llm.common import ChunkCache, text_bytes, texts_of, vocabulary_path
+from sparkproof.llm.common import keep, text_bytes, texts_of, vocabulary_path
 
-#: Words that are replayed once for the whole corpus and held by every worker.
-FREQUENT_WORDS = 100_000
-#: Longer words are left to the blocks, so that what workers hold is bounded in bytes too.
-FREQUENT_BYTES = 64
-#: Different chunks that a task counts before it hands their words on.
+#: Chunks that are replayed once for the whole corpus and held by every worker.
+FREQUENT_CHUNKS = 100_000
+#: Longer chunks are left to the blocks, so that what workers hold is bounded in bytes too.
+FREQUENT_LENGTH = 32
+#: Different chunks that a task counts before it hands them on.
 TASK_CHUNKS = 200_000
 #: Bytes of texts whose words are replayed together.
-BLOCK_BYTES = 4_000_000
-#: A blank before a blank, or at the end: there the text can't be cut at every blank.
-ODD_BLANK = regex.compile(r" (?:\s|\Z)")
+BLOCK_BYTES = 2_000_000
+#: Chunks whose tokens a worker remembers beside the frequent words'; longer ones are not kept.
+CACHED_CHUNKS, CACHED_LENGTH = 300_000, 64
+#: Pairs whose rank a worker remembers.
+CACHED_PAIRS = 1_000_000
+#: Where a text can be cut: a word never reaches over a blank that something else than white space follows.
 CUT = regex.compile(r" (?=\S)")
+SPACE = regex.compile(r"\s")
 
 
 class Vocabulary:
@@ -51,8 +58,26 @@ class Vocabulary:
             lines = (line.split() for line in f)
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.made: list[dict[int, int]] = [{} for _ in range(max(self.tokens) + 1)]
+        self.pairs = 0
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.prepare()
+
+    def prepare(self) -> None:
+        """Ranks of what two bytes make, by 256 * first + second."""
+        pairs = (self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256))
+        self.byte_pairs = np.fromiter(pairs, np.int64, 65536)
+
+    def merged(self, a: int, b: int) -> int:
+        """Rank of the token that two tokens make, -1 if there is none; remembered in `made`."""
+        self.pairs += 1
+        if self.pairs > CACHED_PAIRS:
+            for found in self.made:
+                found.clear()
+            self.pairs = 1
+        rank = self.made[a][b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+        return rank
 
     @classmethod
     def of(cls, name: str) -> Vocabulary:
@@ -67,158 +92,217 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
     The next merge is always that of the lowest rank that stands anywhere, at its leftmost place, so a
     merge that makes a pair of lower rank is followed by that pair. Words share no pair, hence each
     gets what it would get alone. A word that is a token itself is that token."""
-    ranks, tokens = vocabulary.ranks, vocabulary.tokens
+    ranks, made, merged = vocabulary.ranks, vocabulary.made, vocabulary.merged
     out: list[list[int]] = [[]] * len(words)
-    symbols: list[int] = []
-    after: list[int] = []
-    before: list[int] = []
-    starts: list[tuple[int, int]] = []
-    index: dict[int, list[int]] = {}
+    left = [k for k, word in enumerate(words) if word and word not in ranks]
     for k, word in enumerate(words):
         if word in ranks:
             out[k] = [ranks[word]]
-            continue
-        start, n = len(symbols), len(word)
-        if not n:
-            continue
-        starts.append((k, start))
-        symbols += [vocabulary.single[b] for b in word]
-        after += [*range(start + 1, start + n), -1]
-        before += [-1, *range(start, start + n - 1)]
-        for i in range(n - 1):
-            rank = ranks.get(word[i : i + 2])
-            if rank is not None:
-                index.setdefault(rank, []).append(start + i)
-    waiting = list(index)  # positions of a rank are in ascending order, which is a heap
+    # A symbol for each byte, and -1 behind each word, which pairs with nothing.
+    places = np.frombuffer(b" ".join([words[k] for k in left]) + b" ", np.uint8).astype(np.int64)
+    ends = np.cumsum([len(words[k]) + 1 for k in left], dtype=np.int64) - 1
+    rank_of = vocabulary.byte_pairs[places[:-1] * 256 + places[1:]]
+    rank_of[ends[:-1]] = rank_of[ends - 1] = -1
+    single = np.array(vocabulary.single)[places]
+    single[ends] = -1
+    symbols, n = single.tolist(), len(single)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    order = np.argsort(rank_of, kind="stable")[int((rank_of < 0).sum()) :]
+    found, first = np.unique(rank_of[order], return_index=True)
+    index = {rank: at.tolist() for rank, at in zip(found.tolist(), np.split(order, first[1:]))} if len(found) else {}
+    waiting = list(index)
     heapify(waiting)
     while waiting:
-        rank = waiting[0]
-        places = index[rank]
-        if not places:
-            heappop(waiting)
-            del index[rank]
-            continue
-        i = heappop(places)
-        j = after[i]
-        # A stale entry: one of its symbols was merged away since.
-        if symbols[i] < 0 or j < 0 or tokens[symbols[i]] + tokens[symbols[j]] != tokens[rank]:
-            continue
-        symbols[i], symbols[j] = rank, -1
-        k = after[i] = after[j]
-        left = before[i]
-        if k >= 0:
+        rank = heappop(waiting)
+        places = index.pop(rank)
+        places.sort()
+        held, blocked = [], -1
+        for i in places:
+            a = symbols[i]
+            if a < 0:
+                continue  # stale: merged away since
+            if i < blocked:
+                held.append(i)
+                continue
+            j = after[i]
+            b = symbols[j]
+            if b < 0:
+                continue
+            now = made[a].get(b)
+            if now is None:
+                now = merged(a, b)
+            if now != rank:
+                continue  # stale: another pair stands here now
+            symbols[i], symbols[j] = rank, -1
+            after[i] = k = after[j]
             before[k] = i
-        for a, b in ((left, i), (i, k)):
-            if a >= 0 and b >= 0:
-                made = ranks.get(tokens[symbols[a]] + tokens[symbols[b]])
-                if made is not None:
-                    if made not in index:
-                        index[made] = []
-                        heappush(waiting, made)
-                    heappush(index[made], a)
-    for k, i in starts:
-        ids = []
-        while i >= 0:
+            lower = False
+            b = symbols[k]
+            if b >= 0:
+                new = made[rank].get(b)
+                if new is None:
+                    new = merged(rank, b)
+                if new >= 0:
+                    lower = new < rank
+                    if new in index:
+                        index[new].append(i)
+                    else:
+                        index[new] = [i]
+                        heappush(waiting, new)
+            k = before[i]
+            if k >= 0 and (a := symbols[k]) >= 0:
+                new = made[a].get(rank)
+                if new is None:
+                    new = merged(a, rank)
+                if new >= 0:
+                    lower = lower or new < rank
+                    if new in index:
+                        index[new].append(k)
+                    else:
+                        index[new] = [k]
+                        heappush(waiting, new)
+            if lower:  # the rest of this word waits for the pair of lower rank
+                blocked = int(ends[np.searchsorted(ends, i)])
+        if held:
+            index[rank] = held
+            heappush(waiting, rank)
+    for k, end in zip(left, ends.tolist(), strict=True):
+        i, ids = end - len(words[k]), []
+        while symbols[i] >= 0:
             ids.append(symbols[i])
             i = after[i]
         out[k] = ids
     return out
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut at blanks that begin a word: all but the first chunk follow one blank, which is
-    taken off. A word never reaches over such a blank."""
-    return CUT.split(text) if ODD_BLANK.search(text) else text.split(" ")
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    numbers = array("I", ids)
+    if numbers.itemsize != 4 or sys.byteorder != "little":
+        return np.array(ids, "<u4").tobytes()
+    return numbers.tobytes()
 
 
-COUNTED = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+COUNTED = pa.schema([("chunk", pa.string()), ("n", pa.int64())])
 
 
-def gatherer(name: str) -> Callable:
-    """Words of a task's texts with their numbers."""
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of a task's texts with their numbers."""
+    found: Counter = Counter()
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = Vocabulary.of(name).pattern.findall
-        found: Counter = Counter()
+    def rows() -> pa.RecordBatch:
+        short = {chunk: n for chunk, n in found.items() if len(chunk) <= FREQUENT_LENGTH}
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(short), pa.string()), pa.array(list(short.values()), pa.int64())], schema=COUNTED)
 
-        def rows() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for chunk, n in found.items():
-                for word in words_of(" " + chunk):
-                    words[word] += n
-            found.clear()
-            short = [(w, n) for word, n in words.items() if len(w := word.encode()) <= FREQUENT_BYTES]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in short], pa.binary()), pa.array([n for _, n in short], pa.int64())], schema=COUNTED
-            )
+    for batch in batches:
+        for text in texts_of(batch):
+            found.update((text or b"").decode().split(" "))
+            if len(found) > TASK_CHUNKS:
+                yield rows()
+    if found:
+        yield rows()
 
-        for batch in batches:
-            for text in texts_of(batch):
-                found.update(chunks((text or b"").decode()))
-                if len(found) > TASK_CHUNKS:
-                    yield rows()
-        if found:
-            yield rows()
-
-    return gather
 
-
-REPLAYED = pa.schema([("word", pa.binary()), ("ids", pa.binary())])
+REPLAYED = pa.schema([("chunk", pa.string()), ("ids", pa.binary())])
 
 
 def replayer(name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary.of(name)
+        tokens = ChunkTokens(Vocabulary.of(name), {})
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            ids = [np.array(x, "<u4").tobytes() for x in replay(words, vocabulary)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], schema=REPLAYED)
+            chunks = batch.column("chunk").to_pylist()
+            tokens.learn(set(chunks), {})
+            ids = [tokens.known[c] for c in chunks]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(ids, pa.binary())], schema=REPLAYED)
 
     return run
 
 
-def frequent_words(texts: DataFrame, vocabulary: str, most: int = FREQUENT_WORDS) -> dict[str, bytes]:
-    """Tokens of the corpus's most frequent words. Counts cover all texts; ties go by the word's bytes."""
-    counted = texts.mapInArrow(gatherer(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(most).repartition(16, "word")
-    table = top.select("word").mapInArrow(replayer(vocabulary), "word binary, ids binary").toArrow()
-    return {w.decode(): i for w, i in zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True)}
-
-
-class ChunkTokens(ChunkCache):
-    """Packed token ids of chunks; a block's unseen words are replayed together."""
+def frequent_chunks(texts: DataFrame, vocabulary: str, most: int = FREQUENT_CHUNKS) -> dict[str, bytes]:
+    """Tokens of the corpus's most frequent chunks, at most so many. Counts cover all texts; chunks are
+    taken by steps of their counts (a quarter of a power of two), so no task sorts them all."""
+    counted = keep(texts.mapInArrow(gather, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")), "chunks")
+    step = F.floor(F.log2("n") * 4).cast("int")
+    steps = sorted(counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    least, total = None, 0
+    for s in steps:
+        total += s["n"]
+        if total > most:
+            break
+        least = s["step"]
+    if least is None:
+        return {}
+    top = counted.where(step >= least).select("chunk").repartition(16, "chunk")
+    table = top.mapInArrow(replayer(vocabulary), "chunk string, ids binary").where("ids IS NOT NULL").toArrow()
+    return dict(zip(table["chunk"].to_pylist(), table["ids"].to_pylist(), strict=True))
+
+
+class ChunkTokens:
+    """Packed token ids of chunks, which are what stands between blanks; a chunk's ids are those of the
+    blank before it too. The unseen words of a block are replayed together."""
 
     def __init__(self, vocabulary: Vocabulary, frequent: dict[str, bytes]):
-        super().__init__()
-        self.vocabulary, self.frequent = vocabulary, frequent
-
-    def of_block(self, found: set[str]) -> dict[str, bytes]:
-        """Ids of all chunks of a block (with what precedes them), whatever the cache keeps of them."""
-        out, unseen = {}, {}
-        for chunk in found:
-            ids = self.get(chunk)
-            if ids is None:
-                ids = self.old.get(chunk)
-                if ids is None:
-                    unseen[chunk] = self.vocabulary.pattern.findall(chunk)
-                    continue
-                self.add(chunk, ids)
-            out[chunk] = ids
-        words = list({w for ws in unseen.values() for w in ws if w not in self.frequent})
-        merged = replay([w.encode() for w in words], self.vocabulary)
-        tokens = {w: np.array(ids, "<u4").tobytes() for w, ids in zip(words, merged, strict=True)}
-        frequent = self.frequent
-        for chunk, ws in unseen.items():
-            out[chunk] = ids = b"".join([tokens[w] if w in tokens else frequent[w] for w in ws])
-            self.add(chunk, ids)
+        self.vocabulary, self.base = vocabulary, frequent
+        self.known: dict[str, bytes | None] = dict(frequent)
+        self.long: list[str] = []
+
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        if len(self.known) > len(self.base) + CACHED_CHUNKS:
+            self.known = dict(self.base)
+        known = self.known
+        cut = [text.split(" ") for text in texts]
+        firsts = {chunks[0]: None for chunks in cut}
+        self.learn({c for chunks in cut for c in set(chunks[1:]).difference(known)}, firsts)
+        out, odd = [], []
+        for k, chunks in enumerate(cut):
+            first, chunks[0] = firsts[chunks[0]], ""
+            try:
+                out.append(first + b"".join(map(known.__getitem__, chunks[1:])))
+            except TypeError:  # white space follows a blank somewhere
+                odd.append(k)
+                out.append(b"")
+        if odd:
+            cut = [CUT.split(texts[k]) for k in odd]
+            firsts = {chunks[0]: None for chunks in cut}
+            self.learn({c for chunks in cut for c in set(chunks[1:]).difference(known)}, firsts)
+            for k, chunks in zip(odd, cut, strict=True):
+                out[k] = firsts[chunks[0]] + b"".join(map(known.__getitem__, chunks[1:]))
+        for chunk in self.long:
+            known.pop(chunk, None)
+        self.long.clear()
         return out
 
-    def add(self, chunk: str, ids: bytes) -> None:
-        if len(chunk) <= self.longest:
-            if len(self) >= self.words:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = ids
+    def learn(self, unseen: set[str], firsts: dict[str, bytes | None]) -> None:
+        """Fill in the ids of unseen chunks and of chunks without a blank before them. A chunk that
+        begins with white space, or is empty, can't be cut off from what precedes: it becomes None."""
+        findall, known = self.vocabulary.pattern.findall, self.known
+        self.long += [c for c in unseen if len(c) > CACHED_LENGTH]
+        words: dict[str, list[str]] = {}
+        for chunk in unseen:
+            if chunk.isascii() and chunk.isalpha():
+                words[chunk] = [" " + chunk]
+            elif not chunk or SPACE.match(chunk):
+                known[chunk] = None
+            else:
+                words[chunk] = findall(" " + chunk)
+        starts = {chunk: findall(chunk) for chunk in firsts}
+        tokens: dict[str, bytes] = {}
+        new = []
+        for found in (words, starts):
+            for ws in found.values():
+                for w in ws:
+                    if w not in tokens:
+                        # A word behind a blank may be a known chunk.
+                        tokens[w] = ids = (known.get(w[1:]) if w[0] == " " else None) or b""
+                        if not ids:
+                            new.append(w)
+        for w, ids in zip(new, replay([w.encode() for w in new], self.vocabulary), strict=True):
+            tokens[w] = packed(ids)
+        for found, into in ((words, known), (starts, firsts)):
+            for chunk, ws in found.items():
+                into[chunk] = tokens[ws[0]] if len(ws) == 1 else b"".join([tokens[w] for w in ws])
 
 
 def in_blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -238,14 +322,9 @@ def encoder(name: str, columns: list[str], held: object) -> Callable:
         tokens = ChunkTokens(Vocabulary.of(name), held.value)
         for batch in batches:
             for block in in_blocks(batch, "text"):
-                texts = []
-                for text in texts_of(block):
-                    first, *rest = chunks((text or b"").decode())
-                    texts.append([first, *[" " + c for c in rest]])
-                ids = tokens.of_block(set().union(*texts))
-                packed = [b"".join([ids[c] for c in cs]) for cs in texts]
+                ids = tokens.of_texts([(text or b"").decode() for text in texts_of(block)])
                 kept = [block.column(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(packed, pa.binary())], names=[*columns, "ids"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.binary())], names=[*columns, "ids"])
 
     return encode_batches
 
@@ -257,19 +336,21 @@ def encode(docs: DataFrame, columns: list[str], vocabulary: str = "byte_bpe_mult
     special tokens are ordinary text. Repeated rows give repeated rows, an empty table none."""
     spark = docs.sparkSession
     rows = docs.select(*columns, text_bytes().alias("text"))
-    held = spark.sparkContext.broadcast(frequent_words(rows.select("text"), vocabulary))
+    held = spark.sparkContext.broadcast(frequent_chunks(rows.select("text"), vocabulary))
     kind = docs.select(*columns).schema.add("ids", "binary")
     return rows.mapInArrow(encoder(vocabulary, columns, held), kind)
 
 
+def decoded(ids: list[int], tokens: list[bytes]) -> bytes:
+    return b"".join(itemgetter(*ids)(tokens)) if len(ids) > 1 else b"".join([tokens[i] for i in ids])
+
+
 def decoder(name: str, columns: list[str]) -> Callable:
     def decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Vocabulary.of(name).tokens
+        tokens = [token for _, token in sorted(Vocabulary.of(name).tokens.items())]
         for batch in batches:
             for block in in_blocks(batch, "ids"):
-                texts = [
-                    b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())) for ids in texts_of(block, "ids")
-                ]
+                texts = [decoded(np.frombuffer(ids or b"", "<u4").tolist(), tokens) for ids in texts_of(block, "ids")]
                 kept = [block.column(c) for c in columns]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.binary())], names=[*columns, "decoded"])
 
