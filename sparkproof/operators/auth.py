@@ -44,16 +44,22 @@ def header_value(headers: Column, name: str) -> Column:
 
 
 def strip_comments(c: Column) -> Column:
-    """Text outside parentheses, which may nest; a stray closing one is kept."""
-    state = F.struct(F.lit(0).alias("d"), F.lit("").alias("o"))
-    folded = F.aggregate(
-        F.split(c, ""), state,
-        lambda a, ch: F.when(ch == "(", F.struct((a["d"] + 1).alias("d"), a["o"].alias("o")))
-        .when((ch == ")") & (a["d"] > 0), F.struct((a["d"] - 1).alias("d"), a["o"].alias("o")))
-        .when(a["d"] == 0, F.struct(a["d"].alias("d"), F.concat(a["o"], ch).alias("o")))
-        .otherwise(a),
-    )
-    return F.when(F.contains(c, F.lit("(")), folded["o"]).otherwise(c)
+    """Text outside parentheses, which may nest; a stray closing one is kept.
+
+    One pattern takes out what isn't nested. Only texts that hold an opening parenthesis after it are
+    folded, by the pieces between parentheses and not by letters."""
+    simple = F.regexp_replace(c, r"\([^()]*\)", "")
+    start = F.struct(F.lit(0).alias("d"), F.lit("").alias("o"))
+
+    def step(a: Column, piece: Column) -> Column:
+        opens, closes = piece == "(", (piece == ")") & (a["d"] > 0)
+        return F.struct(
+            F.when(opens, a["d"] + 1).when(closes, a["d"] - 1).otherwise(a["d"]).alias("d"),
+            F.when((a["d"] == 0) & ~opens, F.concat(a["o"], piece)).otherwise(a["o"]).alias("o"),
+        )
+
+    nested = F.aggregate(F.regexp_extract_all(c, F.lit(r"([()]|[^()]+)"), 1), start, step)["o"]
+    return F.when(~F.contains(c, F.lit("(")), c).when(~F.contains(simple, F.lit("(")), simple).otherwise(nested)
 
 
 def parse_auth(raw: Column) -> Column:

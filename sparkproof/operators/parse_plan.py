@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sparkproof.functions.languages import LABELS, canon_lang
 from sparkproof.functions.names import column_index
 from sparkproof.functions.text import fold_space
-from sparkproof.operators.findings import nonempty
+from sparkproof.operators.findings import array_rows, nonempty
 from sparkproof.operators.grid import HTTP, cell_text, is_placeholder_text, is_placeholder_url
 
 #: What a plan's row holds; `plan_id` may be any key.
@@ -110,7 +110,7 @@ def plan_errors(plans: DataFrame, cells: DataFrame) -> DataFrame:
     aimless = F.when(~F.exists(maps, lambda m: ~said(m)), error("no block", F.lit(None)))
     all_ = F.concat(wrong_label, no_reason, strange, twice, missing, F.array_compact(F.array(few, low, aimless)))
     errors = F.when(~F.col("sheet_found"), F.array(error("unknown sheet", F.col("content_sheet")))).otherwise(all_)
-    return rows.select("plan_id", F.inline(errors))
+    return array_rows(rows.select("plan_id", errors.alias("errors")), "errors", "error", "plan_id")
 
 
 def apply_plans(plans: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -159,7 +159,5 @@ def apply_plans(plans: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFram
         F.transform("langs", lambda c, i: F.struct(i.alias("ord"), c["lang"].alias("lang"), F.nullif(c["label"], c["lang"]).alias("label"))),
         lambda c: F.exists("blocks", lambda b: F.exists(b["vals"], lambda v: v["lang"] == c["lang"])),
     )
-    found = read.select("plan_id", F.inline("blocks"))
-    return (
-        found.withColumn("vals", F.map_from_entries("vals")), read.select("plan_id", F.inline("links")), read.select("plan_id", F.inline(used)),
-    )
+    found = array_rows(read, "blocks", "row", "plan_id").withColumn("vals", F.map_from_entries("vals"))
+    return found, array_rows(read, "links", "row", "plan_id"), array_rows(read.withColumn("used", used), "used", "lang", "plan_id")

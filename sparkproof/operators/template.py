@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkproof.functions.languages import canon_column
-from sparkproof.operators.findings import nonempty
+from sparkproof.operators.findings import array_rows, nonempty
 
 DEFAULT_TEMPLATE = "default"
 
@@ -29,105 +29,124 @@ def lookup_keys(label: Column, aliases: Column, kind: Column) -> Column:
 def seen_rows(blocks: DataFrame, links: DataFrame) -> DataFrame:
     """Brief rows by normalised label: shown label, sources, filled languages.
 
-    blocks (brief_id, ord, block, lang, value), links (brief_id, ord, block)."""
-    b = blocks.withColumn("cell", norm_label(F.col("block"))).groupBy("brief_id", "cell").agg(
-        F.min_by("block", "ord").alias("label"),
-        F.array_sort(F.collect_set(F.struct("ord", "block"))).alias("sources"),
-        F.collect_set(F.when(nonempty(F.trim("value")), F.col("lang"))).alias("langs"),
-        F.min("ord").alias("ord"),
+    blocks (brief_id, ord, block, lang, value), links (brief_id, ord, block). A link counts as a row only
+    where no block has its label. One aggregate with map-side combine."""
+    rows = blocks.select(
+        "brief_id", norm_label(F.col("block")).alias("cell"), F.struct("ord", "block").alias("source"),
+        F.when(nonempty(F.trim("value")), F.col("lang")).alias("lang"), F.lit(True).alias("copy"),
+    ).unionByName(links.select(
+        "brief_id", norm_label(F.col("block")).alias("cell"), F.struct("ord", F.concat("block", F.lit(" URL")).alias("block")).alias("source"),
+        F.lit(None).cast("string").alias("lang"), F.lit(False).alias("copy"),
+    ))
+    copy = F.col("copy")
+    found = rows.groupBy("brief_id", "cell").agg(
+        F.collect_set(F.when(copy, F.col("source"))).alias("own"), F.min_by("source", F.when(copy, F.col("source.ord"))).alias("first"),
+        F.min(F.when(~copy, F.col("source"))).alias("link"), F.collect_set("lang").alias("langs"),
     )
-    l_rows = links.withColumn("cell", norm_label(F.col("block"))).groupBy("brief_id", "cell").agg(
-        F.min(F.struct("ord", F.concat("block", F.lit(" URL")).alias("block"))).alias("s")
-    ).join(b.select("brief_id", "cell"), ["brief_id", "cell"], "left_anti").select(
-        "brief_id", "cell", F.col("s.block").alias("label"), F.array("s").alias("sources"),
-        F.array().cast("array<string>").alias("langs"), F.col("s.ord").alias("ord"),
+    row = F.coalesce("first", "link")
+    return found.select(
+        "brief_id", "cell", row["block"].alias("label"), F.when(F.size("own") > 0, F.array_sort("own")).otherwise(F.array("link")).alias("sources"),
+        "langs", row["ord"].alias("ord"),
     )
-    return b.unionByName(l_rows)
 
 
-def field_hits(fields: DataFrame, seen: DataFrame) -> DataFrame:
-    """JOIN-8: the brief row of each template field, its first known alias.
+def template_row(fields: DataFrame, codes: DataFrame) -> Column:
+    """A template as one value of a plan: its fields with their lookup keys, and its language columns.
 
-    fields (field_ord, key, label, kind, required, translatable, aliases)."""
-    keys = fields.where("kind <> 'meta'").select(
-        "field_ord", "key", F.posexplode(lookup_keys(F.col("label"), F.col("aliases"), F.col("kind"))).alias("a", "cell")
-    )
-    found = seen.join(keys, "cell")
-    return found.groupBy("brief_id", "field_ord", "key").agg(F.min_by("cell", "a").alias("cell"))
+    fields (field_ord, key, label, kind, required, translatable, aliases) and codes (code) are a sheet's
+    worth of rows. As a subquery it needs no join."""
+    keys = lookup_keys(F.col("label"), F.col("aliases"), F.col("kind")).alias("keys")
+    known = fields.where("kind <> 'meta'").select("field_ord", "key", "label", "required", "translatable", keys)
+    named = codes.select("code", canon_column(F.col("code")).alias("canon"))
+    entry = known.select(F.struct("field_ord", "key", "label", "required", "translatable", "keys").alias("f"), F.lit(None).cast("struct<code:string,canon:string>").alias("c"))
+    column = named.select(F.lit(None).cast(entry.schema["f"].dataType).alias("f"), F.struct("code", "canon").alias("c"))
+    both = entry.unionByName(column).agg(F.array_sort(F.collect_list("f")).alias("fields"), F.array_sort(F.collect_list("c")).alias("codes"))
+    return both.select(F.struct("fields", "codes").alias("t")).scalar()
 
 
-def language_columns(codes: DataFrame) -> DataFrame:
-    """RUL-28/29: (code, canon, ambiguous); canon NULL is unsupported."""
-    named = codes.withColumn("canon", canon_column(F.col("code")))
-    counts = named.where("canon IS NOT NULL").groupBy("canon").agg(F.count(F.lit(1)).alias("n"))
-    return named.join(counts, "canon", "left").select(
-        "code", "canon", (F.coalesce("n", F.lit(0)) > 1).alias("ambiguous")
-    )
+def problem(rule: str, item: Column, detail: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule_id"), item.cast("string").alias("item"), detail.cast("string").alias("detail"))
 
 
-def conformance(briefs: DataFrame, seen: DataFrame, fields: DataFrame, codes: DataFrame) -> DataFrame:
-    """JOIN-8 and RUL-26..30 as problem rows (brief_id, rule_id, item, detail).
-
-    briefs (brief_id, family, langs). Briefs that were not measured, are of another layout or match
-    no field have no rows; `state` tells them apart."""
-    measured = briefs.where("family = 'field_value'")
-    seen = seen.join(measured.select("brief_id"), "brief_id", "left_semi")
-    hits = field_hits(fields, seen)
-    matched = hits.select("brief_id").distinct()
-    active = measured.join(matched, "brief_id")
-    meta = fields.where("kind <> 'meta'").select("field_ord", "key", "label", "required", "translatable")
-    rows = active.join(meta).join(hits.select("brief_id", "field_ord", "cell"), ["brief_id", "field_ord"], "left")
-    none = F.lit(None).cast("string")
-    missing = rows.where("cell IS NULL AND required").select(
-        "brief_id", F.lit("template-structure").alias("rule_id"), F.col("label").alias("item"), F.lit("missing").alias("detail")
+def joined(items: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(items)), ", ")
+
+
+def judged(briefs: DataFrame, seen: DataFrame, fields: DataFrame, codes: DataFrame) -> DataFrame:
+    """JOIN-8 and RUL-26..30: each brief with its state and all its problems, computed on its own row.
+
+    briefs (brief_id, family, langs); seen are `seen_rows`. A brief is a sheet, so its rows fit in an array.
+    The four reasons for 'not applicable' stay apart from 'conformant' and 'deviation'; briefs to which
+    the template does not apply have no problems."""
+    folded = seen.groupBy("brief_id").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "cell", "label", F.size("sources").alias("n"), "langs"))).alias("rows")
     )
-    extra = seen.join(matched, "brief_id", "left_semi").join(hits.select("brief_id", "cell"), ["brief_id", "cell"], "left_anti").select(
-        "brief_id", F.lit("template-structure").alias("rule_id"), F.col("label").alias("item"), F.lit("extra").alias("detail")
+    none = F.array().cast("array<struct<ord:int,cell:string,label:string,n:int,langs:array<string>>>")
+    df = briefs.join(folded, "brief_id", "left").withColumn("rows", F.coalesce("rows", none)).withColumn("t", template_row(fields, codes))
+    cells = F.transform("rows", lambda r: r["cell"])
+    row_of = lambda cell: F.get(F.filter("rows", lambda r: r["cell"] == cell), 0)
+    hits = F.transform(
+        F.col("t")["fields"],
+        lambda f: F.struct(
+            f["key"].alias("key"), f["label"].alias("label"), f["required"].alias("required"), f["translatable"].alias("translatable"),
+            F.get(F.filter(f["keys"], lambda k: F.array_contains("cells", k)), 0).alias("cell"),
+        ),
     )
-    cols = language_columns(codes)
-    usable = cols.where("canon IS NOT NULL").select("code", "canon")
-    # Columns whose language the brief activates; ambiguity counts among the activated ones.
-    on = active.select("brief_id", F.explode("langs").alias("canon")).join(usable, "canon")
-    pairs = on.groupBy("brief_id", "canon").agg(F.collect_list("code").alias("cs"))
-    clear = pairs.where(F.size("cs") == 1).select("brief_id", "canon", F.get("cs", F.lit(0)).alias("code"))
-    need = rows.where("cell IS NOT NULL AND translatable").join(
-        seen.select("brief_id", "cell", F.col("langs").alias("filled")), ["brief_id", "cell"]
-    ).join(clear, "brief_id").where(~F.array_contains("filled", F.col("canon")))
-    untranslated = need.groupBy("brief_id", "field_ord").agg(
-        F.first("label").alias("item"), F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("detail")
-    ).select("brief_id", F.lit("template-language-coverage").alias("rule_id"), "item", "detail")
-    ambiguous = pairs.where(F.size("cs") > 1).select("brief_id", F.explode("cs").alias("c")).groupBy("brief_id").agg(
-        F.array_join(F.array_sort(F.collect_set("c")), ", ").alias("item")
-    ).select("brief_id", F.lit("template-language-ambiguous").alias("rule_id"), "item", none.alias("detail"))
-    bad_codes = cols.where("canon IS NULL").agg(F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("item")).where("item <> ''")
-    unsupported = active.select("brief_id").join(bad_codes).select(
-        "brief_id", F.lit("template-language-unsupported").alias("rule_id"), "item", none.alias("detail")
+    df = df.withColumn("cells", cells).withColumn("hits", hits)
+    met = F.filter("hits", lambda h: h["cell"].isNotNull())
+    # Columns whose language the brief activates; a language with several columns can't be judged.
+    active = F.filter(F.col("t")["codes"], lambda c: c["canon"].isNotNull() & F.array_contains("langs", c["canon"]))
+    df = df.withColumn("met", met).withColumn("active", active)
+    alone = lambda c: F.size(F.filter("active", lambda o: o["canon"] == c["canon"])) == 1
+    df = df.withColumn("clear", F.filter("active", alone)).withColumn("double", F.transform(F.filter("active", lambda c: ~alone(c)), lambda c: c["code"]))
+    missing = F.transform(
+        F.filter("hits", lambda h: h["cell"].isNull() & h["required"]), lambda h: problem("template-structure", h["label"], F.lit("missing"))
     )
-    by_cell = hits.groupBy("brief_id", "cell").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"), F.count(F.lit(1)).alias("n"))
-    shared = by_cell.join(seen.select("brief_id", "cell", "label", F.size("sources").alias("ns")), ["brief_id", "cell"]).where("n > 1 OR ns > 1").select(
-        "brief_id", F.lit("template-field-shared-cell").alias("rule_id"), F.col("label").alias("item"),
-        F.when(F.col("ns") > 1, F.concat("ns", F.lit(" rows"))).otherwise(F.col("keys")).alias("detail"),
+    hit_cells = F.array_distinct(F.transform("met", lambda h: h["cell"]))
+    extra = F.transform(
+        F.filter("rows", lambda r: ~F.array_contains(hit_cells, r["cell"])), lambda r: problem("template-structure", r["label"], F.lit("extra"))
     )
-    problems = missing.unionByName(extra).unionByName(untranslated)
-    # Language remarks belong to a deviation only; a conformant brief is not judged on them.
-    deviating = problems.select("brief_id").distinct()
-    remarks = ambiguous.unionByName(unsupported).join(deviating, "brief_id", "left_semi")
-    return problems.unionByName(remarks).unionByName(shared)
-
-
-def conformance_state(briefs: DataFrame, seen: DataFrame, fields: DataFrame, problems: DataFrame) -> DataFrame:
-    """The four reasons for 'not applicable' stay apart from 'conformant' and 'deviation'."""
-    hits = field_hits(fields, seen).select("brief_id").distinct().withColumn("hit", F.lit(True))
-    bad = problems.where("rule_id IN ('template-structure', 'template-language-coverage')").select(
-        "brief_id"
-    ).distinct().withColumn("bad", F.lit(True))
-    f = F.col("family")
+    lacks = lambda h: F.transform(
+        F.filter("clear", lambda c: ~F.array_contains(row_of(h["cell"])["langs"], c["canon"])), lambda c: c["code"]
+    )
+    untranslated = F.filter(
+        F.transform(F.filter("met", lambda h: h["translatable"]), lambda h: problem("template-language-coverage", h["label"], joined(lacks(h)))),
+        lambda p: p["detail"] != "",
+    )
+    keys_of = lambda cell: F.transform(F.filter("met", lambda h: h["cell"] == cell), lambda h: h["key"])
+    shared = F.transform(
+        F.filter(hit_cells, lambda c: (F.size(keys_of(c)) > 1) | (row_of(c)["n"] > 1)),
+        lambda c: problem(
+            "template-field-shared-cell", row_of(c)["label"],
+            F.when(row_of(c)["n"] > 1, F.concat(row_of(c)["n"], F.lit(" rows"))).otherwise(F.array_join(F.array_sort(keys_of(c)), ",")),
+        ),
+    )
+    strange = joined(F.transform(F.filter(F.col("t")["codes"], lambda c: c["canon"].isNull()), lambda c: c["code"]))
+    nothing = F.lit(None).cast("string")
+    remarks = F.array_compact(F.array(
+        F.when(F.size("double") > 0, problem("template-language-ambiguous", joined(F.col("double")), nothing)),
+        F.when(strange != "", problem("template-language-unsupported", strange, nothing)),
+    ))
+    df = df.withColumn("deviations", F.concat(missing, extra, untranslated)).withColumns({"shared": shared, "remarks": remarks})
+    f, applies = F.col("family"), (F.col("family") == "field_value") & (F.size("met") > 0)
     state = (
-        F.when(f.isNull(), "family_unknown").when(f == "none", "layout_unreadable")
-        .when(f != "field_value", "other_family").when(F.col("hit").isNull(), "no_field_matched")
-        .when(F.col("bad"), "deviation").otherwise("conformant")
+        F.when(f.isNull(), "family_unknown").when(f == "none", "layout_unreadable").when(f != "field_value", "other_family")
+        .when(F.size("met") == 0, "no_field_matched").when(F.size("deviations") > 0, "deviation").otherwise("conformant")
     )
-    return briefs.join(hits, "brief_id", "left").join(bad, "brief_id", "left").select("brief_id", state.alias("state"))
+    # Language remarks belong to a deviation only; a conformant brief is not judged on them.
+    empty = F.array().cast("array<struct<rule_id:string,item:string,detail:string>>")
+    problems = F.concat("deviations", F.when(F.size("deviations") > 0, F.col("remarks")).otherwise(empty), "shared")
+    return df.select("brief_id", state.alias("state"), F.when(applies, problems).otherwise(empty).alias("problems"))
+
+
+def conformance(briefs: DataFrame, seen: DataFrame, fields: DataFrame, codes: DataFrame) -> DataFrame:
+    """JOIN-8 and RUL-26..30 as problem rows (brief_id, rule_id, item, detail)."""
+    return array_rows(judged(briefs, seen, fields, codes), "problems", "rule_id", "brief_id").select("brief_id", "rule_id", "item", "detail")
+
+
+def conformance_state(briefs: DataFrame, seen: DataFrame, fields: DataFrame, codes: DataFrame) -> DataFrame:
+    """RUL-26: (brief_id, state)."""
+    return judged(briefs, seen, fields, codes).select("brief_id", "state")
 
 
 def coherence(fields: DataFrame, codes: DataFrame, named: DataFrame) -> DataFrame:

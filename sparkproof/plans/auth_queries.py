@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkproof.operators import auth
 from sparkproof.operators.findings import array_rows
+from sparkproof.operators.skew import spread
 from sparkproof.plans.registry import query
 from sparkproof.sources.bindings import RELATIONS, bind, load
 
@@ -40,13 +41,13 @@ TRUST = "present AND ((source = 'gmail' AND sid = 'mx.google.com') OR (source =
 )
 def header_rows(spark, sf):
     h = auth.header_rows(F.col("raw"))
-    return load(spark, sf, "messages").withColumn("h", h).select(
+    return spread(load(spark, sf, "messages").select("version_id", "raw")).withColumn("h", h).select(
         "version_id", F.size("h").alias("n"), auth.header_value(F.col("h"), "subject").alias("subject")
     )
 
 
 def facts(spark, sf):
-    return auth.with_message_facts(load(spark, sf, "messages").select("version_id", "source", "raw"))
+    return auth.with_message_facts(spread(load(spark, sf, "messages").select("version_id", "source", "raw")))
 
 
 @query(

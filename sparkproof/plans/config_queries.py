@@ -72,7 +72,7 @@ def conformance(spark, sf):
 )
 def state(spark, sf):
     briefs, seen, fields, codes = tpl(spark, sf)
-    return template.conformance_state(briefs, seen, fields, template.conformance(briefs, seen, fields, codes))
+    return template.conformance_state(briefs, seen, fields, codes)
 
 
 RELATIONS["tpl_fields"] = """SELECT CAST(floor(p_partkey / 6) AS BIGINT) AS template_id, concat('k', p_size % 9) AS key, p_name AS label, p_partkey % 5 AS row_offset,
