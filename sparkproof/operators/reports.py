@@ -371,3 +371,12 @@ def version_changes(findings: DataFrame, versions: DataFrame) -> DataFrame:
     return known.join(counts, ["campaign_id", "rank"], "left").select(
         "campaign_id", "version_no", *_zero("n_findings", "n_new", "n_fixed", "n_kept")
     )
+
+
+def in_label_order(verdicts: DataFrame, group: str = "campaign_id", label: str = "label", language: str = "fr") -> DataFrame:
+    """ORD-1: `position` of each verdict in its group, by label as a reader of the language sorts it.
+
+    Accents and ligatures stand by their letter and case decides last, which bytes don't give. Equal
+    labels go by their bytes. A group is one campaign's languages, some twenty rows."""
+    order = Window.partitionBy(group).orderBy(F.collate(F.col(label), language), label)
+    return verdicts.withColumn("position", F.row_number().over(order))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkproof.functions.languages import canon_column
+from sparkproof.functions.names import content_hash
 from sparkproof.operators.findings import array_rows, nonempty
 
 DEFAULT_TEMPLATE = "default"
@@ -189,6 +190,92 @@ def coherence(fields: DataFrame, codes: DataFrame, named: DataFrame) -> DataFram
     return out
 
 
+def layout_problems(heads: DataFrame, codes: DataFrame) -> DataFrame:
+    """AGG-15: columns that stand in each other's place (template_id, severity, problem, item).
+
+    heads (template_id, field_col, desc_col, value_col, first_lang_col); the language block is as wide as
+    the template has columns in `codes` (template_id, code)."""
+    width = codes.groupBy("template_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = heads.join(width, "template_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    names = {"FIELD": "field_col", "DESCRIPTION": "desc_col", "VALUE": "value_col"}
+    pairs = [(a, b) for i, a in enumerate(names) for b in list(names)[i + 1 :]]
+    entry = lambda problem, item: F.struct(F.lit("error").alias("severity"), F.lit(problem).alias("problem"), F.lit(item).alias("item"))
+    found = [F.when(F.col(names[a]) == F.col(names[b]), entry("shared column", f"{a}, {b}")) for a, b in pairs]
+    last = F.col("first_lang_col") + F.col("n") - 1
+    found += [F.when(F.col(c).between(F.col("first_lang_col"), last), entry("column inside the language block", name)) for name, c in names.items()]
+    return array_rows(rows.withColumn("p", F.array_compact(F.array(*found))), "p", "problem", "template_id")
+
+
+def vanished_keys(fields: DataFrame, previous: DataFrame) -> DataFrame:
+    """AGG-15: keys of a template's previous revision that it has no longer (template_id, severity, problem,
+    item). Both are (template_id, key, ...); templates that are gone altogether are not judged."""
+    still = previous.join(fields.select("template_id").distinct(), "template_id", "left_semi").select("template_id", "key").distinct()
+    return still.join(fields.select("template_id", "key").distinct(), ["template_id", "key"], "left_anti").select(
+        "template_id", F.lit("error").alias("severity"), F.lit("vanished key").alias("problem"), F.col("key").alias("item")
+    )
+
+
+def told(*parts: Column) -> Column:
+    """Hash of values in their order, each behind its length; a missing one is told from an empty one."""
+    return content_hash(*[p.cast("string") for p in parts], length=64)
+
+
+HEAD = ["channel", "header_row", "field_col", "desc_col", "value_col", "first_lang_col", "glossary"]
+FIELD = ["key", "label", "kind", "required", "translatable", "row_offset", "aliases", "note"]
+
+
+def revision_tree(heads: DataFrame, fields: DataFrame, codes: DataFrame, languages: DataFrame) -> DataFrame:
+    """SCL-23: what identifies a template's revision, as a tree of hashes.
+
+    heads (template_id, HEAD columns), fields (template_id, ord, FIELD columns), codes (template_id, ord,
+    code), languages (template_id, ord, code, name, note). Output: template_id, revision (12 digits), the
+    hashes of head, fields, columns and languages, and `by_key` (key, hash) of each field. Order counts, as
+    it decides cells; an absent note, glossary or list of aliases is an empty one. A template is a sheet."""
+    value = lambda c: F.array_join(F.transform(c, lambda a: F.concat(F.length(a).cast("string"), F.lit(":"), a)), "") if c == "aliases" else F.col(c)
+    blank = lambda c: F.coalesce(value(c).cast("string"), F.lit("")) if c in ("note", "glossary", "aliases") else value(c)
+
+    def folded(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        leaf = F.struct("ord", told(*[blank(c) for c in columns]).alias("h"), F.col(columns[0]).alias("key"))
+        rows = df.groupBy("template_id").agg(F.array_sort(F.collect_list(leaf)).alias(f"{name}_leaves"))
+        return rows.withColumn(name, F.sha2(F.array_join(F.transform(f"{name}_leaves", lambda x: x["h"]), ""), 256))
+
+    tree = heads.select("template_id", told(*[blank(c) for c in HEAD]).alias("head"))
+    for part in (folded(fields, "fields", *FIELD), folded(codes, "columns", "code"), folded(languages, "languages", "code", "name", "note")):
+        tree = tree.join(part, "template_id", "left")
+    nothing = F.sha2(F.lit(""), 256)
+    parts = ["head", "fields", "columns", "languages"]
+    tree = tree.withColumns({c: F.coalesce(c, nothing) for c in parts[1:]})
+    by_key = F.transform("fields_leaves", lambda x: F.struct(x["key"].alias("key"), x["h"].alias("hash")))
+    return tree.select(
+        "template_id", F.left(F.sha2(F.concat(*parts), 256), F.lit(12)).alias("revision"), *parts,
+        F.coalesce(by_key, F.array().cast("array<struct<key:string,hash:string>>")).alias("by_key"),
+    )
+
+
+def revision_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What differs between two revisions of templates: rows (template_id, part, item, change).
+
+    Trees of one revision are left out at once, and fields are looked at only where their hash differs.
+    Part `field` lists keys as added, removed or changed (their order alone gives `order` changed); other
+    parts are told as changed."""
+    a, b = (df.select("template_id", F.struct("revision", "head", "fields", "columns", "languages", "by_key").alias(n)) for df, n in ((before, "a"), (after, "b")))
+    rows = a.join(b, "template_id").where(F.col("a.revision") != F.col("b.revision"))
+    entry = lambda part, item, change: F.struct(F.lit(part).alias("part"), F.lit(item).cast("string").alias("item") if item is None else item.alias("item"), F.lit(change).alias("change"))
+    whole = F.array_compact(F.array(*[F.when(F.col(f"a.{c}") != F.col(f"b.{c}"), entry(c, None, "changed")) for c in ("head", "columns", "languages")]))
+    keys = lambda side: F.transform(F.col(f"{side}.by_key"), lambda x: x["key"])
+    hashes = lambda side, k: F.array_sort(F.transform(F.filter(F.col(f"{side}.by_key"), lambda x: x["key"] == k), lambda x: x["hash"]))
+    gone, new = F.array_distinct(F.array_except(keys("a"), keys("b"))), F.array_distinct(F.array_except(keys("b"), keys("a")))
+    moved = F.filter(F.array_intersect(keys("a"), keys("b")), lambda k: hashes("a", k) != hashes("b", k))
+    listed = F.concat(
+        F.transform(gone, lambda k: entry("field", k, "removed")), F.transform(new, lambda k: entry("field", k, "added")),
+        F.transform(moved, lambda k: entry("field", k, "changed")),
+    )
+    order = F.array(entry("order", None, "changed"))
+    none = F.array().cast("array<struct<part:string,item:string,change:string>>")
+    fields = F.when(F.col("a.fields") == F.col("b.fields"), none).when(F.size(listed) == 0, order).otherwise(listed)
+    return array_rows(rows.withColumn("changes", F.concat(whole, fields)), "changes", "change", "template_id").select("template_id", "part", "item", "change")
+
+
 def ownership(campaigns: DataFrame) -> DataFrame:
     """JOIN-19: campaigns per template and whether saving copies or edits in place."""
     rows = campaigns.withColumn("tpl", F.coalesce("template_id", F.lit(DEFAULT_TEMPLATE)))

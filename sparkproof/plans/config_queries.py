@@ -257,3 +257,69 @@ def validate_custom(spark, sf):
 )
 def config_hashes(spark, sf):
     return config.config_hash(overrides(spark, sf))
+
+
+# ---- template revisions -----------------------------------------------------------------------
+
+RELATIONS["tpl_heads"] = """SELECT CAST(floor(p_partkey / 6) AS BIGINT) AS template_id, min(p_size) % 4 AS field_col, max(p_size) % 4 AS desc_col, min(p_partkey) % 3 AS value_col, max(p_partkey) % 4 AS first_lang_col FROM {part} GROUP BY 1"""
+OLD_KEYS = "SELECT CAST(floor(p_partkey / 6) AS BIGINT) AS template_id, concat('k', (p_size + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END) % 9) AS key FROM {part}"
+LAST = "first_lang_col + n - 1"
+
+
+@query(
+    "agg15_layout_and_previous_revision",
+    f"""WITH h AS (SELECT h.*, n FROM {{tpl_heads}} h JOIN (SELECT template_id, count(*) AS n FROM {{tpl_codes}} c GROUP BY 1) c USING (template_id))
+      SELECT template_id, 'error' AS severity, 'shared column' AS problem, 'FIELD, DESCRIPTION' AS item FROM h WHERE field_col = desc_col
+      UNION ALL SELECT template_id, 'error', 'shared column', 'FIELD, VALUE' FROM h WHERE field_col = value_col UNION ALL SELECT template_id, 'error', 'shared column', 'DESCRIPTION, VALUE' FROM h WHERE desc_col = value_col
+      UNION ALL SELECT template_id, 'error', 'column inside the language block', 'FIELD' FROM h WHERE field_col BETWEEN first_lang_col AND {LAST}
+      UNION ALL SELECT template_id, 'error', 'column inside the language block', 'DESCRIPTION' FROM h WHERE desc_col BETWEEN first_lang_col AND {LAST}
+      UNION ALL SELECT template_id, 'error', 'column inside the language block', 'VALUE' FROM h WHERE value_col BETWEEN first_lang_col AND {LAST}
+      UNION ALL SELECT template_id, 'error', 'vanished key', key FROM (SELECT DISTINCT template_id, key FROM ({OLD_KEYS}) o EXCEPT SELECT template_id, key FROM {{tpl_fields}} f) v""",
+)
+def previous_revision(spark, sf):
+    """AGG-15: columns in each other's place, and keys that the previous revision had."""
+    layout = template.layout_problems(load(spark, sf, "tpl_heads"), load(spark, sf, "tpl_codes"))
+    return layout.unionByName(template.vanished_keys(load(spark, sf, "tpl_fields"), bind(spark, sf, OLD_KEYS)))
+
+
+RELATIONS["rev_fields"] = """SELECT CAST(floor(p_partkey / 6) AS BIGINT) AS template_id, p_partkey AS ord, concat('k', p_partkey % 6) AS key, p_name AS label, CASE p_partkey % 3 WHEN 0 THEN 'url' ELSE 'text' END AS kind,
+  p_size % 2 = 0 AS required, p_size % 4 = 0 AS translatable, p_partkey % 6 AS row_offset, CASE WHEN p_partkey % 9 = 0 THEN p_brand END AS note FROM {part}"""
+REV_NEW = """SELECT template_id, ord, key, CASE WHEN ord % 4 = 0 AND template_id % 3 = 0 THEN concat(label, ' new') ELSE label END AS label, kind, required, translatable, row_offset, note FROM {rev_fields} f
+  WHERE NOT (ord % 7 = 0 AND template_id % 2 = 0) UNION ALL SELECT template_id, 0, 'fresh', 'Fresh', 'text', false, false, 99, NULL FROM (SELECT DISTINCT template_id FROM {rev_fields} f WHERE template_id % 5 = 0) d"""
+REV_HEADS = "SELECT DISTINCT template_id, {channel} AS channel, 3 AS header_row, 0 AS field_col, 1 AS desc_col, 2 AS value_col, 3 AS first_lang_col, CAST(NULL AS STRING) AS glossary FROM {{rev_fields}} f"
+
+
+def revisions(spark, sf, new: bool):
+    fields = (bind(spark, sf, REV_NEW) if new else load(spark, sf, "rev_fields")).withColumn("aliases", F.when(F.col("ord") % 2 == 0, F.array(F.lit("SL"), F.lit("x"))))
+    heads = bind(spark, sf, REV_HEADS.format(channel="CASE WHEN template_id % 10 = 0 THEN 'SMS' ELSE 'EMAIL' END" if new else "'EMAIL'"))
+    codes = heads.select("template_id", F.posexplode(F.array(F.lit("EN"), F.lit("FR"))).alias("ord", "code"))
+    names = codes.withColumn("name", F.when((F.col("template_id") % 15 == 0) & F.lit(new), "changed").otherwise(F.col("code"))).withColumn("note", F.lit(None).cast("string"))
+    return template.revision_tree(heads, fields, codes, names)
+
+
+def told_sql(*parts: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(concat(length(CAST({p} AS VARCHAR)), ':', CAST({p} AS VARCHAR)), '-')" for p in parts) + "))"
+
+
+REV_SQL = f"""WITH f AS (SELECT template_id, sha256(string_agg({told_sql("key", "label", "kind", "required", "translatable", "row_offset", "CASE WHEN ord % 2 = 0 THEN '2:SL1:x' ELSE '' END", "coalesce(note, '')")}, '' ORDER BY ord)) AS fields FROM {{rev_fields}} r GROUP BY 1),
+  p AS (SELECT template_id, {told_sql("'EMAIL'", "3", "0", "1", "2", "3", "''")} AS head, fields, sha256(concat({told_sql("'EN'")}, {told_sql("'FR'")})) AS columns,
+    sha256(concat({told_sql("'EN'", "'EN'", "''")}, {told_sql("'FR'", "'FR'", "''")})) AS languages FROM f)"""
+
+
+@query("scl23_template_revisions", REV_SQL + " SELECT template_id, left(sha256(concat(head, fields, columns, languages)), 12) AS revision, head, fields, columns, languages FROM p")
+def template_revisions(spark, sf):
+    """SCL-23: the tree of hashes that a template's revision is known by."""
+    return revisions(spark, sf, False).drop("by_key")
+
+
+@query(
+    "scl23_revision_changes",
+    """SELECT DISTINCT template_id, 'head' AS part, NULL AS item, 'changed' AS change FROM {rev_fields} f WHERE template_id % 10 = 0
+      UNION ALL SELECT DISTINCT template_id, 'languages', NULL, 'changed' FROM {rev_fields} f WHERE template_id % 15 = 0
+      UNION ALL SELECT DISTINCT template_id, 'field', 'fresh', 'added' FROM {rev_fields} f WHERE template_id % 5 = 0
+      UNION ALL SELECT template_id, 'field', key, 'removed' FROM {rev_fields} f WHERE ord % 7 = 0 AND template_id % 2 = 0
+      UNION ALL SELECT template_id, 'field', key, 'changed' FROM {rev_fields} f WHERE ord % 4 = 0 AND template_id % 3 = 0 AND NOT (ord % 7 = 0 AND template_id % 2 = 0)""",
+)
+def revision_changes(spark, sf):
+    """SCL-23: two revisions compared by the subtrees whose hashes differ."""
+    return template.revision_changes(revisions(spark, sf, False), revisions(spark, sf, True))

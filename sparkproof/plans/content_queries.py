@@ -295,18 +295,20 @@ def norm_subject(c):
 
 @query(
     "rul32_expected_links_market",
-    mail_sql("""SELECT l.version_id, l.pos, 'MAJEUR' AS severity, CASE WHEN l.norm_url = concat('shop.', m.host, '.cn/', l.text)
-        THEN concat('CTA "', lower(p.label), '" points to the CN link in a ', k.effective, ' mail', CASE WHEN k.explicit IS NULL THEN ' (inferred market)' ELSE '' END)
-        ELSE concat('CTA "', lower(p.label), '" does not point to the URL planned for ', k.effective) END AS message, p.ww AS expected, l.href AS received
+    mail_sql("""SELECT l.version_id, l.pos, 'MAJEUR' AS severity, CASE WHEN l.norm_url = CASE k.effective WHEN 'CN' THEN p.want ELSE p.cn_want END
+        THEN concat('CTA "', lower(p.label), '" points to the ', CASE k.effective WHEN 'CN' THEN 'WW' ELSE 'CN' END, ' link in a ', k.effective, ' mail', CASE WHEN k.explicit IS NULL THEN ' (inferred market)' ELSE '' END)
+        ELSE concat('CTA "', lower(p.label), '" does not point to the URL planned for ', k.effective) END AS message, CASE k.effective WHEN 'CN' THEN p.cn ELSE p.ww END AS expected, l.href AS received
       FROM plan p JOIN mails m USING (version_id) JOIN mk k USING (version_id) JOIN normed l ON l.version_id = p.version_id AND lower(l.text) = lower(p.label)
-      WHERE l.kind IN ('statique', 'tracked') AND l.norm_url IS NOT NULL AND k.effective <> 'CN' AND l.norm_url <> p.want""",
+      WHERE l.kind IN ('statique', 'tracked') AND l.norm_url IS NOT NULL AND l.norm_url <> CASE k.effective WHEN 'CN' THEN p.cn_want ELSE p.want END""",
              names=True, more=KEY_CTES + "," + mq.NORM_CTE + "," + mq.MARKET_SQL + """, plan AS (
-      SELECT version_id, label, concat('https://', host, '/t', substring(label, 2)) AS ww, concat(host, '/t', substring(label, 2)) AS want
+      SELECT version_id, label, concat('https://', host, '/t', substring(label, 2)) AS ww, concat(host, '/t', substring(label, 2)) AS want,
+        concat('https://shop.', host, '.cn/', label) AS cn, concat('shop.', host, '.cn/', label) AS cn_want
       FROM (SELECT l.version_id, m.host, max(l.text) AS label FROM links l JOIN mails m USING (version_id)
         WHERE l.kind IN ('statique', 'tracked') AND regexp_matches(l.text, '^[a-z]{3,}$') GROUP BY 1, 2) x)"""),
 )
 def expected_links(spark, sf):
-    """A plan per mail: its last named CTA should lead to /t…; the CN link is shop.<host>.cn."""
+    """A plan per mail: its last named CTA should lead to /t…, in Chinese mails to shop.<host>.cn. Mails
+    without such a CTA have no plan."""
     rows = mq.facts(spark, sf).withColumn("detected_lang", F.upper("lang"))
     prepared = rules.prepare(rows)
     label = F.array_max(
@@ -316,7 +318,7 @@ def expected_links(spark, sf):
             ), lambda t: t.rlike("^[a-z]{3,}$"),
         )
     )
-    prepared = prepared.withColumn("_label", label).where("_label IS NOT NULL").where("effective_market <> 'CN'")
+    prepared = prepared.withColumn("_label", label)
     prepared = prepared.withColumn("campaign_id", F.col("version_id")).withColumn("grid_key", F.lit("EN"))
     host, lab = F.col("host"), F.col("_label")
     url = F.concat(F.lit("https://"), host, F.lit("/t"), F.substring(lab, 2, 200))
@@ -325,9 +327,14 @@ def expected_links(spark, sf):
         "campaign_id", F.lit(0).alias("link_ord"), F.lit("Hero").alias("block"),
         F.explode(F.create_map(F.lit("ww"), url, F.lit("CN"), cn)).alias("market", "url"),
     )
-    labels = prepared.select(
+    own = prepared.select(
         "campaign_id", F.lit(0).alias("link_ord"), F.lit("EN").alias("lang_key"), F.lower(lab).alias("label")
     )
+    named = prepared.select("campaign_id", F.lit(0).alias("link_ord"), F.lit("Hero").alias("block"))
+    blocks = prepared.select(
+        "campaign_id", F.lit(1).alias("block_ord"), F.lit("Hero").alias("block"), F.lit("FR").alias("lang_key"), F.lit("not sent").alias("value")
+    )
+    labels = content.planned_labels(named, own, blocks)
     out = content.expected_link_findings(prepared, content.expected_link_plans(links, labels))
     return out.select("version_id", "pos", "severity", "message", "expected", "received")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkproof.functions import text as X
 from sparkproof.functions import urls
-from sparkproof.operators import grid, intake, template
+from sparkproof.operators import grid, intake, reports, template
 from sparkproof.plans.registry import query
 from sparkproof.sources.bindings import bind, load, table
 from sparkproof.sources.documents import tsv_cells, with_content_hash
@@ -144,3 +144,34 @@ def chosen_extraction(spark, sf):
     out = intake.chosen_extraction(mails, extractions, grids)
     keys = F.array_join(F.array_sort(F.map_keys("fields")), ",")
     return out.select("mail_id", F.concat(F.col("fields")["promo_code"], F.lit(" "), keys).alias("chosen"))
+
+
+# Labels whose order by bytes and by language differ: case, accents, ligatures, and a label that begins another.
+SHOWN = ["École", "ecole", "école", "Ecole", "œuvre", "oeuf", "Œuf", "offre", "Zoo", "zoo", "Été", "étage", "Français", "Deutsch", "Español", "coté", "côte", "cote", "côté"]
+LABELLED = "SELECT o_custkey AS campaign_id, o_orderkey AS lang_id, CASE o_orderkey * 7 % 19 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(SHOWN)) + " END AS label FROM {orders}"
+
+
+@query(
+    "ord01_label_order",
+    f"""SELECT campaign_id, label, row_number() OVER (PARTITION BY campaign_id ORDER BY label COLLATE fr, encode(label)) AS position, count(*) AS n FROM ({LABELLED}) x GROUP BY campaign_id, label""",
+)
+def label_order(spark, sf):
+    """ORD-1: verdicts of a campaign in the order of their labels, in French."""
+    verdicts = bind(spark, sf, LABELLED).groupBy("campaign_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    return reports.in_label_order(verdicts).withColumn("position", F.col("position").cast("long"))
+
+
+URLS = """SELECT event_id, concat('https://Shop', user_id, '.example', CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/' ELSE concat('/a b'[1:2], '/', event_type, '//x') END,
+  CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '?' ELSE concat('?p=', user_id, '&q&', 'utm=é') END, CASE WHEN event_id % 5 = 0 THEN '#top?x=1' ELSE '' END) AS url FROM {events}""".replace("'/a b'[1:2]", "substring('/a b', 1, 2)")
+
+
+@query(
+    "scl18_url_tokens",
+    f"""WITH u AS (SELECT event_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS head, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path,
+        regexp_extract(url, '^https?://[^?#]+\\?([^#]*)', 1) AS query, regexp_matches(url, '^https?://[^?#]+\\?') AS has, regexp_extract(url, '(#.*)$', 1) AS hash FROM ({URLS}) x)
+      SELECT event_id, array_to_string([head] || list_transform(list_filter(string_split(path, '/')[2:], lambda x: true), lambda x: concat('/', x))
+        || CASE WHEN has THEN list_transform(string_split(query, '&'), lambda x, i: concat(CASE WHEN i = 1 THEN '?' ELSE '&' END, x)) ELSE [] END || CASE WHEN hash <> '' THEN [hash] ELSE [] END, ' ') AS tokens FROM u""",
+)
+def url_tokens(spark, sf):
+    """SCL-18: host, path segments, whole parameters and fragment."""
+    return bind(spark, sf, URLS).select("event_id", F.array_join(X.diff_tokens(F.col("url")), " ").alias("tokens"))

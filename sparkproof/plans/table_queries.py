@@ -118,3 +118,16 @@ def tailed(spark, sf):
     cursors = events.select("job_id", (F.col("job_id") % 5).alias("cursor")).distinct()
     jobs.tail_jobs(jobs.read_stream(spark, src, log.schema), cursors, out, folder(spark, "state")).awaitTermination()
     return spark.read.parquet(out).select("job_id", "seq", "type", "payload")
+
+
+ODD_CELLS = """SELECT workbook, sheet, row, col, concat(text, CASE WHEN col = 1 THEN concat(chr(10), ' "q", ', chr(9)) ELSE '' END) AS text, link FROM {grid_cells} g
+  UNION ALL SELECT workbook, CASE workbook % 3 WHEN 0 THEN 'Brief' END, CASE workbook % 3 WHEN 1 THEN 4 END, CASE workbook % 3 WHEN 0 THEN -1 ELSE 0 END, 'lost', NULL FROM {grid_parts} p WHERE k = 0"""
+
+
+@query("src05_cells_scan", f"""SELECT *, sheet IS NOT NULL AND row IS NOT NULL AND row >= 0 AND col >= 0 AS usable FROM ({ODD_CELLS}) x""")
+def scanned_cells(spark, sf):
+    """SRC-5: workbooks written as text and read back, line ends and quotes inside cells included."""
+    path = folder(spark, "cells")
+    documents.write_cells(bind(spark, sf, ODD_CELLS), path)
+    cells, unusable = documents.read_cells(spark, path, "csv")
+    return cells.withColumn("usable", F.lit(True)).unionByName(unusable.withColumn("usable", F.lit(False)))

@@ -92,6 +92,30 @@ def label_versions(mails: DataFrame, held: DataFrame) -> DataFrame:
     ).drop("n", "_rank")
 
 
+UNTRIMMED = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: SRC-5: a workbook's cells; rows and columns are counted from 0.
+CELLS = "workbook long, sheet string, row int, col int, text string, link string"
+
+
+def read_cells(spark: SparkSession, path: str, kind: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """SRC-5: cells of brief workbooks as the grid operators read them, and rows that name no cell.
+
+    `kind` is parquet or csv (with a header, every cell quoted, \\N for null). Text keeps its line ends. A
+    row without workbook, sheet, row or column, or with a negative one, comes back in the second table."""
+    if kind == "csv":
+        rows = spark.read.schema(CELLS).options(**UNTRIMMED, header=True, multiLine=True, quote='"', escape='"', nullValue="\\N", emptyValue="").csv(path)
+    else:
+        rows = spark.read.schema(CELLS).parquet(path)
+    names = F.col("workbook").isNotNull() & F.col("sheet").isNotNull() & F.coalesce((F.col("row") >= 0) & (F.col("col") >= 0), F.lit(False))
+    return rows.where(names), rows.where(~names)
+
+
+def write_cells(cells: DataFrame, path: str) -> None:
+    """Cells as the CSV that `read_cells` reads."""
+    wanted = cells.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(CELLS)])
+    wanted.write.options(**UNTRIMMED, header=True, quoteAll=True, quote='"', escape='"', nullValue="\\N", emptyValue="").csv(path)
+
+
 TSV_ROWS = (
     # A cell is quoted (with doubled quotes inside) or runs to the next tab or line end.
     r"(?s)(?:\"((?:[^\"]|\"\")*)\"([^\t\r\n]*)|([^\t\r\n]*))(\t|\r\n|\r|\n|$)"
