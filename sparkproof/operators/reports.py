@@ -12,6 +12,7 @@ from sparkproof.functions.text import strip_control_chars
 from sparkproof.operators.dedup import is_blocking
 from sparkproof.operators.findings import nonempty, text
 from sparkproof.operators.skew import latest, rank_in_group
+from sparkproof.sources.tables import kept
 
 VERDICT_RANK = {"GO": 1, "GO_AVEC_RESERVES": 2, "NO_GO": 3}
 
@@ -121,19 +122,19 @@ def language_report(
     rows = versions.select(
         "version_id", "campaign_id", canon_lang(F.col("language")).alias("canon")
     ).join(own, "version_id", "left")
-    joined = buckets.join(rows, ["campaign_id", "canon"], "left")
-    shown = F.max_by(
-        "report_id", F.when(
-            F.col("report_id").isNotNull(),
-            F.struct(is_blocking(F.col("verdict")), "created_at", "report_id"),
-        )
-    )
-    return joined.groupBy("campaign_id", "sig").agg(
+    # Versions come together by language first, with map-side combine, so that the join sees one row of each
+    # however many versions a campaign has in it.
+    counters = ("critiques", "majeurs", "mineurs", "total")
+    shown = F.when(F.col("report_id").isNotNull(), F.struct(is_blocking(F.col("verdict")).alias("blocking"), "created_at", "report_id"))
+    by_language = rows.groupBy("campaign_id", "canon").agg(
+        F.max(verdict_rank(F.col("verdict"))).alias("rank"), *[F.sum(c).alias(c) for c in counters], F.max(shown).alias("shown")
+    )
+    return buckets.join(by_language, ["campaign_id", "canon"], "left").groupBy("campaign_id", "sig").agg(
         F.first("lang").alias("lang"),
         display_lang(F.get(F.first("canons"), 0)).alias("label"),
-        verdict_name(F.max(verdict_rank(F.col("verdict")))).alias("verdict"),
-        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("critiques", "majeurs", "mineurs", "total")],
-        shown.alias("report_id"),
+        verdict_name(F.max("rank")).alias("verdict"),
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counters],
+        F.max("shown")["report_id"].alias("report_id"),
     ).drop("sig")
 
 
@@ -354,12 +355,13 @@ def version_changes(findings: DataFrame, versions: DataFrame) -> DataFrame:
 
     `findings` has version_id and a dedup key. A version's predecessor is the next lower number that its
     campaign has; numbers may have gaps. Versions without findings have a row of zeros or of what they
-    have fixed. Versions are numbered by ranges, so no campaign needs one task."""
-    known = rank_in_group(versions.select("campaign_id", "version_no").distinct(), ["campaign_id"], "version_no", [])
+    have fixed. Versions are numbered by ranges, so no campaign needs one task. Versions with their ranks and
+    the findings of each are written once, as both are read twice."""
+    distinct = kept(versions.select("campaign_id", "version_no").distinct(), "versions")
+    known = kept(rank_in_group(distinct, ["campaign_id"], "version_no", []), "ranked-versions")
     placed = versions.select("version_id", "campaign_id", "version_no").join(known, ["campaign_id", "version_no"])
-    now = findings.join(placed, "version_id").select(
-        "campaign_id", "rank", "dedup_key", F.lit(1).alias("here")
-    ).distinct()
+    now = kept(findings.join(placed, "version_id").select("campaign_id", "rank", "dedup_key").distinct(), "version-findings")
+    now = now.withColumn("here", F.lit(1))
     before = now.select("campaign_id", (F.col("rank") + 1).alias("rank"), "dedup_key", F.lit(1).alias("there"))
     both = now.join(before, ["campaign_id", "rank", "dedup_key"], "full")
     counts = both.groupBy("campaign_id", "rank").agg(
