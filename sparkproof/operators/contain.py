@@ -1,60 +1,76 @@
-"""JOIN-4: which copy blocks occur inside which texts, without comparing every pair.
+"""JOIN-4: which copy blocks occur inside which texts, in one pass over the texts.
 
-If a text contains a block, it contains all inner words of the block (the outer two may be cut). So
-each block is looked up by one run of three inner words: the one that fewest texts have. Blocks too
-short for that are looked up by their rarest three characters. Every candidate is then verified."""
+The blocks' distinct texts are the patterns of an automaton, which finds all of them in one scan of a
+text, however many there are and wherever they overlap. Patterns are taken in parts of bounded size: each
+part is sent to the workers once and every text is scanned for it once, in Arrow batches. What is found
+is exact, so nothing is verified afterwards, and the texts are never shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkproof.operators.skew import skew_join, spread
+from sparkproof.operators.skew import spread
+from sparkproof.sources.tables import kept
+
+#: Blocks shorter than this match nothing.
+LEAST = 3
+#: Bytes of patterns in a part, which the driver sends on at once; a longer pattern is a part of its own.
+PART_BYTES = 8_000_000
 
-RUN = 3
 
+def searcher(held: object) -> Callable:
+    """Rows (text_id, number) for each pattern that a text contains."""
 
-WORD_RUN = "(?<![^ ])(?=([^ ]+ [^ ]+ [^ ]+)(?: |$))"
-CHAR_RUN = "(?s)(?=(...))"
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
 
+        automaton = ahocorasick.Automaton()
+        for number, pattern in held.value:
+            automaton.add_word(pattern, number)
+        automaton.make_automaton()
+        for batch in batches:
+            at, numbers = [], []
+            for i, text in enumerate(batch.column("text")):
+                if text.is_valid:
+                    found = {number for _, number in automaton.iter(text.as_py())}
+                    at += [i] * len(found)
+                    numbers += found
+            ids = batch.column("text_id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(numbers, pa.int64())], names=["text_id", "number"])
 
-def _runs(text: Column, pattern: str) -> Column:
-    """Distinct hashes of all overlapping runs; one linear scan of the text."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))
-    return F.transform(found, lambda r: F.xxhash64(r))
+    return search
 
 
-def _lookup(blocks: DataFrame, texts: DataFrame, block_keys: Column, text_keys: Column) -> DataFrame:
-    """Candidate (block_id, text_id) pairs by the rarest key of each block."""
-    wanted = blocks.select("block_id", F.size(block_keys).alias("n_keys"), F.explode(block_keys).alias("key"))
-    rows = texts.select("text_id", F.explode(text_keys).alias("key"))
-    relevant = skew_join(rows, wanted.select("key").distinct(), ["key"], "left_semi")
-    frequency = relevant.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    anchors = wanted.join(frequency, "key").groupBy("block_id").agg(
-        F.min_by("key", F.struct("n", "key")).alias("key"),
-        F.count(F.lit(1)).alias("n_found"),
-        F.max("n_keys").alias("n_keys"),
-    ).where("n_found = n_keys").select("block_id", "key")
-    return skew_join(relevant, anchors, ["key"], "inner").select("block_id", "text_id")
+def parts_of(patterns: DataFrame, most: int) -> int:
+    """Number of parts in which patterns (block) are sent, of about so many bytes each."""
+    size = patterns.agg(F.sum(F.octet_length("block"))).first()[0] or 0
+    return max(-(-size // most), 1) if size else 0
 
 
-def blocks_in_texts(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+def blocks_in_texts(blocks: DataFrame, texts: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Pairs where `text` of texts (text_id, text) contains `block` of blocks (block_id, block).
 
-    Both are normalised; blocks below three characters match nothing (as in the reference)."""
-    texts, blocks = spread(texts), spread(blocks)
-    words = F.split("block", " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    usable = blocks.where(F.length("block") >= RUN)
-    long_blocks = usable.where(F.size(words) >= RUN + 2)
-    short_blocks = usable.where(F.size(words) < RUN + 2)
-    by_words = _lookup(
-        long_blocks, texts, _runs(F.array_join(inner, " "), WORD_RUN), _runs(F.col("text"), WORD_RUN)
-    )
-    by_chars = _lookup(
-        short_blocks, texts, _runs(F.col("block"), CHAR_RUN), _runs(F.col("text"), CHAR_RUN)
-    )
-    pairs = by_words.unionByName(by_chars)
-    checked = skew_join(pairs, texts.select("text_id", "text"), ["text_id"])
-    checked = skew_join(checked, usable.select("block_id", "block"), ["block_id"])
-    return checked.where(F.contains("text", F.col("block"))).select("block_id", "text_id")
+    Both are normalised; blocks below three characters match nothing, null texts
+    hold nothing. Repeated rows of either side give their pairs once for each."""
+    usable = blocks.where(F.length("block") >= LEAST)
+    patterns = kept(usable.select("block").distinct().withColumn("number", F.monotonically_increasing_id()), "patterns")
+    texts = spread(texts.select("text_id", "text"))
+    parts = parts_of(patterns, part_bytes)
+    kind = texts.select("text_id").schema.add("number", "long")
+    found = []
+    for part in range(parts):
+        rows = patterns.where(F.pmod(F.xxhash64("block"), F.lit(parts)) == part).collect()
+        if rows:
+            held = texts.sparkSession.sparkContext.broadcast([(r["number"], r["block"]) for r in rows])
+            found.append(texts.mapInArrow(searcher(held), kind))
+    if not found:
+        return usable.select("block_id").join(texts.select("text_id"), F.lit(False))
+    pairs = reduce(DataFrame.unionByName, found)
+    named = usable.select("block_id", "block").join(patterns, "block").select("block_id", "number")
+    return pairs.join(named, "number").select("block_id", "text_id")

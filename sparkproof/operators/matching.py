@@ -21,8 +21,8 @@ def _overlaps(left: DataFrame, right: DataFrame, out: str) -> DataFrame:
 
     Texts are first reduced to distinct token lists (many mails repeat a subject, many campaigns a
     name), the tokens of these few lists are joined, and the pairs are spread to ids afterwards."""
-    l_sets = left.select("tokens").distinct().withColumn("l_key", F.xxhash64("tokens"))
-    r_sets = right.select("tokens").distinct().withColumn("r_key", F.xxhash64("tokens"))
+    l_sets = left.select("tokens").distinct().withColumn("l_key", F.array_join("tokens", " "))
+    r_sets = right.select("tokens").distinct().withColumn("r_key", F.array_join("tokens", " "))
     l_tok = l_sets.select("l_key", F.size("tokens").alias("ln"), F.explode("tokens").alias("t"))
     r_tok = r_sets.select("r_key", F.size("tokens").alias("rn"), F.explode("tokens").alias("t"))
     shared = skew_join(l_tok, r_tok, ["t"]).groupBy("l_key", "r_key").agg(
@@ -46,8 +46,8 @@ def match_by_score(mails: DataFrame, mail_utms: DataFrame, campaigns: DataFrame)
     # Campaigns that score alike for every mail: the lowest id stands for them.
     profile = ["name_tokens", "subject_tokens", "want", "awaited"]
     kinds = open_.groupBy(*profile).agg(F.min("campaign_id").alias("campaign_id"))
-    kinds = kinds.withColumn("name_key", F.xxhash64("name_tokens")).withColumn(
-        "subject_key", F.xxhash64("subject_tokens")
+    kinds = kinds.withColumn("name_key", F.array_join("name_tokens", " ")).withColumn(
+        "subject_key", F.array_join("subject_tokens", " ")
     )
     by_utm = mail_utms.select("mail_id", norm_tokens(F.col("utm")).alias("u")).where("u <> ''").groupBy(
         "mail_id"
@@ -57,8 +57,8 @@ def match_by_score(mails: DataFrame, mail_utms: DataFrame, campaigns: DataFrame)
     ).withColumn("utms", F.coalesce("utms", F.array().cast("array<string>")))
     # Mails with the same words and values have the same best campaign.
     mail_kinds = texts.select("tokens", "utms").distinct().withColumn(
-        "m_key", F.xxhash64("tokens", "utms")
-    ).withColumn("s_key", F.xxhash64("tokens"))
+        "m_key", F.to_json(F.struct("tokens", "utms"))
+    ).withColumn("s_key", F.array_join("tokens", " "))
     m_sub = mail_kinds.select("tokens")
     names = kinds.select(F.col("name_tokens").alias("tokens"))
     subjects = kinds.select(F.col("subject_tokens").alias("tokens"))
@@ -67,7 +67,7 @@ def match_by_score(mails: DataFrame, mail_utms: DataFrame, campaigns: DataFrame)
     utm_rows = mail_kinds.select("m_key", F.explode("utms").alias("u"))
     utm_tokens = utm_rows.select("u").distinct().withColumn("tokens", token_set(F.col("u"), 3))
     utm_name = _overlaps(utm_tokens, names, "overlap").where("overlap > 0.5")
-    u_keys = utm_tokens.withColumn("l_key", F.xxhash64("tokens")).select("u", "l_key")
+    u_keys = utm_tokens.withColumn("l_key", F.array_join("tokens", " ")).select("u", "l_key")
     exact = utm_rows.join(kinds.where("want <> ''").select("campaign_id", F.col("want").alias("u")), "u").select(
         "m_key", "campaign_id", "u", F.lit(0.6).alias("part")
     )
@@ -88,7 +88,7 @@ def match_by_score(mails: DataFrame, mail_utms: DataFrame, campaigns: DataFrame)
     best = scored.groupBy("m_key").agg(
         F.max_by(F.struct("campaign_id", "score"), F.struct("score", -F.col("campaign_id"))).alias("b")
     ).where(F.col("b.score") >= MIN_SCORE)
-    return texts.withColumn("m_key", F.xxhash64("tokens", "utms")).join(best, "m_key").select(
+    return texts.withColumn("m_key", F.to_json(F.struct("tokens", "utms"))).join(best, "m_key").select(
         "mail_id", "b.campaign_id", F.least("b.score", F.lit(1.0)).alias("score"),
         (F.col("b.score") >= AUTO_THRESHOLD).alias("confirmed"),
     )
@@ -110,7 +110,7 @@ def match_by_tokens(mails: DataFrame, campaigns: DataFrame) -> DataFrame:
                 significant_tokens(F.coalesce("sender", F.lit(""))),
             )
         ).alias("tokens"),
-    ).withColumn("m_key", F.xxhash64("tokens"))
+    ).withColumn("m_key", F.array_join("tokens", " "))
     words = campaigns.select(
         "campaign_id",
         F.array_sort(
