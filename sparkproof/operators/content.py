@@ -16,6 +16,7 @@ from sparkproof.functions.urls import normalize_url
 from sparkproof.operators.findings import finding, nonempty, text
 from sparkproof.operators.settings import setting
 from sparkproof.operators.skew import skew_join
+from sparkproof.sources.tables import kept
 
 LANG_LIKE = r"^[A-Za-z]{2,3}([-_ ]+[A-Za-z]{2,3})?$"
 SEPARATOR = " \n "
@@ -221,7 +222,9 @@ def block_outcomes(mails: DataFrame, blocks: DataFrame) -> DataFrame:
     """RUL-31: one outcome per mail and block group, from `mail_texts` and `block_table`.
 
     A mail meets the blocks of its own brief only. The mail text is read while the join streams and
-    dropped before the next shuffle, which carries a few short columns per block."""
+    dropped before the next shuffle, which carries a few short columns per block. Mail texts are written
+    once, as they are parsed from HTML and needed again for blocks that are nowhere."""
+    mails = kept(mails, "mail-texts")
     joined = skew_join(mails.drop("originals"), blocks, ["campaign_id"], "inner")
     key = F.col("grid_key")
     own = F.get(F.filter("cells", lambda c: c["lang_key"] == key), 0)
