@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,5 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
+def package_zip(folder: str) -> str:
+    """The package as one archive that Python imports from."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(folder, "sparkproof.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(at, name)
+                out.write(full, os.path.join("sparkproof", os.path.relpath(full, root)))
+    return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors, for clusters on which it isn't installed. The driver serves the
+    archive; executors that join later get it too."""
+    spark.sparkContext.addPyFile(package_zip(tempfile.mkdtemp(prefix="sparkproof-")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -9,7 +9,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["agg01_finding_dedup", "agg06_kpis", "grid10_activated_languages", "res02_validate_overrides",
-         "join10_match_by_tokens", "win04_version_numbering", "rul11_malformed_url"]
+         "join10_match_by_tokens", "win04_version_numbering", "rul11_malformed_url", "grid12_applied_plans",
+         "res01_typed_settings", "scl23_revision_changes", "ord01_label_order", "src05_cells_scan",
+         "snk01_compacted_documents", "rul47_no_cta"]
 
 
 @pytest.mark.parametrize("name", NAMES)
