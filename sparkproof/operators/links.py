@@ -69,12 +69,12 @@ def classify_probes(probe_log: DataFrame) -> DataFrame:
         F.when(F.col("private"), "private host blocked")
         .when(F.col("unsub").isNotNull(), "redirects to an unsubscribe link")
         .when(error == "timeout", "timeout")
-        .when(error.isNotNull(), F.concat(F.lit("network: "), F.left(error, F.lit(100))))
+        .when(error.isNotNull(), F.concat(F.lit("network: "), error))
         .when(too_many, "too many redirects")
         .when(s.between(300, 399), "redirect without a Location header")
         .when(
             s.between(200, 299) & title.rlike(urls.SOFT_404),
-            F.concat(F.lit('possible soft-404 (title: "'), F.left(F.trim(title), F.lit(60)), F.lit('")')),
+            F.concat(F.lit('possible soft-404 (title: "'), F.trim(title), F.lit('")')),
         )
         .when(s.between(200, 299), F.lit(None))
         .when(s.isin(*BLOCKED), "blocked by anti-bot protection")

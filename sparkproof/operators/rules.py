@@ -707,7 +707,7 @@ def utm_source(m: Mail):
             "utm-source-salesforce", "tracking", "MAJEUR",
             text("Campaign name in the links differs from the brief (", F.size(bad), " links)",
                  F.when(renamed, F.lit(" — probable rename")).otherwise("")),
-            text("Brief: ", name, " — links: ", F.array_join(F.slice(distinct, 1, 2), ", ")),
+            text("Brief: ", name, " — links: ", F.array_join(distinct, ", ")),
             "liens", None, name, F.get(distinct, 0),
         )
         return (

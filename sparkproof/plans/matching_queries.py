@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from sparkproof.operators import matching
 from sparkproof.plans.registry import query
+from sparkproof.plans.table_queries import folder
 from sparkproof.sources.bindings import RELATIONS, bind, load, table
+from sparkproof.streaming import jobs
 
 # Inbox: orders as mails whose subject names a part; campaigns: parts.
 RELATIONS["match_mails"] = """
@@ -34,15 +36,18 @@ def overlap(a: str, b: str) -> str:
 NT = "trim(regexp_replace(regexp_replace(strip_accents(lower({})), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-@query(
-    "join09_match_by_score",
-    f"""WITH m AS (SELECT *, {toks('subject', 3)} AS st, {NT.format('utm')} AS u, {toks("coalesce(utm, '')", 3)} AS ut FROM {{match_mails}} x),
+MATCHED = f"""WITH m AS (SELECT *, {toks('subject', 3)} AS st, {NT.format('utm')} AS u, {toks("coalesce(utm, '')", 3)} AS ut FROM {{match_mails}} x),
       mk AS (SELECT DISTINCT st, u, ut FROM m),
       c AS (SELECT *, {toks('name', 3)} AS nt, {toks("coalesce(subject, '')", 3)} AS ct, {NT.format('utm')} AS cu FROM {{match_campaigns}} y WHERE status <> 'ENVOYE'),
       ck AS (SELECT nt, ct, cu, status IN ('EMAIL_ATTENDU', 'CORRECTIONS') AS awaited, min(campaign_id) AS campaign_id FROM c GROUP BY ALL),
       s AS (SELECT st, u, campaign_id, round(CASE WHEN u IS NULL OR u = '' THEN 0 WHEN u = cu THEN 0.6 WHEN {overlap('ut', 'nt')} > 0.5 THEN 0.4 ELSE 0 END
         + 0.4 * {overlap('st', 'ct')} + 0.3 * {overlap('st', 'nt')} + CASE WHEN awaited THEN 0.1 ELSE 0 END, 6) AS score FROM mk, ck),
-      b AS (SELECT st, u, max_by(campaign_id, {{'s': score, 'c': -campaign_id}}) AS campaign_id, max(score) AS score FROM s GROUP BY 1, 2)
+      b AS (SELECT st, u, max_by(campaign_id, {{'s': score, 'c': -campaign_id}}) AS campaign_id, max(score) AS score FROM s GROUP BY 1, 2)"""
+
+
+@query(
+    "join09_match_by_score",
+    MATCHED + """
       SELECT mail_id, campaign_id, CAST(least(score, 1.0) AS DOUBLE) AS score, score >= 0.6 AS confirmed FROM m JOIN b ON b.st = m.st AND b.u IS NOT DISTINCT FROM m.u WHERE score >= 0.25""",
 )
 def match_by_score(spark, sf):
@@ -51,6 +56,25 @@ def match_by_score(spark, sf):
     return matching.match_by_score(mails, utms, load(spark, sf, "match_campaigns"))
 
 
+@query(
+    "str02_attach_stream",
+    MATCHED + """
+      SELECT mail_id, CASE WHEN mail_id % 5 = 0 THEN mail_id % 7 WHEN score >= 0.6 THEN campaign_id END AS campaign_id, CASE WHEN mail_id % 5 <> 0 AND score < 0.6 THEN campaign_id END AS proposed_id
+      FROM m LEFT JOIN b ON b.st = m.st AND b.u IS NOT DISTINCT FROM m.u AND score >= 0.25""",
+)
+def attach_stream(spark, sf):
+    """STR-2: mails arrive in two batches; every fifth has a campaign already."""
+    mails = load(spark, sf, "match_mails").select(
+        "mail_id", "subject", F.when(F.col("utm").isNotNull(), F.array("utm")).alias("utms"),
+        F.when(F.col("mail_id") % 5 == 0, F.col("mail_id") % 7).alias("campaign_id"),
+    )
+    src, out = folder(spark, "arrivals"), folder(spark, "attached")
+    mails.repartition(2, "mail_id").write.parquet(src)
+    campaigns = load(spark, sf, "match_campaigns")
+    jobs.attach_inbox(jobs.read_stream(spark, src, mails.schema), campaigns, out, folder(spark, "state")).awaitTermination()
+    return spark.read.parquet(out).select("mail_id", "campaign_id", "proposed_id")
+
+
 STOP = ", ".join(f"'{w}'" for w in matching.STOPWORDS)
 
 
