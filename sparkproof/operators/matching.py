@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkproof.functions.text import norm_tokens, token_set
@@ -98,7 +98,50 @@ def significant_tokens(c):
     return F.array_except(token_set(c, 3), F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
-def match_by_tokens(mails: DataFrame, campaigns: DataFrame) -> DataFrame:
+#: A word that more campaigns have than this is matched by classes of campaigns instead of pairs.
+HOT_WORD = 1000
+
+
+def weight(t) -> Column:
+    return F.when(F.length(t) >= 5, 2).otherwise(1)
+
+
+def token_candidates(m_tok: DataFrame, c_tok: DataFrame, hot: int) -> DataFrame:
+    """Rows (m_key, campaign_id, score, ratio) among which is the best campaign of each word list.
+
+    m_tok (m_key, t), c_tok (campaign_id, n, t), each word of a list once. Pairs are built for words that few
+    campaigns have. Of campaigns that share only frequent words with a mail, all with the same frequent
+    words score alike but for their length and id: the shortest with the lowest id stands for its class, and
+    classes meet classes. So a word in every name costs its classes and not its pairs."""
+    frequent = c_tok.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("t", F.lit(True).alias("hot"))
+    c_all, m_all = skew_join(c_tok, frequent, ["t"], "left"), skew_join(m_tok, frequent, ["t"], "left")
+    hots = F.array_sort(F.collect_list("t")).alias("hots")
+    c_hot = c_all.where("hot").groupBy("campaign_id").agg(hots, F.first("n").alias("n"))
+    m_hot = m_all.where("hot").groupBy("m_key").agg(hots)
+    rare = skew_join(m_all.where("hot IS NULL").drop("hot"), c_all.where("hot IS NULL").drop("hot"), ["t"]).groupBy("m_key", "campaign_id").agg(
+        F.sum(weight("t")).alias("points"), F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")
+    )
+    none = F.array().cast("array<string>")
+
+    def scored(df: DataFrame, mine: str, theirs: str) -> DataFrame:
+        both = F.array_intersect(F.coalesce(mine, none), F.coalesce(theirs, none))
+        points = F.aggregate(both, F.lit(0).cast("long"), lambda a, t: a + weight(t))
+        return df.withColumn("score", F.col("points") + points).withColumn("ratio", (F.col("shared") + F.size(both)) / F.col("n"))
+
+    mine, theirs = m_hot.withColumnRenamed("hots", "mine"), c_hot.select("campaign_id", F.col("hots").alias("theirs"))
+    near = scored(rare.join(mine, "m_key", "left").join(theirs, "campaign_id", "left"), "mine", "theirs")
+    classes = c_hot.groupBy(F.col("hots").alias("theirs")).agg(F.min(F.struct("n", "campaign_id")).alias("c")).select("theirs", "c.*")
+    kinds = mine.select("mine").distinct()
+    met = kinds.select("mine", F.explode("mine").alias("t")).join(classes.select("theirs", F.explode("theirs").alias("t")), "t").select("mine", "theirs").distinct()
+    nothing = {"points": F.lit(0).cast("long"), "shared": F.lit(0).cast("long")}
+    by_class = scored(met.join(classes, "theirs").withColumns(nothing), "mine", "theirs").groupBy("mine").agg(
+        F.max_by(F.struct("campaign_id", "score", "ratio"), F.struct("score", "ratio", -F.col("campaign_id"))).alias("b")
+    )
+    columns = ["m_key", "campaign_id", "score", "ratio"]
+    return near.select(columns).unionByName(mine.join(by_class, "mine").select("m_key", "b.*").select(columns))
+
+
+def match_by_tokens(mails: DataFrame, campaigns: DataFrame, hot: int = HOT_WORD) -> DataFrame:
     """JOIN-10: best campaign by significant words (long ones count twice), with a confidence.
 
     mails (mail_id, subject, sender), campaigns (campaign_id, name, brand)."""
@@ -123,11 +166,7 @@ def match_by_tokens(mails: DataFrame, campaigns: DataFrame) -> DataFrame:
     kinds = words.groupBy("tokens").agg(F.min("campaign_id").alias("campaign_id"))
     c_tok = kinds.select("campaign_id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     m_tok = texts.select("m_key", "tokens").distinct().select("m_key", F.explode("tokens").alias("t"))
-    scored = skew_join(m_tok, c_tok, ["t"]).groupBy("m_key", "campaign_id").agg(
-        F.sum(F.when(F.length("t") >= 5, 2).otherwise(1)).alias("score"),
-        (F.count(F.lit(1)) / F.first("n")).alias("ratio"),
-    )
-    best = scored.groupBy("m_key").agg(
+    best = token_candidates(m_tok, c_tok, hot).groupBy("m_key").agg(
         F.max_by(F.struct("campaign_id", "score", "ratio"), F.struct("score", "ratio", -F.col("campaign_id"))).alias("b")
     ).where("b.score >= 2")
     confidence = (
