@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkproof.operators import matching
 from sparkproof.plans.registry import query
-from sparkproof.plans.table_queries import folder
+from sparkproof.session import new_folder as folder
 from sparkproof.sources.bindings import RELATIONS, bind, load, table
 from sparkproof.streaming import jobs
 

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sparkproof.operators.skew import rank_in_group
+from sparkproof.plans import grid_queries  # noqa: F401  (its cells are read here)
 from sparkproof.plans.registry import query
-from sparkproof.session import shared_dir
+from sparkproof.session import new_folder as folder
 from sparkproof.sources import documents, tables
 from sparkproof.sources.bindings import bind, table
 from sparkproof.streaming import jobs
 
 
-def folder(spark, name: str) -> str:
-    """A new folder in the place that all executors share."""
-    return f"{shared_dir(spark).rstrip('/')}/sparkproof-{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "snk01_compacted_documents",
     "SELECT user_id AS id, max(event_id) AS updated_at, max_by(event_type, event_id) AS body FROM events GROUP BY 1",

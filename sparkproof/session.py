@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a new folder in the place that all executors see."""
+    return f"{shared_dir(spark).rstrip('/')}/sparkproof-{name}-{uuid.uuid4().hex}"
+
+
 def package_zip(folder: str) -> str:
     """The package as one archive that Python imports from."""
     root = os.path.dirname(os.path.abspath(__file__))

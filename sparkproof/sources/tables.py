@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkproof.operators.skew import latest
-from sparkproof.session import shared_dir
+from sparkproof.session import new_folder
 
 BUCKETS = 64
 
@@ -86,7 +86,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """A table that several branches of a plan read: written once to the shared folder and read back, so it
     is computed once and a lost executor costs a task."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sparkproof-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
