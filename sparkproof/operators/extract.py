@@ -112,9 +112,10 @@ def has_unsubscribe(links: Column, context: Column) -> Column:
     return direct | context
 
 
-def with_facts(mails: DataFrame) -> DataFrame:
-    """Add `facts` to rows with `html` and, if present, `name`."""
-    parsed = spread(mails).withColumn("_raw", raw_facts(F.col("html")))
+def with_facts(mails: DataFrame, bare: bool = True) -> DataFrame:
+    """Add `facts` to rows with `html` and, if present, `name`. Unless `bare`, references without their
+    semicolon are text."""
+    parsed = spread(mails).withColumn("_raw", raw_facts(F.col("html"), bare))
     raw = F.col("_raw")
     name = F.col("name") if "name" in mails.columns else F.lit(None).cast("string")
     linked = parsed.withColumn("_links", described_links(raw["links"]))

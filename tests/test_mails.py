@@ -28,6 +28,23 @@ def test_reader_nesting():
     assert read_facts(None, lambda t: False)["links"] == []
 
 
+def test_bare_references():
+    html = ('<title>A &amp; B &amp</title><p>x &copy; y &copy 1 &#39;z&#39 &nosuch;</p><a href="/u?a=1&amp;b&copy">t &lt;&lt</a>'
+            "<!--[if mso]><a href='#'>m &amp</a><![endif]-->")
+    f, h = read_facts(html, lambda t: False, bare=False), read_facts(html, lambda t: False)
+    assert f["title"] == "A & B &amp" and f["texts"] == ["x © y &copy 1 'z&#39 &nosuch;"]
+    assert [(x["href"], x["text"]) for x in f["links"]] == [("/u?a=1&b&copy", "t <&lt"), ("#", "m &amp")]
+    assert h["title"] == "A & B &" and h["texts"] == ["x © y © 1 'z' &nosuch;"] and h["links"][0]["text"] == "t <<"
+
+
+def test_query_reads_whole_references(spark, tmp_path):
+    from sparkproof.plans import load_all
+
+    html = '<html lang="en"><title>Cut off &amp</title><body></body></html>'
+    spark.createDataFrame([(1, "http://a.example/x", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert load_all().QUERIES["ext10_subject_fallback"](spark, str(tmp_path)).first()["subject"] == "Cut off &amp"
+
+
 def test_facts_row(spark):
     row = extract.with_facts(spark.createDataFrame([(1, HTML, None)], "version_id int, html string, name string")).first()
     f = row["facts"]
