@@ -118,17 +118,48 @@ def bigrams(c: Column) -> Column:
 COPY_MARK = "\x01"
 
 
-def numbered(grams: Column) -> Column:
-    """Multiset as a set: the n-th copy of a gram is tagged n, so set intersection counts copies."""
+def numbered(items: Column) -> Column:
+    """Multiset as a set: the n-th copy of an item is tagged n, so set intersection counts copies.
+
+    The first copy's place in the sorted array is found by bisection, as one scan for each item takes the
+    square of their number."""
+    halves = F.transform(
+        F.sequence(F.length(F.bin(F.size(items))) - 1, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int")
+    )
+
+    def first(ordered: Column, steps: Column, item: Column) -> Column:
+        return F.aggregate(
+            steps, F.lit(0), lambda at, s: at + F.when(F.get(ordered, at + s - 1) < item, s).otherwise(F.lit(0))
+        )
+
     return let(
-        F.array_sort(grams),
-        lambda ordered: F.transform(
-            ordered,
-            lambda g, i: F.concat(g, F.lit(COPY_MARK), (i + 1 - F.array_position(ordered, g)).cast("string")),
+        F.array_sort(items),
+        lambda ordered: let(
+            halves,
+            lambda steps: F.transform(
+                ordered,
+                lambda x, i: F.concat(x, F.lit(COPY_MARK), (i - first(ordered, steps, x)).cast("string")),
+            ),
         ),
     )
 
 
+def numbered_bigrams(c: Column) -> Column:
+    """`numbered(bigrams(c))` in one scan of the sorted pairs: equal ones stand in one run."""
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(bigrams(c)), ""), F.lit(r"(?s)(..)\1*"), 0)
+
+    def copies(run: Column) -> Column:
+        return let(
+            F.substring(run, 1, 2),
+            lambda gram: F.transform(
+                F.sequence(F.lit(0), (F.length(run) / 2).cast("int") - 1),
+                lambda n: F.concat(gram, F.lit(COPY_MARK), n.cast("string")),
+            ),
+        )
+
+    return F.flatten(F.transform(runs, copies))
+
+
 def dice_of_numbered(a: Column, na: Column, b: Column, nb: Column) -> Column:
     total = F.size(na) + F.size(nb)
     shared = F.size(F.array_intersect(na, nb))
@@ -141,7 +172,9 @@ def dice_of_numbered(a: Column, na: Column, b: Column, nb: Column) -> Column:
 
 def dice_similarity(a: Column, b: Column) -> Column:
     """SIM-1: Dice coefficient over the bigram multisets of two texts."""
-    return dice_of_numbered(a, numbered(bigrams(a)), b, numbered(bigrams(b)))
+    return let(
+        numbered_bigrams(a), lambda na: let(numbered_bigrams(b), lambda nb: dice_of_numbered(a, na, b, nb))
+    )
 
 
 PERSONAL_SLOT = r"\[[^\]]{2,40}\]|%%[^%]{1,40}%%|\{\{[^}]{1,40}\}\}"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkproof.functions.languages import canon_lang, grid_key_for
 from sparkproof.functions.text import (
-    bigrams, dice_of_numbered, let, norm_detect, norm_text, numbered, personalization_pattern,
+    dice_of_numbered, let, norm_detect, norm_text, numbered_bigrams, personalization_pattern,
 )
 from sparkproof.functions.urls import normalize_url
 from sparkproof.operators.findings import finding, nonempty, text
@@ -300,10 +300,10 @@ def best_similar(undecided: DataFrame, mails: DataFrame) -> DataFrame:
 
     Texts meet only blocks of the same mail, and only where the lengths allow the threshold."""
     blocks = undecided.select("version_id", "base", F.inline("expected"))
-    blocks = blocks.withColumn("grams", numbered(bigrams(F.col("norm"))))
+    blocks = blocks.withColumn("grams", numbered_bigrams(F.col("norm")))
     texts = mails.join(undecided.select("version_id").distinct(), "version_id", "left_semi").select(
         "version_id", "minimum", F.posexplode("originals").alias("i", "original")
-    ).withColumn("t", norm_text(F.col("original"))).withColumn("t_grams", numbered(bigrams(F.col("t"))))
+    ).withColumn("t", norm_text(F.col("original"))).withColumn("t_grams", numbered_bigrams(F.col("t")))
     pairs = blocks.join(texts, "version_id").where(can_reach(F.length("norm"), F.length("t"), F.col("minimum")))
     sim = dice_of_numbered(F.col("norm"), F.col("grams"), F.col("t"), F.col("t_grams"))
     scored = pairs.withColumn("sim", sim).where(F.col("sim") >= F.col("minimum"))
