@@ -1,10 +1,12 @@
 """Extraction, headers and folding on small fixtures."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sparkproof.functions.mail_parser import read_facts
+from sparkproof.functions.mail_parser import facts_of, read_facts
 from sparkproof.operators import auth, contain, dedup, extract, grid
 from sparkproof.sources.documents import tsv_cells
 
@@ -28,6 +30,18 @@ def test_reader_nesting():
     assert read_facts(None, lambda t: False)["links"] == []
 
 
+def test_batch_is_read_in_slices():
+    """The HTML of a whole batch was held as Python objects beside its Arrow form."""
+    one = HTML + "<!--" + "x" * 100_000 + "-->"
+    mails = pa.array([one] * 500)
+    tracemalloc.start()
+    got = facts_of(mails, lambda t: False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000 and len(got) == 500 and got[499]["title"].as_py() == "Sujet"
+    assert facts_of(mails[:0], lambda t: False).to_pylist() == []
+
+
 def test_bare_references():
     html = ('<title>A &amp; B &amp</title><p>x &copy; y &copy 1 &#39;z&#39 &nosuch;</p><a href="/u?a=1&amp;b&copy">t &lt;&lt</a>'
             "<!--[if mso]><a href='#'>m &amp</a><![endif]-->")
