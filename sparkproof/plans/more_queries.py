@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkproof.functions import text as X
 from sparkproof.functions import urls
+from sparkproof.functions.slots import personalization_match
 from sparkproof.operators import grid, intake, reports, template
 from sparkproof.plans.registry import query
 from sparkproof.sources.bindings import bind, load, table
@@ -94,7 +95,7 @@ SLOTS = """SELECT doc_id, concat('Dear [First name],', chr(10), text) AS raw, co
 def personalization(spark, sf):
     """Half of the mails hold the whole text after a filled slot."""
     rows = bind(spark, sf, SLOTS)
-    hit = F.regexp(X.norm_text(F.col("t")), X.personalization_pattern(F.col("raw")))
+    hit = personalization_match(X.norm_text(F.col("t")), F.col("raw"))
     return rows.select("doc_id", hit.alias("matched"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkproof.functions import names, text, urls
 from sparkproof.functions.languages import canon_column, canon_lang
+from sparkproof.functions.slots import personalization_match
 
 
 def values(spark, fn, inputs):
@@ -84,6 +85,21 @@ def test_personalization(spark):
     assert all(r["r"] == r["want"] for r in got)
 
 
+def test_slots_of_long_and_odd_blocks(spark):
+    """A block of 40,000 words overflowed the stack of Java's matcher; short ones match as its pattern does."""
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rng = random.Random(9)
+    parts = ["[Name]", "dear", "anna", " / ", "\n", " ", "B", "%%x%%", "b", "é", "(", "\u00a0", ","]
+    rows = [("Dear [Name],\n" + long, "x dear anna, " + long, True), ("Dear [Name],\n" + long, "dear anna, " + long[:-1], False)]
+    rows += [("".join(rng.choice(parts) for _ in range(rng.randrange(1, 7))),
+              " ".join(rng.choice(["dear", "anna", "b", "\n", "é", "(", ",", "z" * 70]) for _ in range(rng.randrange(0, 12))), None) for _ in range(400)]
+    df = spark.createDataFrame(rows, "raw string, t string, want boolean")
+    got = df.select("raw", "t", "want", personalization_match(F.col("t"), F.col("raw")).alias("r"))
+    assert [r["r"] for r in got.where("want IS NOT NULL").collect()] == [True, False]
+    short = got.where("want IS NULL").select("raw", "t", "r", F.regexp("t", text.personalization_pattern(F.col("raw"))).alias("w")).collect()
+    assert [r for r in short if r["r"] != r["w"]] == [] and {r["r"] for r in short} == {True, False, None}
+
+
 def test_names_and_languages(spark):
     got = values(spark, names.parse_test_name, [
         "[1294653 - My - Camp - MX - F] Hi", "[1294653 - Camp - ALL - FR] x", "[Camp - F] x", "no name", "[12 - Camp - mx - F] x"])
