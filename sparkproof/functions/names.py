@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkproof.functions.text import let
+
 AUDIENCE = "^(?iu)(ALL|F|M)$"
 MARKET = "^[A-Z]{2,3}$"
 
@@ -61,15 +63,13 @@ CRITERIA = {
 
 
 def parse_test_name(subject: Column) -> Column:
-    """SCL-10: struct of the bracketed test name, NULL when the subject has none."""
+    """SCL-10: struct of the bracketed test name, NULL when the subject has none.
+
+    Each step is bound once: unbound, the splitting of the name is repeated wherever a later step reads it."""
     inner = F.regexp_extract(subject, r"^\s*\[([^\]]+)\]", 1)
     parts = F.filter(
         F.transform(F.split(inner, r"\s*-\s*"), lambda p: F.trim(p)), lambda p: p != ""
     )
-    number = F.when(F.get(parts, 0).rlike(r"^\d{4,}$"), F.get(parts, 0))
-    body = F.when(number.isNotNull(), F.slice(parts, 2, F.size(parts))).otherwise(parts)
-    n = F.size(body)
-    last, before = F.get(body, n - 1), F.get(body, n - 2)
 
     def audience(x: Column) -> Column:
         return F.coalesce(x.rlike(AUDIENCE), F.lit(False))
@@ -77,25 +77,41 @@ def parse_test_name(subject: Column) -> Column:
     def market(x: Column) -> Column:
         return F.coalesce(x.rlike(MARKET) & (x != "ALL"), F.lit(False))
 
-    aud1, mkt1 = audience(last), ~audience(last) & market(last)
-    aud2 = mkt1 & audience(before)
-    mkt2 = aud1 & market(before)
-    taken = (aud1 | mkt1).cast("int") + (aud2 | mkt2).cast("int")
-    aud_v = F.when(aud1, F.upper(last)).when(aud2, F.upper(before))
-    mkt_v = F.when(mkt1, last).when(mkt2, before)
-    rest = F.slice(body, F.lit(1), n - taken)
-    return F.when(
-        F.size(parts) > 0,
-        F.struct(
-            number.alias("test_number"),
-            F.array_join(rest, " - ").alias("campaign_name"),
+    def of_parts(ps: Column) -> Column:
+        number = F.when(F.get(ps, 0).rlike(r"^\d{4,}$"), F.get(ps, 0))
+        return F.when(F.size(ps) > 0, let(number, lambda num: of_number(ps, num)))
+
+    def of_number(ps: Column, num: Column) -> Column:
+        body = F.when(num.isNotNull(), F.slice(ps, 2, F.size(ps))).otherwise(ps)
+        return let(body, lambda b: of_body(num, b))
+
+    def of_body(num: Column, body: Column) -> Column:
+        n = F.size(body)
+        ends = F.struct(F.get(body, n - 1).alias("last"), F.get(body, n - 2).alias("before"))
+        return let(ends, lambda e: let(kinds(e["last"], e["before"]), lambda k: named(num, body, e, k)))
+
+    def kinds(last: Column, before: Column) -> Column:
+        return F.struct(
+            audience(last).alias("aud1"), market(last).alias("mkt1"),
+            audience(before).alias("aud2"), market(before).alias("mkt2"),
+        )
+
+    def named(num: Column, body: Column, e: Column, k: Column) -> Column:
+        aud1, mkt1 = k["aud1"], ~k["aud1"] & k["mkt1"]
+        aud2, mkt2 = mkt1 & k["aud2"], aud1 & k["mkt2"]
+        taken = (aud1 | mkt1).cast("int") + (aud2 | mkt2).cast("int")
+        aud_v = F.when(aud1, F.upper(e["last"])).when(aud2, F.upper(e["before"]))
+        mkt_v = F.when(mkt1, e["last"]).when(mkt2, e["before"])
+        n = F.size(body)
+        return F.struct(
+            num.alias("test_number"),
+            F.array_join(F.slice(body, F.lit(1), n - taken), " - ").alias("campaign_name"),
             mkt_v.alias("market"),
             aud_v.alias("audience"),
-            (number.isNotNull() & mkt_v.isNotNull() & aud_v.isNotNull() & (n > taken)).alias(
-                "well_formed"
-            ),
-        ),
-    )
+            (num.isNotNull() & mkt_v.isNotNull() & aud_v.isNotNull() & (n > taken)).alias("well_formed"),
+        )
+
+    return let(parts, of_parts)
 
 
 def subject_market(subject: Column) -> Column:

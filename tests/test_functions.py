@@ -111,6 +111,13 @@ def test_names_and_languages(spark):
     assert values(spark, canon_column, ["mx", "zht", "klingon"]) == ["MX", "ZHT", None]
 
 
+def test_name_is_split_once(spark):
+    """The steps of the parse are bound: unbound, a market repeats the splitting of its name."""
+    df = spark.createDataFrame([("[1294653 - Camp - MX - F] Hi",)], "v string")
+    plan = df.select(names.parse_test_name(F.col("v"))["market"].alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("regexp_extract(") == 1
+
+
 def test_changed_tokens_of_urls(spark):
     df = spark.createDataFrame([("https://a.b/c/d?x=1&y=2#z", "https://a.b/c/e?x=1&y=3#z")], "a string, b string")
     assert df.select(text.changed_tokens(F.col("a"), F.col("b")).alias("r")).first()["r"] == ["&y=2", "/d"]
