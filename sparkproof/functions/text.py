@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import operator
 import unicodedata
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The white space of ECMAScript regular expressions, which is wider than Java's \s.
 WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -177,6 +181,34 @@ def dice_similarity(a: Column, b: Column) -> Column:
     )
 
 
+def pair_counts(texts: pa.Array) -> list[tuple[str, Counter] | None]:
+    """Each text of a batch with the copies of its character pairs; a text that occurs again is counted once."""
+    coded = texts.dictionary_encode()
+    counted = [(t, Counter(map(operator.add, t, t[1:]))) for t in coded.dictionary.to_pylist()]
+    return [None if i is None else counted[i] for i in coded.indices.to_pylist()]
+
+
+def dice_of_counts(x: tuple[str, Counter], y: tuple[str, Counter]) -> float:
+    (a, pairs_a), (b, pairs_b) = x, y
+    if a == b:
+        return 1.0
+    if len(a) < 2 or len(b) < 2:
+        return 0.0
+    shared = sum([min(pairs_a[p], pairs_b[p]) for p in pairs_a.keys() & pairs_b.keys()])
+    return 2.0 * shared / (len(a) + len(b) - 2)
+
+
+def dice_of_pair(a: Column, b: Column) -> Column:
+    """SIM-1 for rows in which the same texts occur again and again: no arrays of character pairs are made in the
+    rows, and characters are whole code points."""
+
+    def dice(left: pa.Array, right: pa.Array) -> pa.Array:
+        rows = zip(pair_counts(left), pair_counts(right), strict=True)
+        return pa.array([None if x is None or y is None else dice_of_counts(x, y) for x, y in rows], pa.float64())
+
+    return F.arrow_udf(dice, returnType=T.DoubleType())(a, b)
+
+
 PERSONAL_SLOT = r"\[[^\]]{2,40}\]|%%[^%]{1,40}%%|\{\{[^}]{1,40}\}\}"
 
 

@@ -9,9 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkproof.functions.languages import canon_lang, grid_key_for
-from sparkproof.functions.text import (
-    dice_of_numbered, let, norm_detect, norm_text, numbered_bigrams, personalization_pattern,
-)
+from sparkproof.functions.text import dice_of_pair, let, norm_detect, norm_text, personalization_pattern
 from sparkproof.functions.urls import normalize_url
 from sparkproof.operators.findings import finding, nonempty, text
 from sparkproof.operators.settings import setting
@@ -298,15 +296,14 @@ def block_outcomes(mails: DataFrame, blocks: DataFrame) -> DataFrame:
 def best_similar(undecided: DataFrame, mails: DataFrame) -> DataFrame:
     """JOIN-6: most similar text of the mail for each undecided group, at or above the mail's threshold.
 
-    Texts meet only blocks of the same mail, and only where the lengths allow the threshold."""
+    Texts meet only blocks of the same mail, and only where the lengths allow the threshold. Rows carry the
+    texts alone, as arrays of their character pairs take many times their bytes."""
     blocks = undecided.select("version_id", "base", F.inline("expected"))
-    blocks = blocks.withColumn("grams", numbered_bigrams(F.col("norm")))
-    texts = mails.join(undecided.select("version_id").distinct(), "version_id", "left_semi").select(
-        "version_id", "minimum", F.posexplode("originals").alias("i", "original")
-    ).withColumn("t", norm_text(F.col("original"))).withColumn("t_grams", numbered_bigrams(F.col("t")))
+    texts = mails.select("version_id", "minimum", F.posexplode("originals").alias("i", "original")).withColumn(
+        "t", norm_text(F.col("original"))
+    )
     pairs = blocks.join(texts, "version_id").where(can_reach(F.length("norm"), F.length("t"), F.col("minimum")))
-    sim = dice_of_numbered(F.col("norm"), F.col("grams"), F.col("t"), F.col("t_grams"))
-    scored = pairs.withColumn("sim", sim).where(F.col("sim") >= F.col("minimum"))
+    scored = pairs.withColumn("sim", dice_of_pair(F.col("norm"), F.col("t"))).where(F.col("sim") >= F.col("minimum"))
     return scored.groupBy("version_id", "base").agg(
         F.max_by(
             F.struct("name", "raw", F.col("original").alias("received"), "sim"),

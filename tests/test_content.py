@@ -1,5 +1,8 @@
 """Copy and planned links against the brief: results at odd titles, and plans that don't grow with the square."""
 
+import pytest
+
+
 def test_planned_links_have_a_key(spark):
     """RUL-32: labels of different constant languages were compared row by row, each with every other."""
     from sparkproof.plans import load_all
@@ -7,3 +10,17 @@ def test_planned_links_have_a_key(spark):
     out = load_all().QUERIES["rul32_expected_links_market"](spark, "/root/testdata/sf0.001")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_similar_texts_carry_no_pairs(spark, whole):
+    """JOIN-6: the best text of a block, without arrays of character pairs in the rows."""
+    from sparkproof.operators import content
+
+    groups = spark.createDataFrame([(1, "B", [(0, "B", "Raw", "buy two shirts")])], "version_id long, base string, expected array<struct<block_ord:int,name:string,raw:string,norm:string>>")
+    texts = ["Other words", "Buy two  skirts", "Buy two shirts" if whole else "buy"]
+    mails = spark.createDataFrame([(1, 0.55, texts)], "version_id long, minimum double, originals array<string>")
+    best = content.best_similar(groups, mails)
+    got = best.first()["best"]
+    assert (got["received"], round(got["sim"], 6)) == (("Buy two shirts", 1.0) if whole else ("Buy two  skirts", 0.846154))
+    assert "regexp_extract_all" not in best._jdf.queryExecution().optimizedPlan().toString()

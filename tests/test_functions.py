@@ -66,6 +66,13 @@ def test_numbered_copies(spark):
         assert r["x"] == r["y"] and (r["x"] == want or "😀" in r["t"])
 
 
+def test_dice_of_pairs(spark):
+    rows = [("night", "nacht"), ("aaaa", "aaa"), ("x", "y"), ("q", "q"), ("", "ab"), ("night", "nightly"), ("é😀b", "😀b"), (None, "a")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a string, b string").coalesce(1)
+    got = df.select("i", text.dice_of_pair(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in got] == [0.25, 0.8, 0.0, 1.0, 0.0, 0.8, pytest.approx(2 / 3), None]
+
+
 def test_dice_of_long_texts_is_no_square(spark):
     """100,000 pairs that differ took the square of their number."""
     rng = random.Random(5)
