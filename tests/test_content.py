@@ -1,7 +1,12 @@
 """Copy and planned links against the brief: results at odd titles, and plans that don't grow with the square."""
 
+import os
+import sys
+
 import pytest
 
+sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
+
 
 def test_planned_links_have_a_key(spark):
     """RUL-32: labels of different constant languages were compared row by row, each with every other."""
@@ -43,3 +48,19 @@ def test_language_keys_are_read_once(spark):
         (2, "ES"): ("—", 0, 0, 0, None), (3, "IT"): ("—", 0, 0, 0, None),
     }
     assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_title_that_ends_inside_a_reference(spark, tmp_path):
+    """RUL-31: the brief's block and the mail's subject hold the same cut reference (page 28)."""
+    import duckdb
+    from check import compare
+
+    from sparkproof.plans import load_all
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id BETWEEN 24 AND 35")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    plans, name = load_all(), "rul31_severity_of_missing_blocks"
+    problem, n = compare(spark, con, str(tmp_path), name, plans.QUERIES[name], plans.ORACLE[name])
+    assert problem is None and n > 0
