@@ -119,3 +119,19 @@ def test_probabilities_sum_to_one_and_held_out_text_is_learned(spark):
     bits = -sum(r.score for r in out) / math.log10(2) / sum(size[r.doc_id] for r in out)
     assert 1 < bits < 3.6
     print("bits per byte", bits)
+
+
+def test_different_bytes_are_different_contexts(spark):
+    """Digits once shared a class of contexts, so the letter after one was anyone's guess."""
+    assert len({int(ct.contexts(bytes([b, 65]))[0][1]) for b in range(256)}) == 256 - 26
+    choice = np.random.default_rng(0).integers(0, 2, (200, 40))
+    df = spark.createDataFrame([(i, "".join(["1a", "2b"][c] for c in row)) for i, row in enumerate(choice)], "doc_id long, text string")
+    scores = [r.score for r in ct.score_documents(df).where("held_out").collect()]
+    # The digits cost a bit each, the letters nothing.
+    assert len(scores) > 10 and all(abs(s + 40 * math.log10(2)) < 2 for s in scores)
+
+
+def test_places_that_no_worker_holds_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(ct, "BROADCAST_PLACES", 2)
+    monkeypatch.setattr(ct, "TASK_PLACES", 3)
+    check(spark, DOCS)
