@@ -49,3 +49,16 @@ def test_finding_texts_are_joined_once(spark):
             plan = plan.children().apply(0)
         sides = [plan.children().apply(i).toString() for i in range(2)]
         assert ["Join" in s for s in sides if "message" in s] == [False]
+
+
+def test_findings_of_two_versions_meet_in_one_aggregate(spark):
+    """AGG-20: findings aren't joined with themselves; null keys are like no other; numbers may have gaps."""
+    from sparkproof.operators import reports as ops
+
+    versions = spark.createDataFrame([("a", 1, 1), ("b", 1, 4), ("c", 1, 9)], "version_id string, campaign_id long, version_no int")
+    findings = spark.createDataFrame(
+        [("a", "x"), ("a", "x"), ("a", "y"), ("a", None), ("b", "y"), ("b", "z"), ("b", None)], "version_id string, dedup_key string")
+    out = ops.version_changes(findings, versions)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 3, 3, 0, 0), (1, 4, 3, 2, 2, 1), (1, 9, 0, 0, 3, 0)]
+    # One join gives findings their rank, one gives versions their place, one the counts to all versions.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
