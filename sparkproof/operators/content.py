@@ -19,6 +19,8 @@ from sparkproof.sources.tables import kept
 LANG_LIKE = r"^[A-Za-z]{2,3}([-_ ]+[A-Za-z]{2,3})?$"
 SEPARATOR = " \n "
 SIMILARITY_MIN = 0.55
+#: Blocks shorter than this are no reliable match.
+LEAST = 3
 
 
 def attach_grid(mails: DataFrame, grids: DataFrame) -> DataFrame:
@@ -179,8 +181,9 @@ def variant_audience(name: Column) -> Column:
 
 def can_reach(la: Column, lb: Column, minimum: float | Column = SIMILARITY_MIN) -> Column:
     """Upper bound of the Dice coefficient by text lengths."""
+    # Divided as the coefficient itself is, so that rounding never puts the bound below it.
     a, b = la - 1, lb - 1
-    return (la == lb) | (F.least(a, b) * 2.0 >= (a + b) * minimum)
+    return (la == lb) | (F.try_divide(F.least(a, b) * 2.0, a + b) >= minimum)
 
 
 def mail_texts(prepared: DataFrame, languages: DataFrame) -> DataFrame:
@@ -210,15 +213,18 @@ def block_table(blocks: DataFrame) -> DataFrame:
         "lang_key", value.alias("raw"), norm_text(value).alias("norm"),
         personalization_pattern(value).alias("pattern"),
     )
-    cells = blocks.where(nonempty(value)).withColumn("cell", cell)
+    cells = blocks.where(value.isNotNull()).withColumn("cell", cell)
     return cells.groupBy("campaign_id", "block_ord").agg(
         F.first("block").alias("name"), F.collect_list("cell").alias("cells")
     ).withColumn("base", base_name(F.col("name"))).withColumn("aud", variant_audience(F.col("name")))
 
 
-def block_outcomes(mails: DataFrame, blocks: DataFrame) -> DataFrame:
+def block_outcomes(mails: DataFrame, blocks: DataFrame, least: int = LEAST) -> DataFrame:
     """RUL-31: one outcome per mail and block group, from `mail_texts` and `block_table`.
 
+    Blocks of fewer than `least` characters are left out. Whatever it is, another language counts only where both
+    texts have LEAST.
+
     A mail meets the blocks of its own brief only. The mail text is read while the join streams and
     dropped before the next shuffle, which carries a few short columns per block. Mail texts are written
     once, as they are parsed from HTML and needed again for blocks that are nowhere."""
@@ -226,15 +232,15 @@ def block_outcomes(mails: DataFrame, blocks: DataFrame) -> DataFrame:
     joined = skew_join(mails.drop("originals"), blocks, ["campaign_id"], "inner")
     key = F.col("grid_key")
     own = F.get(F.filter("cells", lambda c: c["lang_key"] == key), 0)
-    rows = joined.where(key.isNotNull()).withColumn("own", own).where(F.length("own.norm") >= 3)
+    rows = joined.where(key.isNotNull()).withColumn("own", own).where(F.length("own.norm") >= least)
     text_, norm = F.col("joined"), F.col("own.norm")
     located = F.contains(text_, norm) | F.coalesce(
         F.regexp(text_, F.col("own.pattern")), F.lit(False)
     )
     ranked = F.filter(
         "cells",
-        lambda c: (c["lang_key"] != key) & (F.length(c["norm"]) >= 3) & (c["norm"] != norm)
-        & F.contains(text_, c["norm"]),
+        lambda c: (c["lang_key"] != key) & (F.length(norm) >= LEAST) & (F.length(c["norm"]) >= LEAST)
+        & (c["norm"] != norm) & F.contains(text_, c["norm"]),
     )
     foreign = F.array_min(
         F.transform(

@@ -115,9 +115,9 @@ MINIMUM = "(CASE {c} % 4 WHEN 0 THEN 0.30 WHEN 1 THEN 0.90 WHEN 3 THEN 0.70 ELSE
 def similarity(spark, sf):
     """RES-1 in RUL-31: at 30 % more blocks count as changed, at 90 % more as missing."""
     mails = mq.facts(spark, sf).withColumn("campaign_id", F.floor(F.col("version_id") / 12))
-    prepared = with_settings(rules.prepare(mails.withColumn("detected_lang", F.upper("lang"))), spark, "campaign_id")
+    prepared = with_settings(rules.prepare(mails.withColumn("detected_lang", cq.brief_language())), spark, "campaign_id")
     texts = content.mail_texts(prepared, load(spark, sf, "grid_languages"))
-    found = content.block_outcomes(texts, content.block_table(load(spark, sf, "grid_blocks")))
+    found = content.block_outcomes(texts, content.block_table(load(spark, sf, "grid_blocks")), least=0)
     return found.select("version_id", "base", "state", "name", F.round("sim", 6).alias("sim"))
 
 
